@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-#: Operator number -> (module, function).
-OPERATORS = {
-    1: ("sharding", "op1_minimax_sharding"),
+#: Query name -> module that has the function of this name.
+MODULES = {
+    "op1_minimax_sharding": "sharding",
+    "op8_quality_rules": "quality_rules",
 }
 
 
 def queries() -> dict[str, Callable]:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for module, name in OPERATORS.values()}
+    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
