@@ -10,6 +10,7 @@ MODULES = {
     "op1_minimax_sharding": "sharding",
     "op3_simhash_near_dedup": "simhash",
     "op8_quality_rules": "quality_rules",
+    "op10_byte_bpe": "bpe",
 }
 
 
