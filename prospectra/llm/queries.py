@@ -9,6 +9,7 @@ from importlib import import_module
 MODULES = {
     "op1_minimax_sharding": "sharding",
     "op3_simhash_near_dedup": "simhash",
+    "op7_chat_formatting": "chat",
     "op8_quality_rules": "quality_rules",
     "op10_byte_bpe": "bpe",
 }
