@@ -8,6 +8,7 @@ from importlib import import_module
 #: Query name -> module that has the function of this name.
 MODULES = {
     "op1_minimax_sharding": "sharding",
+    "op2_pstable_embedding_dedup": "embedding_dedup",
     "op3_simhash_near_dedup": "simhash",
     "op7_chat_formatting": "chat",
     "op8_quality_rules": "quality_rules",
