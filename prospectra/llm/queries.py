@@ -11,6 +11,7 @@ MODULES = {
     "op2_pstable_embedding_dedup": "embedding_dedup",
     "op3_simhash_near_dedup": "simhash",
     "op4_pfair_mixing": "mixing",
+    "op5_edit_join_line_dedup": "line_dedup",
     "op7_chat_formatting": "chat",
     "op8_quality_rules": "quality_rules",
     "op10_byte_bpe": "bpe",
