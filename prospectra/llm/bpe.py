@@ -13,13 +13,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text bytes whose distinct pieces are merged together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
+#: Token ids that are decoded together.
+SLICE_IDS = 1 << 20
 NONE = np.iinfo(np.int32).max
 
 _AFTER_SPACE = re.compile(r" (?:\s|$)")
@@ -268,23 +271,33 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         vocab = _vocabulary(sent)
-        for b in batches:
-            lists = b.column(at)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            n = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], dtype=np.int64)
-            data = vocab.bytes[_gather(vocab.starts[ids], vocab.lengths[ids])]
-            sums = np.concatenate([[0], np.cumsum(vocab.lengths[ids])])
-            out = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(sums[_offsets(n)].astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
+        for whole in batches:
+            ends = np.cumsum(pc.fill_null(whole.column(at).value_lengths(), 0).to_numpy())
+            cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, SLICE_IDS)[1:]))
+            for first, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), whole.num_rows], strict=True):
+                b = whole.slice(first, stop - first)
+                lists = b.column(at)
+                ids, n = lists.flatten().to_numpy(), pc.fill_null(lists.value_lengths(), 0).to_numpy()
+                lengths = vocab.lengths[ids]
+                data = vocab.bytes[_gather(vocab.starts[ids], lengths)]
+                sums = np.concatenate([[0], np.cumsum(lengths)])
+                out = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(sums[_offsets(n)].astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
 
     rows = encoded.select(*keep)
     return rows.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, decoded binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Digest columns of an encoded and decoded table."""
+def digests(encoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Digest columns of an encoded and decoded table, with the columns of ``keep``."""
     joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        *keep,
+    )
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
