@@ -14,6 +14,7 @@ MODULES = {
     "op5_edit_join_line_dedup": "line_dedup",
     "op7_chat_formatting": "chat",
     "op8_quality_rules": "quality_rules",
+    "op9_difference_cover_dedup": "suffix_dedup",
     "op10_byte_bpe": "bpe",
 }
 
