@@ -12,6 +12,7 @@ MODULES = {
     "op3_simhash_near_dedup": "simhash",
     "op4_pfair_mixing": "mixing",
     "op5_edit_join_line_dedup": "line_dedup",
+    "op6_recurrent_html_extraction": "html_extract",
     "op7_chat_formatting": "chat",
     "op8_quality_rules": "quality_rules",
     "op9_difference_cover_dedup": "suffix_dedup",
