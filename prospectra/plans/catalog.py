@@ -26,9 +26,9 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def projection(name: str, view: str, columns: dict, oracle_columns: str) -> None:
+def projection(name: str, view: str, columns: Callable[[], dict], oracle_columns: str) -> None:
     """A query that adds column functions to a view, held against the same columns in SQL."""
-    query(name, f"SELECT {oracle_columns} FROM {V.sql(view)} v")(lambda spark, d: V.frame(spark, d, view).select(*(c.alias(n) if n else c for n, c in columns.items())))
+    query(name, f"SELECT {oracle_columns} FROM {V.sql(view)} v")(lambda spark, d: V.frame(spark, d, view).select(*(c.alias(n) if n else c for n, c in columns().items())))
 
 
 def quoted(words) -> str:
@@ -49,15 +49,15 @@ HOST = r"trim(regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(
 SLUG = "regexp_replace(regexp_replace(lower(trim(coalesce({0}, ''))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 NAME = SLUG.format(r"regexp_replace(lower(trim(coalesce(name, ''))), '\b(llc|inc|corp|corporation|co|ltd|pllc|pc|dds|dmd|group)\b', '', 'g')")
 CITY = SLUG.format("city")
-projection("normalize_domain", PAGES, {"page_id": F.col("page_id"), "domain": T.normalize_domain(F.col("url"))}, f"page_id, {HOST.format('url')} AS domain")
-projection("normalize_company_name", V.COMPANIES, {"id": F.col("id"), "slug": T.normalize_company_name(F.col("name"))}, f"id, {NAME} AS slug")
+projection("normalize_domain", PAGES, lambda: {"page_id": F.col("page_id"), "domain": T.normalize_domain(F.col("url"))}, f"page_id, {HOST.format('url')} AS domain")
+projection("normalize_company_name", V.COMPANIES, lambda: {"id": F.col("id"), "slug": T.normalize_company_name(F.col("name"))}, f"id, {NAME} AS slug")
 projection(
-    "name_city_key", V.COMPANIES, {"id": F.col("id"), "key": T.name_city_key(F.col("name"), F.col("city"))}, f"id, CASE WHEN {CITY} = '' THEN {NAME} ELSE {NAME} || ':' || {CITY} END AS key"
+    "name_city_key", V.COMPANIES, lambda: {"id": F.col("id"), "key": T.name_city_key(F.col("name"), F.col("city"))}, f"id, CASE WHEN {CITY} = '' THEN {NAME} ELSE {NAME} || ':' || {CITY} END AS key"
 )
 projection(
     "synthetic_domain",
     V.COMPANIES,
-    {"id": F.col("id"), "domain": T.synthetic_domain(F.col("name"), F.col("city"))},
+    lambda: {"id": F.col("id"), "domain": T.synthetic_domain(F.col("name"), F.col("city"))},
     f"id, {SLUG.format('name')} || CASE WHEN {CITY} = '' THEN '' ELSE '-' || {CITY} END || '.local' AS domain",
 )
 AGG = quoted(D.AGGREGATORS)
@@ -69,18 +69,18 @@ EXCLUDED = (
 projection(
     "is_excluded_domain",
     V.COMPANIES,
-    {"id": F.col("id"), "excluded": D.is_excluded_domain(F.col("domain"))["excluded"], "reason": D.is_excluded_domain(F.col("domain"))["reason"]},
+    lambda: {"id": F.col("id"), "excluded": D.is_excluded_domain(F.col("domain"))["excluded"], "reason": D.is_excluded_domain(F.col("domain"))["reason"]},
     f"id, ({EXCLUDED}) <> '' AS excluded, {EXCLUDED} AS reason",
 )
 STATUS = r"TRY_CAST(nullif(regexp_extract(error, 'HTTP\s+([0-9]{3})', 1), '') AS INT)"
 RETRYABLE = f"NOT (coalesce({STATUS} IN ({', '.join(map(str, D.PERMANENT_STATUS))}), false) OR {sql_contains('lower(error)', D.PERMANENT_ERRORS)})"
-status = F.nullif(F.regexp_extract("error", r"HTTP\s+([0-9]{3})", 1), F.lit("")).cast("int")
-projection("is_retryable_failure", V.FAILURES, {"id": F.col("id"), "retryable": D.is_retryable_failure(status, F.col("error"))}, f"id, {RETRYABLE} AS retryable")
+status = lambda: F.nullif(F.regexp_extract("error", r"HTTP\s+([0-9]{3})", 1), F.lit("")).cast("int")
+projection("is_retryable_failure", V.FAILURES, lambda: {"id": F.col("id"), "retryable": D.is_retryable_failure(status(), F.col("error"))}, f"id, {RETRYABLE} AS retryable")
 ALL_TEXT = "lower(name || ' ' || coalesce(domain, '') || ' ' || coalesce(industry, ''))"
-projection("is_agency", V.COMPANIES, {"id": F.col("id"), "agency": D.is_agency(F.col("name"), F.col("domain"), F.col("industry"))}, f"id, {sql_contains(ALL_TEXT, D.AGENCY_WORDS)} AS agency")
+projection("is_agency", V.COMPANIES, lambda: {"id": F.col("id"), "agency": D.is_agency(F.col("name"), F.col("domain"), F.col("industry"))}, f"id, {sql_contains(ALL_TEXT, D.AGENCY_WORDS)} AS agency")
 INDUSTRY = sql_case([(sql_contains("lower(name || ' ' || coalesce(industry, ''))", words), f"'{label}'") for label, words in D.INDUSTRIES.items()], f"'{D.DEFAULT_INDUSTRY}'")
 projection(
-    "classify_industry", V.COMPANIES, {"id": F.col("id"), "target_industry": D.classify_industry(F.concat_ws(" ", "name", F.coalesce("industry", F.lit(""))))}, f"id, {INDUSTRY} AS target_industry"
+    "classify_industry", V.COMPANIES, lambda: {"id": F.col("id"), "target_industry": D.classify_industry(F.concat_ws(" ", "name", F.coalesce("industry", F.lit(""))))}, f"id, {INDUSTRY} AS target_industry"
 )
 S = scoring.SUPPLIERS
 LOW = lambda c: f"lower(trim(coalesce({c}, '')))"
@@ -97,35 +97,35 @@ EMP = "replace(lower(coalesce(employees, '')), ',', '')"
 num = lambda p, g: f"TRY_CAST(nullif(regexp_extract({EMP}, '{p}', {g}), '') AS BIGINT)"
 SPAN, PLUS, ONE = r"([0-9]+)\s*(?:-|to)\s*([0-9]+)", r"([0-9]+)\s*\+", "([0-9]+)"
 LO, HI = f"coalesce({num(SPAN, 1)}, {num(PLUS, 1)}, {num(ONE, 1)})", f"CASE WHEN {num(SPAN, 1)} IS NOT NULL THEN {num(SPAN, 2)} WHEN {num(PLUS, 1)} IS NOT NULL THEN {num(PLUS, 1)} * 2 ELSE {num(ONE, 1)} END"
-projection("parse_employee_bounds", V.COMPANIES, {"id": F.col("id"), "lo": T.parse_employee_bounds(F.col("employees"))["lo"], "hi": T.parse_employee_bounds(F.col("employees"))["hi"]}, f"id, {LO} AS lo, {HI} AS hi")
+projection("parse_employee_bounds", V.COMPANIES, lambda: {"id": F.col("id"), "lo": T.parse_employee_bounds(F.col("employees"))["lo"], "hi": T.parse_employee_bounds(F.col("employees"))["hi"]}, f"id, {LO} AS lo, {HI} AS hi")
 CONF = "CASE WHEN confidence IS NULL THEN 1.0 ELSE least(1.0, greatest(0.0, CASE WHEN confidence > 1 THEN CAST(confidence AS DOUBLE) / 100 ELSE CAST(confidence AS DOUBLE) END)) END"
-projection("normalize_confidence", V.SIGNALS, {"id": F.col("id"), "confidence": T.normalize_confidence(F.col("confidence"))}, f"id, CAST({CONF} AS DOUBLE) AS confidence")
+projection("normalize_confidence", V.SIGNALS, lambda: {"id": F.col("id"), "confidence": T.normalize_confidence(F.col("confidence"))}, f"id, CAST({CONF} AS DOUBLE) AS confidence")
 PHONES = "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '(305) 555-' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') WHEN 1 THEN '+1 212.555.' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') WHEN 2 THEN '555-' || CAST(c_custkey AS STRING) ELSE NULL END AS phone FROM {customer}"
 TEN = "CASE WHEN length(regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g')) = 11 AND starts_with(regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g'), '1') THEN substr(regexp_replace(phone, '[^0-9]', '', 'g'), 2) WHEN length(regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g')) = 10 THEN regexp_replace(phone, '[^0-9]', '', 'g') END"
-phone = T.normalize_phone(F.col("phone"))
+phone = lambda: T.normalize_phone(F.col("phone"))
 projection(
-    "normalize_phone", PHONES, {"id": F.col("id"), "e164": phone["e164"], "national": phone["national"]},
+    "normalize_phone", PHONES, lambda: {"id": F.col("id"), "e164": phone()["e164"], "national": phone()["national"]},
     f"id, '+1' || {TEN} AS e164, '(' || substr({TEN}, 1, 3) || ') ' || substr({TEN}, 4, 3) || '-' || substr({TEN}, 7, 4) AS national",
 )
 TITLES = "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN p_brand || ': ' || p_name WHEN 1 THEN p_name || ' at ' || p_brand WHEN 2 THEN p_brand || ' is hiring ' || p_type WHEN 3 THEN p_name || ' - ' || p_brand ELSE p_name END AS title FROM {part}"
-title = T.split_job_title(F.col("title"))
+title = lambda: T.split_job_title(F.col("title"))
 sp = lambda mark, i: f"trim(string_split(title, '{mark}')[{i}])"
 projection(
-    "split_job_title", TITLES, {"id": F.col("id"), "company": title["company"], "role": title["role"]},
+    "split_job_title", TITLES, lambda: {"id": F.col("id"), "company": title()["company"], "role": title()["role"]},
     "id, " + sql_case([("contains(title, ': ')", sp(": ", 1)), ("contains(title, ' at ')", sp(" at ", 2)), ("contains(title, ' is hiring ')", sp(" is hiring ", 1)), ("contains(title, ' - ')", f"CASE WHEN length({sp(' - ', 1)}) <= length({sp(' - ', 2)}) THEN {sp(' - ', 1)} ELSE {sp(' - ', 2)} END")], "''") + " AS company, "
     + sql_case([("contains(title, ': ')", sp(": ", 2)), ("contains(title, ' at ')", sp(" at ", 1)), ("contains(title, ' is hiring ')", sp(" is hiring ", 2)), ("contains(title, ' - ')", f"CASE WHEN length({sp(' - ', 1)}) <= length({sp(' - ', 2)}) THEN {sp(' - ', 2)} ELSE {sp(' - ', 1)} END")], "trim(title)") + " AS role",
 )
 projection(
-    "extract_emails", "SELECT doc_id, text FROM {documents}", {"doc_id": F.col("doc_id"), "n_emails": F.size(T.extract_emails(F.col("text"))).cast("long"), "emails": F.array_join(F.sort_array(T.extract_emails(F.col("text"))), " ")},
+    "extract_emails", "SELECT doc_id, text FROM {documents}", lambda: {"doc_id": F.col("doc_id"), "n_emails": F.size(T.extract_emails(F.col("text"))).cast("long"), "emails": F.array_join(F.sort_array(T.extract_emails(F.col("text"))), " ")},
     r"doc_id, CAST(len(list_distinct(list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})', 1), lambda e: regexp_replace(e, '^[.]+|[.]+$', '', 'g')), lambda e: NOT regexp_matches(e, '\.(png|jpg|jpeg|gif|svg|webp|css|js)$')))) AS BIGINT) AS n_emails, "
     r"array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})', 1), lambda e: regexp_replace(e, '^[.]+|[.]+$', '', 'g')), lambda e: NOT regexp_matches(e, '\.(png|jpg|jpeg|gif|svg|webp|css|js)$')))), ' ') AS emails",
 )
 HOSTS = "SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN 'ASPMX.L.Google.com' WHEN 1 THEN 'x.mail.protection.outlook.com' WHEN 2 THEN 'mx1.pphosted.com' WHEN 3 THEN 'eu.mimecast.com' WHEN 4 THEN 'mx.zoho.eu' WHEN 5 THEN NULL ELSE 'mx' || CAST(c_custkey AS STRING) || '.host.net' END AS mx FROM {customer}"
-projection("mail_provider", HOSTS, {"id": F.col("id"), "provider": D.mail_provider(F.col("mx"))}, "id, " + sql_case([(sql_contains("lower(coalesce(mx, ''))", p), f"'{n}'") for n, p in D.MAIL_PROVIDERS], "'custom_smtp'") + " AS provider")
+projection("mail_provider", HOSTS, lambda: {"id": F.col("id"), "provider": D.mail_provider(F.col("mx"))}, "id, " + sql_case([(sql_contains("lower(coalesce(mx, ''))", p), f"'{n}'") for n, p in D.MAIL_PROVIDERS], "'custom_smtp'") + " AS provider")
 E0, P = "trim(coalesce(email, ''))", "string_split(trim(coalesce(email, '')), '@')"
 LB = f"string_split({P}[2], '.')"
 projection(
-    "validate_email_syntax", V.CONTACTS, {"id": F.col("id"), "problem": D.validate_email_syntax(F.col("email"))},
+    "validate_email_syntax", V.CONTACTS, lambda: {"id": F.col("id"), "problem": D.validate_email_syntax(F.col("email"))},
     "id, " + sql_case([
         (f"{E0} = ''", "'empty'"), (f"len({P}) < 2", "'no_at'"), (f"len({P}) > 2", "'several_at'"), (f"{P}[1] = ''", "'no_local'"), (f"length({P}[1]) > 64", "'local_too_long'"),
         (f"starts_with({P}[1], '.') OR ends_with({P}[1], '.')", "'local_edge_dot'"), (f"contains({P}[1], '..')", "'local_dots'"), (f"{P}[2] = ''", "'no_domain'"), (f"contains({P}[2], '..')", "'domain_dots'"),
@@ -134,7 +134,7 @@ projection(
     ], "NULL") + " AS problem",
 )
 TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
-projection("visible_text", PAGES, {"page_id": F.col("page_id"), "n_chars": F.char_length(T.visible_text(F.col("html"))).cast("long"), "md5": F.md5(T.visible_text(F.col("html")).cast("binary"))}, f"page_id, length({TEXT}) AS n_chars, md5({TEXT}) AS md5")
+projection("visible_text", PAGES, lambda: {"page_id": F.col("page_id"), "n_chars": F.char_length(T.visible_text(F.col("html"))).cast("long"), "md5": F.md5(T.visible_text(F.col("html")).cast("binary"))}, f"page_id, length({TEXT}) AS n_chars, md5({TEXT}) AS md5")
 
 # ---- scoring
 AS_OF = f"TIMESTAMP '{V.AS_OF}'"
@@ -147,9 +147,9 @@ FIT = (
 query("company_fit", f"SELECT id, CAST({FIT} AS DOUBLE) AS company_fit FROM {V.sql(V.COMPANIES)} v")(lambda spark, d: scoring.company_fit(V.frame(spark, d, V.COMPANIES)).select("id", "company_fit"))
 DAYS = f"CAST(floor((epoch({AS_OF}) - epoch(last_crawled_at)) / 86400) AS BIGINT)"
 FACTOR = f"CASE WHEN {DAYS} > 30 THEN 0.7 WHEN {DAYS} > 14 THEN round(greatest(0.7, 1.0 - ({DAYS} - 14) * 0.02), 2) ELSE 1.0 END"
-as_of = F.lit(V.AS_OF).cast("timestamp")
-stale = scoring.staleness(F.col("last_crawled_at"), as_of)
-projection("staleness", V.COMPANIES, {"id": F.col("id"), "factor": stale["factor"], "recrawl": stale["recrawl"]}, f"id, CAST({FACTOR} AS DOUBLE) AS factor, coalesce({DAYS} > 30, false) AS recrawl")
+as_of = lambda: F.lit(V.AS_OF).cast("timestamp")
+stale = lambda: scoring.staleness(F.col("last_crawled_at"), as_of())
+projection("staleness", V.COMPANIES, lambda: {"id": F.col("id"), "factor": stale()["factor"], "recrawl": stale()["recrawl"]}, f"id, CAST({FACTOR} AS DOUBLE) AS factor, coalesce({DAYS} > 30, false) AS recrawl")
 WP = r"TRY_CAST(nullif(regexp_extract(coalesce(wp_version, ''), '^([0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE)"
 WITH_STACK = V.TECH.replace("AS angular_version", "AS angular_version, CASE WHEN c_custkey % 11 = 0 THEN 'React' WHEN c_custkey % 7 < 4 THEN 'jQuery' END AS library")
 GAP = (
@@ -226,7 +226,7 @@ query(
 def scored(spark, d):
     t, p = tech(spark, d), pains(spark, d)
     audits = t.select("company_id", "ttfb_ms", F.lit(None).cast("int").alias("performance_score"))
-    return scoring.score_companies(V.frame(spark, d, V.COMPANIES), t, audits, signals(spark, d), p, scoring.detect_opportunities(p), as_of)
+    return scoring.score_companies(V.frame(spark, d, V.COMPANIES), t, audits, signals(spark, d), p, scoring.detect_opportunities(p), as_of())
 
 
 query("prune_low_scores", f"SELECT id, company_id, opportunity_score, CASE WHEN company_id IN (SELECT company_id FROM {V.sql(V.SCORES)} w WHERE opportunity_score < 40 AND priority_tier NOT IN ('ignore', 'disqualified')) THEN 'ignore' ELSE priority_tier END AS priority_tier FROM {V.sql(V.SCORES)} v")(

@@ -23,23 +23,23 @@ query("page_links", f"SELECT page_id, position, href FROM {LINKS} l")(lambda spa
 query("key_subpages", f"SELECT page_id, href FROM {LINKS} l WHERE starts_with(href, '/') AND regexp_matches(lower(href), '{pages.KEY_PATHS}') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY position) <= 4")(
     lambda spark, d: pages.key_subpages(pages.page_links(V.frame(spark, d, RICH))).select("page_id", F.regexp_extract("target", "^https?://[^/]*(.*)$", 1).alias("href"))
 )
-fp = pages.fingerprint(F.col("html"))
+fp = lambda: pages.fingerprint(F.col("html"))
 WPV = "regexp_extract(html, '(?i)<meta[^>]*name=\"generator\"[^>]*content=\"WordPress\\s*([0-9.]*)', 1)"
 projection(
-    "tech_fingerprint", RICH, {"page_id": F.col("page_id"), **fp},
+    "tech_fingerprint", RICH, lambda: {"page_id": F.col("page_id"), **fp()},
     f"page_id, CASE WHEN {WPV} <> '' THEN 'WordPress ' || {WPV} WHEN contains(lower(html), 'wp-content') OR contains(lower(html), 'wp-includes') THEN 'WordPress' WHEN contains(lower(html), 'webflow') THEN 'Webflow' WHEN contains(lower(html), 'static.wixstatic.com') THEN 'Wix' END AS cms, "
     f"nullif({WPV}, '') AS wp_version, CASE WHEN contains(lower(html), '/_next/') THEN 'Next.js' ELSE '' END AS frameworks, nullif(regexp_extract(lower(html), 'jquery[-.]([0-9]+\\.[0-9]+(?:\\.[0-9]+)?)', 1), '') AS jquery_version",
 )
-m = pages.page_metrics(F.col("html"))
+m = lambda: pages.page_metrics(F.col("html"))
 IMGS = "regexp_extract_all(html, '(?i)(<img[^>]*>)', 1)"
 projection(
-    "page_metrics", RICH, {"page_id": F.col("page_id"), **m},
+    "page_metrics", RICH, lambda: {"page_id": F.col("page_id"), **m()},
     f"page_id, strlen(html) AS size_bytes, len({IMGS}) AS n_images, len(list_filter({IMGS}, lambda i: NOT contains(lower(i), 'loading='))) AS images_not_lazy, len(list_filter({IMGS}, lambda i: NOT contains(lower(i), 'alt='))) AS images_without_alt, "
     "CAST(coalesce(list_max(list_transform(regexp_extract_all(html, '(?is)<form[^>]*>(.*?)</form>', 1), lambda f: len(regexp_extract_all(f, '(?i)<(input|select|textarea)[\\s>]')))), 0) AS BIGINT) AS max_form_inputs, "
     "regexp_matches(lower(html), 'href=\"tel:') AS tel_link, len(regexp_extract_all(html, '(?i)<h1[\\s>]')) AS n_h1, regexp_matches(lower(html), 'application/ld\\+json') AS has_schema, regexp_matches(lower(html), 'property=\"og:') AS has_opengraph, regexp_matches(lower(html), '(src|href)=\"http://') AS mixed_content",
 )
 projection(
-    "hiring_signals", RICH, {"page_id": F.col("page_id"), **pages.hiring_signals(F.col("html"))},
+    "hiring_signals", RICH, lambda: {"page_id": F.col("page_id"), **pages.hiring_signals(F.col("html"))},
     f"page_id, CASE WHEN contains(lower(html), 'greenhouse.io') THEN 'greenhouse.io' ELSE '' END AS boards, len(regexp_extract_all(lower(html), '<a\\s[^>]*href=\"[^\"]*{pages.CAREERS}')) AS career_links",
 )
 LIBS = "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'jquery' WHEN 1 THEN 'bootstrap' WHEN 2 THEN 'wordpress' ELSE 'leftpad' END AS library, CAST(1 + p_size % 6 AS STRING) || '.' || CAST(p_partkey % 13 AS STRING) || '.1' AS version FROM {part}"
@@ -49,11 +49,11 @@ YEARS = lambda key: f"CASE {key} " + " ".join(f"WHEN '{lib} {k}' THEN {y}" for l
 LATEST = pick({k: v[0] for k, v in pages.LATEST.items()})
 REL = f"coalesce({YEARS(f'library || chr(32) || {MAJ} || chr(46) || {MIN}')}, {YEARS(f'library || chr(32) || {MAJ} || chr(46) || 0')}, CASE WHEN {MAJ} = {LATEST} THEN {pick({k: v[1] - 1 for k, v in pages.LATEST.items()})} ELSE 2015 END)"
 GAP_, AGE_ = f"greatest(0, {LATEST} - {MAJ})", f"greatest(0, 2026 - {REL})"
-debt = pages.version_debt(F.col("library"), F.col("version"), 2026)
+debt = lambda: pages.version_debt(F.col("library"), F.col("version"), 2026)
 query(
     "version_debt",
     f"SELECT id, {REL} AS release_year, {GAP_} AS major_gap, {AGE_} AS years_outdated, {MAJ} < {pick(pages.END_OF_LIFE_BEFORE)} AS eol, CASE WHEN {MAJ} < {pick(pages.END_OF_LIFE_BEFORE)} OR {AGE_} >= 8 OR {GAP_} >= 2 THEN 'critical' WHEN {GAP_} >= 1 THEN 'high' WHEN {AGE_} >= 4 THEN 'medium' ELSE 'low' END AS risk FROM {V.sql(LIBS)} v WHERE library <> 'leftpad'",
-)(lambda spark, d: V.frame(spark, d, LIBS).select("id", debt.alias("debt")).where("debt is not null").select("id", "debt.*"))
+)(lambda spark, d: V.frame(spark, d, LIBS).select("id", debt().alias("debt")).where("debt is not null").select("id", "debt.*"))
 SPEED = "greatest(0, 100 - CASE WHEN homepage_ms > 3000 THEN 40 ELSE 0 END - CASE WHEN ttfb_ms > 1200 THEN 30 ELSE 0 END)"
 SECURITY = "greatest(0, 100 - CASE WHEN NOT https THEN 50 ELSE 0 END - CASE WHEN NOT hsts THEN 20 ELSE 0 END - CASE WHEN coalesce(cert_days, 99) < 30 THEN 20 ELSE 0 END)"
 SEARCH = "greatest(0, 100 - CASE WHEN NOT has_schema THEN 30 ELSE 0 END - CASE WHEN broken_links > 0 THEN 20 ELSE 0 END)"
@@ -66,7 +66,7 @@ query("audit_findings", " UNION ALL ".join(f"SELECT company_id, '{k}' AS \"check
 
 LOCAL = "lower(regexp_extract(coalesce(email, ''), '^([^@]*)', 1))"
 ROLE = f"list_filter(list_concat([{LOCAL}], regexp_split_to_array({LOCAL}, '[._-]')), lambda t: t IN ({quoted(outreach.ROLES)}))[1]"
-projection("role_account", V.CONTACTS, {"id": F.col("id"), "role": outreach.role_account(F.col("email"))}, f"id, {ROLE} AS role")
+projection("role_account", V.CONTACTS, lambda: {"id": F.col("id"), "role": outreach.role_account(F.col("email"))}, f"id, {ROLE} AS role")
 PROBES = """
 SELECT 'u' || CAST(l_orderkey % 5000 AS STRING) || '@m.com' AS email, l_linenumber - 1 AS mx_idx,
   CASE (l_orderkey + l_linenumber) % 7 WHEN 0 THEN 250 WHEN 1 THEN 550 WHEN 2 THEN 450 WHEN 3 THEN 552 WHEN 4 THEN 421 WHEN 5 THEN 0 ELSE 554 END AS code,
