@@ -4,12 +4,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from prospectra.plans import catalog, catalog_leads, catalog_pages  # noqa: F401
+from prospectra.plans import catalog, catalog_leads, catalog_pages, catalog_rest  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 #: Queries whose result is one row or may be empty on so few rows.
-FEW = {"retry_counts", "run_summary", "key_subpages"}
+FEW = {"retry_counts", "run_summary", "key_subpages", "outreach_ready_count", "page_contacts", "extract_emails"}
 
 
 @pytest.fixture(scope="module")
