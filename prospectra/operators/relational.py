@@ -57,6 +57,9 @@ def greedy_two_keys(df: DataFrame, first: str, second: str, order: str, rounds:
     Each round accepts rows that come first on both keys among those left, and drops what conflicts with them. The
     lineage is cut after each round.
     """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     accepted, left = None, df
     for _ in range(rounds):
         w = lambda k: Window.partitionBy(k)
