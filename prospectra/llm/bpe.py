@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text bytes whose distinct pieces are merged together.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 #: Token ids that are decoded together.
 SLICE_IDS = 1 << 20
 NONE = np.iinfo(np.int32).max
@@ -260,7 +260,20 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(_offsets(lengths), pa.array(ids, pa.int32()))], names=[*b.schema.names, "ids"])
 
     rows = docs.select(*keep)
-    return rows.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, ids array<int>")
+    return rows.mapInArrow(run, _schema(rows, "ids array<int>"))
+
+
+def _decoded(lists: pa.ListArray, vocab: Vocabulary) -> pa.Array:
+    """The bytes that each list of ids stands for; null lists give none."""
+    ids, n = lists.flatten().to_numpy(), pc.fill_null(lists.value_lengths(), 0).to_numpy()
+    lengths = vocab.lengths[ids]
+    data = vocab.bytes[_gather(vocab.starts[ids], lengths)]
+    sums = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(sums[_offsets(n)].astype(np.int32)), pa.py_buffer(data)])
+
+
+def _schema(rows: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *more])
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -276,16 +289,27 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, SLICE_IDS)[1:]))
             for first, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), whole.num_rows], strict=True):
                 b = whole.slice(first, stop - first)
-                lists = b.column(at)
-                ids, n = lists.flatten().to_numpy(), pc.fill_null(lists.value_lengths(), 0).to_numpy()
-                lengths = vocab.lengths[ids]
-                data = vocab.bytes[_gather(vocab.starts[ids], lengths)]
-                sums = np.concatenate([[0], np.cumsum(lengths)])
-                out = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(sums[_offsets(n)].astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*b.columns, _decoded(b.column(at), vocab)], names=[*b.schema.names, "decoded"])
 
     rows = encoded.select(*keep)
-    return rows.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, decoded binary")
+    return rows.mapInArrow(run, _schema(rows, "decoded binary"))
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded`` in place of the text: encoding, then decoding of the ids, in one pass."""
+    sent = load_vocabulary(docs.sparkSession, path)
+    keep = [c for c in docs.columns if c not in ("ids", "decoded", text_col)]
+
+    def run(batches):
+        vocab = _vocabulary(sent)
+        for t in _slices(batches):
+            for b in t.to_batches():
+                ids, lengths = encode_texts(b.column(len(keep)).to_pylist(), vocab)
+                lists = pa.ListArray.from_arrays(_offsets(lengths), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, _decoded(lists, vocab)], names=[*keep, "ids", "decoded"])
+
+    rows = docs.select(*keep)
+    return docs.select(*keep, text_col).mapInArrow(run, _schema(rows, "ids array<int>", "decoded binary"))
 
 
 def digests(encoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -302,4 +326,4 @@ def digests(encoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(decode(encode(docs).drop("text")))
+    return digests(round_trip(docs))
