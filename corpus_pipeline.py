@@ -33,8 +33,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of the bytes decoded from them."""
-    encoded = bpe.decode(bpe.encode(docs).drop("text", "lang", "source", "n_chars"))
-    return bpe.digests(encoded, keep=("ids",))
+    return bpe.digests(bpe.round_trip(docs.select("doc_id", "text")), keep=("ids",))
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("simhash_near_dedup", near_duplicates), ("source_mixing", mixture), ("byte_bpe", tokens)]
