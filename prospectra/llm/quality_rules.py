@@ -202,8 +202,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
         .limit(sample_rows)
     )
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # sample_rows rows at most
-    rows = text_statistics(chosen).where(~base_failed()).select("bad", *(statistic(n).alias(n) for n in RATIOS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_rows).collect()
-    return learn([r.asDict() for r in rows])
+    # the base rule is applied to the collected rows: as a filter here it would move below the join, to all documents
+    columns = [statistic(n).alias(n) for n in RATIOS]
+    rows = text_statistics(chosen).select("bad", base_failed().alias("failed"), *columns).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_rows).collect()
+    return learn([r.asDict() for r in rows if not r["failed"]])
 
 
 def judge_quality(docs: DataFrame, rules: DecisionList) -> DataFrame:
