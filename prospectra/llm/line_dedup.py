@@ -13,13 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, let, release_shuffles, scratch, two_hashes
+from .common import connected_components, forget, let, release_shuffles, scratch, two_hashes
 
 TAU = 2
 #: Shorter lines are left alone.
 MIN_CHARS = 32
 #: Letters whose numbers tell lines apart before their distance is computed.
 LETTERS = "etaoinsrhldcumfpgwybvk"
+PREFIX_BITS = 18
 
 
 def edit_distance_at_most(a: Column, b: Column, tau: int) -> Column:
@@ -71,32 +72,32 @@ def edit_distance_at_most(a: Column, b: Column, tau: int) -> Column:
     return let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), run)
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of a string of this length: even parts, the longer ones last."""
-    short, first_long = F.floor(length / parts).cast("int"), parts - length % parts
-    return short * i + F.greatest(F.lit(i) - first_long, F.lit(0)), short + (F.lit(i) >= first_long).cast("int")
+def _keys(line: Column, tau: int) -> tuple[Column, Column]:
+    """Index keys and probe keys of a line, by multi-match-aware selection of substrings; null where there is none.
 
-
-def _keys(line: Column, n: Column, tau: int) -> tuple[list[Column], list[Column]]:
-    """Index keys and probe keys of a line of ``n`` characters, by multi-match-aware selection of substrings."""
+    Even segments, the longer ones last. A key is computed in a lambda over small tables of constants rather than in one
+    generated method, which would grow too large to be compiled.
+    """
     parts = tau + 1
-    key = lambda length, i, at, size: F.xxhash64(length, F.lit(i), F.substring(line, at + 1, size))
-    index = [key(n, i, *_segment(n, i, parts)) for i in range(parts)]
-    probes = []
-    for delta in range(parts):
-        shorter = n - delta
-        for i in range(parts):
-            at, size = _segment(shorter, i, parts)
-            for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
-                start = at + shift
-                probes.append(F.when((start >= 0) & (start + size <= n), key(shorter, i, start, size)))
-    return index, probes
+    own = [(0, i, 0) for i in range(parts)]
+    probed = [(delta, i, shift) for delta in range(parts) for i in range(parts) for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1)]
+    table = lambda rows: F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("dis", row, strict=True))) for row in rows))
+
+    def key(x: Column, n: Column) -> Column:
+        length = n - x["d"]
+        short, first_long = F.floor(length / parts).cast("int"), parts - length % parts
+        start = short * x["i"] + F.greatest(x["i"] - first_long, F.lit(0)) + x["s"]
+        size = short + F.when(x["i"] >= first_long, 1).otherwise(0)
+        return F.when((start >= 0) & (start + size <= n), F.xxhash64(length, x["i"], F.substring(line, start + 1, size)))
+
+    of = lambda rows: let(F.char_length(line), lambda n: F.transform(table(rows), lambda x: key(x, n)))
+    return of(own), of(probed)
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Lines of at least ``min_chars`` characters, without white space at their ends: ``doc_id``, ``h1``, ``h2``, ``pos``, ``line``, ``lid``."""
+    """Lines of at least ``min_chars`` characters, without the spaces at their ends: ``doc_id``, ``h1``, ``h2``, ``pos``, ``line``, ``lid``."""
     h1, h2 = two_hashes(F.col("doc_id"), F.col("text"))
-    line = F.trim(F.col("raw"), F.lit(" \t\x0b\x0c\r"))
+    line = F.trim(F.col("raw"))
     rows = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     return rows.select("doc_id", "h1", "h2", "pos", line.alias("line")).where(F.char_length("line") >= min_chars).withColumn("lid", F.xxhash64("line"))
 
@@ -106,21 +107,21 @@ def _tokens(line: Column) -> Column:
     return F.split(line, "(?<= )")
 
 
-def _letter_counts(line: Column) -> list[Column]:
-    return [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS]
+def _letter_counts(line: Column, letters: str = LETTERS) -> Column:
+    """The number of each letter, as an array."""
+    return F.transform(F.array(*(F.lit(c) for c in letters)), lambda c: F.octet_length(line) - F.octet_length(F.replace(line, c, F.lit(""))))
 
 
-def _parities(line: Column) -> Column:
-    """Whether the number of words in each of 31 hash buckets is odd (low bits), and that of each letter (high bits)."""
-    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
-    by_word = F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(bit(F.pmod(F.xxhash64(w), F.lit(31)).cast("int"))))
-    return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft((n % 2).cast("long"), 32 + i) for i, n in enumerate(_letter_counts(line))), by_word)
+def _letters(line: Column) -> Column:
+    """The numbers of the first 16 letters modulo 16, packed in a long."""
+    return F.aggregate(_letter_counts(line, LETTERS[:16]), F.lit(0).cast("long"), lambda acc, n: F.shiftleft(acc, 4).bitwiseOR((n % 16).cast("long")))
 
 
 def _may_be_near(x: Column, y: Column, tau: int) -> Column:
-    """An edit turns three word parities at most (it can join or split words) and two letter parities."""
-    turned = x.bitwiseXOR(y)
-    return (F.bit_count(turned.bitwiseAND(F.lit((1 << 32) - 1))) <= 3 * tau) & (F.bit_count(F.shiftrightunsigned(turned, 32)) <= 2 * tau)
+    """An edit changes the numbers of two letters at most, by one each."""
+    fifteen = F.lit(15).cast("long")
+    apart = lambda i: (F.shiftrightunsigned(x, 4 * i).bitwiseAND(fifteen) - F.shiftrightunsigned(y, 4 * i)).bitwiseAND(fifteen)
+    return reduce(lambda a, b: a + b, (F.least(apart(i), 16 - apart(i)) for i in range(16))) <= 2 * tau
 
 
 def within_edits(a: Column, b: Column, tau: int) -> Column:
@@ -148,17 +149,25 @@ def within_edits(a: Column, b: Column, tau: int) -> Column:
 
 def similar_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """Edges ``a``, ``b`` between the ``lid`` of different lines within ``tau`` edits."""
-    n = F.char_length("line")
-    distinct = lines.groupBy("line").agg(F.count("*").alias("copies")).select("line", F.xxhash64("line").alias("lid"), _parities(F.col("line")).alias("parity"))
-    index, probes = _keys(F.col("line"), n, tau)
-    indexed = distinct.select("lid", "parity", F.explode(F.array(*index)).alias("key"))
-    probing = distinct.select(F.col("lid").alias("other"), F.col("parity").alias("other_parity"), F.explode(F.array(*probes)).alias("key")).where("key is not null")
-    near = _may_be_near(F.col("parity"), F.col("other_parity"), tau)
+    line = F.col("line")
+    distinct = lines.groupBy("line").agg(F.count("*").alias("copies"))
+    index, probes = _keys(line, tau)
+    keys = distinct.select(F.xxhash64("line").alias("lid"), _letters(line).alias("letters"), index.alias("index"), probes.alias("probes"))
+    keys = scratch(keys, "line-keys")
+    release_shuffles(keys.sparkSession)
+    indexed = keys.select("lid", "letters", F.explode("index").alias("key"))
+    probing = keys.select(F.col("lid").alias("other"), F.col("letters").alias("other_letters"), F.explode("probes").alias("key")).where("key is not null")
+    near = _may_be_near(F.col("letters"), F.col("other_letters"), tau)
     pairs = probing.join(indexed, (probing["key"] == indexed["key"]) & (F.col("other") != F.col("lid")) & near)
     pairs = scratch(pairs.select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct(), "line-candidates")
+    forget(keys)
+    release_shuffles(keys.sparkSession)
     ids = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
-    texts = lines.select("lid", "line").join(ids, "lid", "left_semi").distinct()
-    texts = scratch(texts.withColumn("counts", F.array(*_letter_counts(F.col("line")))), "candidate-lines")
+    # a table of the first PREFIX_BITS bits of all candidate ids, never above 2 ** PREFIX_BITS rows, keeps other lines out of the shuffle
+    prefix = F.shiftrightunsigned("lid", 64 - PREFIX_BITS)
+    near_ids = lines.select("lid", "line", prefix.alias("prefix")).join(F.broadcast(ids.select(prefix.alias("prefix")).distinct()), "prefix", "left_semi").drop("prefix")
+    texts = near_ids.join(ids, "lid", "left_semi").distinct()
+    texts = scratch(texts.withColumn("counts", _letter_counts(F.col("line"))), "candidate-lines")
     both = pairs
     for side in "ab":
         both = both.join(texts.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}"), F.col("counts").alias(f"counts_{side}")), side)
