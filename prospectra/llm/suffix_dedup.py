@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_shuffles, scratch, two_hashes
+from .common import forget, release_shuffles, scratch, two_hashes
 
 LENGTH = 400
 #: A position is sampled if its 27-byte name is lowest in some window of so many positions.
@@ -145,9 +145,11 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     shared = scratch(_positions(texts, True).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "shared-cores")
     release_shuffles(spark)
     found = scratch(_positions(texts, False).join(shared, "core"), "shared-positions")
+    forget(shared)
     release_shuffles(spark)
     whole = found.groupBy("context").agg(F.count("*").alias("n")).where("n > 1").select("context", F.lit(True).alias("whole"))
     runs = scratch(found.join(whole, "context", "left").select("core", "context", "h1", "h2", "first", "last", F.col("whole").isNotNull().alias("whole")), "position-runs")
+    forget(found)
     # a start at an edge can repeat one within a whole context: of each such context, one position is named too
     edges = runs.where("not whole").select("core", "h1", "h2", "first", "last")
     inner = runs.where("whole").join(edges.select("core").distinct(), "core", "left_semi").groupBy("context").agg(F.min(F.struct("h1", "h2", "first", "last")).alias("one")).select("one.*")
@@ -182,7 +184,10 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     repeated = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     single = named.join(repeated, "name").groupBy("h1", "h2").agg(F.collect_list("start").alias("single"))
     spans = runs.where("whole").groupBy("h1", "h2").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    return scratch(spans.join(single, ["h1", "h2"], "full"), "repeated-starts")
+    out = scratch(spans.join(single, ["h1", "h2"], "full"), "repeated-starts")
+    forget(runs)
+    forget(named)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
