@@ -4,25 +4,33 @@ The rows of each source form blocks. Block k of a source with share w may be rel
 ceil((k + 1) / w); at each slot the released block with the earliest deadline is placed, so that a source is never a
 whole block ahead of or behind its share. Shares are multiples of 1 / resolution, so the schedule repeats after that many
 slots and one cycle, computed once, places any number of blocks.
+
+Every source has a share of its own, however many there are. The driver holds a count a source and one cycle; the plan is
+a table, which is met with the blocks by an equi-join.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import two_hashes
+from .common import scratch_root, two_hashes
 
 BLOCK_ROWS, RESOLUTION = 8, 8192
+#: Slots of a cycle for each source, where RESOLUTION is less.
+SLOTS_A_SOURCE = 16
 #: Default target weights: the number of rows of a source to this power.
 TEMPERATURE = 0.5
-#: Sources with a share of their own; the rows of all smaller ones are pooled into one source.
-MAX_SOURCES = 256
 #: Parts into which the rows of a source are dealt to be counted.
 BUCKETS = 1024
+#: Slots of the plan that are written at once, and blocks of a source that a task takes at once, or a cycle if that is more.
+PLAN_PART, PLAN_STEP = 1 << 18, 4096
+PLAN = "label string, first long, stop long, start long, a int, size long, offsets array<long>"
 
 
 def quotas(weights: dict[str, float], resolution: int) -> dict[str, int]:
@@ -33,8 +41,14 @@ def quotas(weights: dict[str, float], resolution: int) -> dict[str, int]:
     while (short := resolution - sum(out.values())) > 0:
         for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[:short]:
             out[s] += 1
-    while sum(out.values()) > resolution:  # the least quota of one took from the others
-        out[max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -math.inf, s))] -= 1
+    if short < 0:  # the least quota of one took from the others
+        names = sorted(out)
+        ahead = [(exact[s] - out[s], -i) for i, s in enumerate(names) if out[s] > 1]
+        heapq.heapify(ahead)
+        for _ in range(-short):
+            s = names[-ahead[0][1]]
+            out[s] -= 1
+            heapq.heapreplace(ahead, (exact[s] - out[s], ahead[0][1])) if out[s] > 1 else heapq.heappop(ahead)
     return out
 
 
@@ -54,32 +68,54 @@ def pfair_cycle(share: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], resolution: int = RESOLUTION) -> list[tuple]:
-    """Segments (source, first block, end, first slot, blocks a cycle, slots a cycle, offsets) that place every block once.
+def schedule(rows: dict[str, int], weights: dict[str, float], block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> Iterator[tuple]:
+    """Segments (source, first block, end, start, blocks a cycle, rows a cycle, offsets) that place every block once.
 
-    While all sources last, each keeps its share; when one is used up, the others share by their weights again.
+    Block ``first + j`` starts at row ``start + j // blocks * rows + offsets[j % blocks]``. While all sources last, each
+    keeps its share; when one is used up, the others share by their weights again. The last block of a source may be
+    short: what lies behind it moves up.
     """
-    left, done, slot, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    blocks = {s: -(-n // block_rows) for s, n in rows.items() if n}
+    left, done, start = dict(blocks), dict.fromkeys(blocks, 0), 0
     while left:
         share = quotas({s: weights[s] for s in left}, resolution) if len(left) > 1 else dict.fromkeys(left, 1)
         cycle, size = pfair_cycle(share), sum(share.values())
-        rounds = min(n // share[s] for s, n in left.items())
+        rounds = min((n - 1) // share[s] for s, n in left.items())
         if rounds:
             for s in left:
-                out.append((s, done[s], done[s] + rounds * share[s], slot, share[s], size, cycle[s]))
+                yield s, done[s], done[s] + rounds * share[s], start, share[s], size * block_rows, [t * block_rows for t in cycle[s]]
                 done[s] += rounds * share[s]
                 left[s] -= rounds * share[s]
-            slot += rounds * size
-        if all(left.values()):  # one more cycle, in which at least one source is used up
-            taken = {s: cycle[s][: min(n, share[s])] for s, n in left.items()}
-            place = {t: i for i, t in enumerate(sorted(t for x in taken.values() for t in x))}
-            for s, x in taken.items():
-                out.append((s, done[s], done[s] + len(x), slot, max(1, len(x)), len(place), [place[t] for t in x]))
-                done[s] += len(x)
-                left[s] -= len(x)
-            slot += len(place)
+            start += rounds * size * block_rows
+        # one more cycle, in which at least one source is used up
+        offsets, at = {s: [] for s in left}, 0
+        for _, s, k in sorted((t, s, k) for s, n in left.items() for k, t in enumerate(cycle[s][:n])):
+            offsets[s].append(at)
+            at += rows[s] - (blocks[s] - 1) * block_rows if done[s] + k == blocks[s] - 1 else block_rows
+        for s, x in offsets.items():
+            yield s, done[s], done[s] + len(x), start, len(x), at, x
+            done[s] += len(x)
+            left[s] -= len(x)
+        start += at
         left = {s: n for s, n in left.items() if n}
-    return out
+
+
+def plan_table(spark: SparkSession, segments: Iterable[tuple]) -> DataFrame:
+    """The segments as a table, written part by part: the driver never holds all of them."""
+    path = f"{scratch_root(spark)}/mix-plan-{uuid.uuid4().hex}"
+    part, slots = [], 0
+
+    def write() -> None:
+        spark.createDataFrame(part, PLAN).write.mode("append").parquet(path)
+
+    for x in segments:
+        part.append(x)
+        slots += len(x[-1])
+        if slots >= PLAN_PART:
+            write()
+            part, slots = [], 0
+    write()
+    return spark.read.schema(PLAN).parquet(path)
 
 
 def place_rows(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
@@ -91,50 +127,32 @@ def place_rows(docs: DataFrame, weights: dict[str, float] | None = None, block_r
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("mix_source", "mix_block", "mix_position")]
-    # a label per source: "s:" and its name, "n:" for null; the label "p:" pools all beyond MAX_SOURCES
+    # a label per source: "s:" and its name, "n:" for null
     label = F.when(F.col("source").isNull(), "n:").otherwise(F.concat(F.lit("s:"), F.col("source").cast("string")))
-    counts = docs.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
-    largest = counts.orderBy(F.desc("n"), "label").limit(MAX_SOURCES).collect()
-    named = [r["label"] for r in largest]
-    if len(named) == MAX_SOURCES:
-        label = F.when(label.isin(named[:-1]), label).otherwise("p:")
     h1, h2 = two_hashes(F.col("doc_id"), F.col("text"))
     rows = docs.select(F.struct(*keep).alias("row"), label.alias("label"), h1.alias("h1"), h2.alias("h2")).withColumn("bucket", F.shiftrightunsigned("h1", 64 - (BUCKETS.bit_length() - 1)).cast("int"))
     sizes = rows.groupBy("label", "bucket").agg(F.count("*").alias("n"))
-    total = {r["label"]: r["n"] for r in sizes.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # MAX_SOURCES rows at most
+    total = {r["label"]: r["n"] for r in sizes.groupBy("label").agg(F.sum("n").alias("n")).toLocalIterator()}
     if weights is None:
         share = {s: n**TEMPERATURE for s, n in total.items()}
     else:
         share = {s: max(weights.get(s[2:] if s[0] == "s" else None, min(weights.values())), 1e-9) for s in total}
-    segments = schedule({s: -(-n // block_rows) for s, n in total.items()}, share, max(resolution, 4 * len(total)))
-    plan = spark.createDataFrame(
-        [(s, [x[1:] for x in segments if x[0] == s]) for s in total],
-        "label string, plan array<struct<first:long,stop:long,slot:long,a:int,size:int,offsets:array<int>>>",
-    )
-    # the last block of a source may be short: what lies behind it moves up
-    short = []
-    for s, n in total.items():
-        if n % block_rows:
-            x = next(x for x in segments if x[0] == s and x[2] == -(-n // block_rows))
-            j = x[2] - 1 - x[1]
-            short.append((x[3] + j // x[4] * x[5] + x[6][j % x[4]], block_rows - n % block_rows))
+    plan = plan_table(spark, schedule(total, share, block_rows, max(resolution, SLOTS_A_SOURCE * len(total))))
+    # the first row of each block, found once a block and brought to the rows with the ranks of their bucket
+    step = F.greatest("a", F.lit(PLAN_STEP)).cast("long")
+    pieces = plan.withColumn("from", F.explode(F.sequence("first", F.col("stop") - 1, step))).repartition("label", "from")
+    place = lambda j: F.col("start") + F.floor(j / F.col("a")) * F.col("size") + F.get("offsets", (j % F.col("a")).cast("int"))
+    own = F.sequence("from", F.least(F.col("from") + step, "stop") - 1)
+    starts = pieces.select("label", F.inline(F.transform(own, lambda k: F.struct(k.alias("block"), place(k - F.col("first")).alias("start")))))
     before = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("label", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"))
+    ranks = sizes.select("label", "bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"))
+    first, last = F.floor(F.col("rank0") / block_rows), F.floor((F.col("rank0") + F.col("n") - 1) / block_rows)
+    met = ranks.select("label", "bucket", "rank0", F.explode(F.sequence(first, last)).alias("block")).join(starts, ["label", "block"])
+    offsets = met.groupBy("label", "bucket").agg(F.first("rank0").alias("rank0"), F.min("block").alias("block0"), F.sort_array(F.collect_list("start")).alias("starts"))
     ranked = rows.join(offsets, ["label", "bucket"]).withColumn("rank", F.col("rank0") + F.row_number().over(Window.partitionBy("label", "bucket").orderBy("h1", "h2")) - 1)
     block = F.floor(F.col("rank") / block_rows)
-    missing = F.aggregate(
-        F.filter(F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.lit(n).cast("long").alias("n")) for t, n in short)), lambda x: x["t"] < F.col("slot")),
-        F.lit(0).cast("long"),
-        lambda acc, x: acc + x["n"],
-    ) if short else F.lit(0)
-    return (
-        ranked.join(F.broadcast(plan), "label")  # at most MAX_SOURCES rows and that many cycles
-        .withColumn("block", block)
-        .withColumn("at", F.get(F.filter("plan", lambda x: (x["first"] <= F.col("block")) & (F.col("block") < x["stop"])), F.lit(0)))
-        .withColumn("j", F.col("block") - F.col("at.first"))
-        .withColumn("slot", F.col("at.slot") + F.floor(F.col("j") / F.col("at.a")) * F.col("at.size") + F.get(F.col("at.offsets"), (F.col("j") % F.col("at.a")).cast("int")))
-        .select("row.*", F.col("label").alias("mix_source"), F.col("block").cast("long").alias("mix_block"), (F.col("slot") * block_rows + F.col("rank") % block_rows - missing).cast("long").alias("mix_position"))
-    )
+    position = F.get("starts", (block - F.col("block0")).cast("int")) + F.col("rank") % block_rows
+    return ranked.select("row.*", F.col("label").alias("mix_source"), block.cast("long").alias("mix_block"), position.cast("long").alias("mix_position"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -182,6 +182,20 @@ def test_pfair_cycle_stays_within_a_block():
         assert all(abs(sum(x < t for x in slots) - t * share[s] / 100) < 1 for t in range(101))
 
 
+def test_mixing_gives_every_one_of_many_sources_its_share(spark):
+    """Each of 1,000 equal sources has one block of two in the first half of the mix, under its own name."""
+    docs = spark.range(1000 * 16).select(F.col("id").alias("doc_id"), F.concat(F.lit("src"), F.col("id") % 1000).alias("source"), F.col("id").cast("string").alias("text"))
+    got = mixing.place_rows(docs, {None: 1.0}).select("source", "mix_source", "mix_position").collect()
+    assert all(r.mix_source == f"s:{r.source}" for r in got)
+    assert sorted(r.mix_position for r in got) == list(range(16000))
+    assert set(Counter(r.source for r in got if r.mix_position < 8000).values()) == {8}
+
+
+def test_quotas_of_many_sources_are_quick_and_whole():
+    share = mixing.quotas({f"s{i}": 1.0 + 1e6 * (i == 0) for i in range(3000)}, 48000)
+    assert sum(share.values()) == 48000 and min(share.values()) == 1 and share["s0"] == 48000 - 2999
+
+
 def test_repeats_match_brute_force(docs, empty):
     got = suffix_dedup.remove_repeats(docs).collect()
     data = [(i, t.encode()) for i, t in texts()]
