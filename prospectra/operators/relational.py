@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,55 +52,70 @@ def semi_any(df: DataFrame, key: str, others: list[tuple[DataFrame, str, str]])
     return df.join(reduce(DataFrame.unionByName, found).distinct(), key, "left_semi")
 
 
-def greedy_two_keys(df: DataFrame, first: str, second: str, order: str, rounds: int = 50) -> DataFrame:
+def greedy_two_keys(df: DataFrame, first: str, second: str, order: str) -> DataFrame:
     """Rows accepted in order if neither key belongs to a row accepted earlier; a rejected row blocks nothing.
 
-    Each round accepts rows that come first on both keys among those left, and drops what conflicts with them. The
+    Each round accepts rows that come first on both keys among those left, and drops what conflicts with them, until none
+    is left: the first row of all is settled in each round. A null key is a key like others, a null order comes last. The
     lineage is cut after each round.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    accepted, left = None, df
-    for _ in range(rounds):
-        w = lambda k: Window.partitionBy(k)
-        marked = left.withColumn("__a", F.min(order).over(w(first)) == F.col(order)).withColumn("__b", F.min(order).over(w(second)) == F.col(order))
-        now = marked.where("__a and __b").drop("__a", "__b").checkpoint()
-        accepted = now if accepted is None else accepted.unionByName(now)
-        left = left.join(now.select(first), first, "left_anti").join(now.select(second), second, "left_anti").checkpoint()
+    place = F.struct(F.col(order).isNull(), F.col(order))
+    comes_first = lambda k: F.min(place).over(Window.partitionBy(k)).eqNullSafe(place)
+    accepted, left, rounds = None, df, 0
+    while True:
+        now = left.withColumn("__a", comes_first(first)).withColumn("__b", comes_first(second)).where("__a and __b").drop("__a", "__b").checkpoint()
+        accepted, rounds = now if accepted is None else accepted.unionByName(now), rounds + 1
+        if rounds % 16 == 0:  # the union of many rounds is cut too
+            accepted = accepted.coalesce(spark.sparkContext.defaultParallelism).checkpoint()
+        for k in (first, second):
+            left = left.join(now.select(F.col(k).alias("__k")).distinct(), F.col(k).eqNullSafe(F.col("__k")), "left_anti")
+        left = left.checkpoint()
         if left.isEmpty():
-            break
-    return accepted
+            return accepted
+
+
+def _fold(df: DataFrame, keys: list[str], order: list[str], values: list[str], fresh: Callable[[tuple, tuple], bool]) -> DataFrame:
+    """Rows that are the first of their key or ``fresh`` against the last kept row of it, by their ``values``.
+
+    The rows of a key pass through one task in order, batch by batch; only the last kept row is held.
+    """
+
+    def run(batches):
+        key = last = None
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in (*keys, *values)]
+            keep = []
+            for row in zip(*columns, strict=True):
+                k, v = row[: len(keys)], row[len(keys) :]
+                kept = last is None or k != key or fresh(v, last)
+                keep.append(kept)
+                if kept:
+                    key, last = k, v
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    by = [F.col(c).asc_nulls_last() for c in dict.fromkeys([*keys, *order, *df.columns])]
+    return df.repartition(*keys).sortWithinPartitions(*by).mapInArrow(run, df.schema)
 
 
 def spaced_events(df: DataFrame, keys: list[str], ts: str, seconds: int) -> DataFrame:
     """Events at least ``seconds`` after the last kept event of their key: each kept event starts a new span.
 
-    The fold is sequential in each key; the rows of a key must fit a task.
+    Events without a time come last; one is kept only where its key has no other.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, *[c for c in pdf.columns if c != ts]], kind="stable")
-        keep, last = [], None
-        for t in pdf[ts]:
-            fresh = last is None or (t - last).total_seconds() >= seconds
-            keep.append(fresh)
-            last = t if fresh else last
-        return pdf[keep]
+    def fresh(row: tuple, last: tuple) -> bool:
+        return row[0] is not None and (row[0] - last[0]).total_seconds() >= seconds
 
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
+    return _fold(df, keys, [ts], [ts], fresh)
 
 
 def changed_rows(df: DataFrame, key: str, order: str, values: list[str], label: str, tolerance: float = 0.01) -> DataFrame:
     """Rows that differ from the last kept row of their key by ``tolerance`` in any value or in the label."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        keep, last = [], None
-        for row in pdf[[*values, label]].itertuples(index=False):
-            fresh = last is None or row[-1] != last[-1] or any(abs(a - b) >= tolerance for a, b in zip(row[:-1], last[:-1], strict=True))
-            keep.append(fresh)
-            last = row if fresh else last
-        return pdf[keep]
+    def fresh(row: tuple, last: tuple) -> bool:
+        return row[-1] != last[-1] or any(a is not None and b is not None and abs(a - b) >= tolerance for a, b in zip(row[:-1], last[:-1], strict=True))
 
-    return df.groupBy(key).applyInPandas(fold, df.schema)
+    return _fold(df, [key], [order], [*values, label], fresh)

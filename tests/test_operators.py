@@ -82,6 +82,25 @@ def test_greedy_two_keys_against_a_loop(spark):
     assert sorted(r.id for r in got.collect()) == want
 
 
+def test_greedy_two_keys_settles_a_long_chain(spark):
+    """Row i shares a key with the next one; every other row is accepted, one a round, and nothing is left over."""
+    rows = [(i, f"d{(i + 1) // 2}", f"n{i // 2}") for i in range(1, 107)] + [(200, None, "x"), (201, None, "y")]
+    got = relational.greedy_two_keys(spark.createDataFrame(rows, "id int, d string, n string"), "d", "n", "id")
+    assert sorted(r.id for r in got.collect()) == [*range(1, 107, 2), 200]
+
+
+def test_folds_hold_no_whole_key(spark):
+    """One key over many batches: the fold carries its state from batch to batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(100).select("id", F.lit("k").alias("k"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") / 10).alias("v"), F.lit("low").alias("tier"))
+        for found in (relational.spaced_events(df, ["k"], "ts", 600), relational.changed_rows(df, "k", "id", ["v"], "tier", 0.999)):
+            assert sorted(r.id for r in found.collect()) == list(range(0, 100, 10))
+            assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_folds_against_loops(spark):
     rng = random.Random(2)
     start = dt.datetime(2026, 1, 1)
