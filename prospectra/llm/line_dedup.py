@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from .common import connected_components, forget, let, release_shuffles, scratch, two_hashes
 
 TAU = 2
-#: Shorter lines are left alone.
-MIN_CHARS = 32
+#: Shorter lines are compared only with ``short_lines``: with one edit from SHORT_CHARS on, and exactly below.
+MIN_CHARS, SHORT_CHARS = 32, 16
+#: A line has a word if it has a letter or a digit.
+HAS_WORD = r"[\p{L}\p{N}]"
 #: Letters whose numbers tell lines apart before their distance is computed.
 LETTERS = "etaoinsrhldcumfpgwybvk"
 PREFIX_BITS = 18
@@ -94,12 +96,15 @@ def _keys(line: Column, tau: int) -> tuple[Column, Column]:
     return of(own), of(probed)
 
 
-def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Lines of at least ``min_chars`` characters, without the spaces at their ends: ``doc_id``, ``h1``, ``h2``, ``pos``, ``line``, ``lid``."""
+def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
+    """Lines of at least ``min_chars`` characters, or with ``short_lines`` also shorter ones that have a word, without the spaces at their ends: ``doc_id``, ``h1``, ``h2``, ``pos``, ``line``, ``lid``."""
     h1, h2 = two_hashes(F.col("doc_id"), F.col("text"))
     line = F.trim(F.col("raw"))
+    compared = F.char_length("line") >= min_chars
+    if short_lines:
+        compared = compared | F.col("line").rlike(HAS_WORD)
     rows = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    return rows.select("doc_id", "h1", "h2", "pos", line.alias("line")).where(F.char_length("line") >= min_chars).withColumn("lid", F.xxhash64("line"))
+    return rows.select("doc_id", "h1", "h2", "pos", line.alias("line")).where(compared).withColumn("lid", F.xxhash64("line"))
 
 
 def _tokens(line: Column) -> Column:
@@ -176,15 +181,18 @@ def similar_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
     return both.where(same_size & (apart <= 2 * tau)).where(within_edits(F.col("line_a"), F.col("line_b"), tau)).select("a", "b")
 
 
-def repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
     """Places of the lines to remove: ``h1``, ``h2`` (hashes of id and text) and the sorted array ``drop``.
 
     The first occurrence of a class is the one with the smallest id, text hash and line number; rows without an id come last.
     """
-    lines = lines_of(docs, min_chars)
-    roots = connected_components(similar_lines(lines, tau)).select(F.col("node").alias("lid"), F.col("component").alias("root"))
+    edges = similar_lines(lines_of(docs, min_chars), tau)
+    if short_lines:  # up to min_chars, so that a line one character shorter than that meets its longer neighbours
+        between = F.char_length("line").between(SHORT_CHARS, min_chars)
+        edges = edges.unionByName(similar_lines(lines_of(docs, SHORT_CHARS).where(between), min(1, tau)))
+    roots = connected_components(edges).select(F.col("node").alias("lid"), F.col("component").alias("root"))
     release_shuffles(docs.sparkSession)
-    places = lines_of(docs, min_chars).drop("line").join(roots, "lid", "left").withColumn("class", F.coalesce("root", "lid"))
+    places = lines_of(docs, min_chars, short_lines).drop("line").join(roots, "lid", "left").withColumn("class", F.coalesce("root", "lid"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "pos")
     first = places.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
     dropped = places.join(first, "class").where(~((F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2")) & (F.col("pos") == F.col("first.pos"))))
@@ -203,16 +211,17 @@ def _without(text: Column, drop: Column) -> Column:
     return let(F.struct(lines.alias("lines"), ends.alias("at")), kept)
 
 
-def remove_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
     """``docs`` without lines that repeat an earlier line within ``tau`` edits, and the counts ``n_lines``, ``n_removed``.
 
     All rows and columns stay (columns with the names of the counts are replaced); a null text stays null with no lines;
-    an empty text has one empty line; repeated rows are treated alike, as one; short lines are never removed; an empty
-    table stays empty.
+    an empty text has one empty line; repeated rows are treated alike, as one; an empty table stays empty. Lines below
+    ``min_chars`` stay unless ``short_lines`` is set: then one edit is allowed from SHORT_CHARS on and none below, and
+    lines without a letter or digit stay.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     h1, h2 = two_hashes(F.col("doc_id"), F.col("text"))
-    drops = scratch(repeated_lines(docs, tau, min_chars), "line-drops")
+    drops = scratch(repeated_lines(docs, tau, min_chars, short_lines), "line-drops")
     release_shuffles(docs.sparkSession)
     rows = docs.select(F.struct(*keep).alias("row"), h1.alias("h1"), h2.alias("h2")).join(drops, ["h1", "h2"], "left")
     text = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(_without(F.col("row.text"), F.col("drop")))
@@ -226,11 +235,11 @@ def remove_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated lines; a document that lost lines and has no word left goes."""
-    found = remove_repeated_lines(docs)
+    found = remove_repeated_lines(docs, short_lines=True)
     left = F.length(F.translate(F.coalesce(F.col("text"), F.lit("")), " \t\n\x0b\x0c\r", "")) > 0
     return found.where((F.col("n_removed") == 0) | left).select(*docs.columns)
 
 
 def op5_edit_join_line_dedup(spark, sf_dir: str) -> DataFrame:
-    found = remove_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = remove_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short_lines=True)
     return found.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

@@ -132,6 +132,17 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(docs).columns == docs.columns
 
 
+def test_line_dedup_of_short_lines(spark):
+    lines = ["Accept all cookies", "}", "go on", "another text of a page that has more than thirty-two characters"]
+    rows = [(i, "\n".join([*lines[:3], f"{i} {chr(97 + i) * 9} {lines[3][i:]}"])) for i in range(5)] + [(9, "Accept all cookie!\nAccept no cookies\ngo in")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(docs, short_lines=True).collect()}
+    assert got[0].n_removed == 0 and got[0].text == rows[0][1]
+    assert all(got[i].n_removed == 2 and got[i].text == "\n".join(["}", rows[i][1].split("\n")[3]]) for i in range(1, 5))
+    assert got[9].text == "Accept no cookies\ngo in"
+    assert Counter(r.text.count("Accept") for r in line_dedup.dedup_lines(docs).collect()) == Counter({1: 2, 0: 4})
+
+
 def test_edit_distance_band(spark):
     pairs = [("kitten sitting", "kitten sittin"), ("abcdef", "abdcef"), ("abcdef", "bcdefg"), ("aaaaaa", "aaaa"), ("abcdef", "uvwxyz"), ("a b c d", "a b c  d"), ("x y z", "x z")]
     df = spark.createDataFrame(pairs, "a string, b string")
