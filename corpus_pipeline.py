@@ -32,8 +32,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with digests of the ids and of the bytes decoded from them."""
-    return bpe.digests(bpe.round_trip(docs.select("doc_id", "text")), keep=("ids",))
+    """Token ids of each text with its place in the mix, and digests of the ids and of the bytes decoded from them."""
+    placed = mixing.written_position(docs).select("doc_id", "mix_position", "text")
+    return bpe.digests(bpe.round_trip(placed), keep=("ids", "mix_position"))
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("simhash_near_dedup", near_duplicates), ("source_mixing", mixture), ("byte_bpe", tokens)]

@@ -160,6 +160,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     return place_rows(docs, weights).orderBy("mix_position").select(*docs.columns)
 
 
+def written_position(docs: DataFrame) -> DataFrame:
+    """``docs``, a table read from the files that ``mix`` was written to, with ``mix_position`` (gapless from 0).
+
+    The files are in the order of their numbers, which is that of the sorted ranges; readers don't keep it.
+    """
+    name = F.col("mix_file")
+    number = lambda pattern: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0))
+    rows = docs.select(*(c for c in docs.columns if c != "mix_position"), F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    sizes = rows.groupBy("mix_file").agg(F.count("*").alias("n"))
+    before = Window.orderBy(number(r"^part-(\d+)"), number(r"-c(\d+)\."), name).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("mix_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_start"))  # a row a file
+    return rows.join(F.broadcast(starts), "mix_file").withColumn("mix_position", F.col("mix_start") + F.col("mix_row")).drop("mix_file", "mix_start", "mix_row")
+
+
 def op4_pfair_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return place_rows(docs.select("doc_id", "source", F.xxhash64("text").alias("text"))).select("doc_id", "source", "mix_source", "mix_block", "mix_position")

@@ -202,6 +202,18 @@ def test_mixing_gives_every_one_of_many_sources_its_share(spark):
     assert set(Counter(r.source for r in got if r.mix_position < 8000).values()) == {8}
 
 
+def test_last_stage_has_the_place_in_the_mix_of_many_files(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 % 3).cast("string").alias("source"), F.concat(F.lit("text "), "id").alias("text"))
+    want = {r.doc_id: r.mix_position for r in mixing.place_rows(docs).collect()}
+    path = str(tmp_path / "mix")
+    corpus_pipeline.mixture(spark, docs, "").write.option("maxRecordsPerFile", 90).parquet(path)
+    assert len(spark.read.parquet(path).inputFiles()) > 30
+    got = corpus_pipeline.tokens(spark, spark.read.parquet(path), "").select("doc_id", "mix_position").collect()
+    assert {r.doc_id: r.mix_position for r in got} == want
+
+
 def test_quotas_of_many_sources_are_quick_and_whole():
     share = mixing.quotas({f"s{i}": 1.0 + 1e6 * (i == 0) for i in range(3000)}, 48000)
     assert sum(share.values()) == 48000 and min(share.values()) == 1 and share["s0"] == 48000 - 2999
