@@ -160,8 +160,8 @@ def link_health(links: DataFrame, status: DataFrame, n: int = 10) -> DataFrame:
     return first.groupBy("page_id").agg(F.count("*").alias("n_checked"), F.count_if(broken).alias("n_broken"))
 
 
-def page_contacts(pages: DataFrame, domain: Column, emails: Column, n: int = 3) -> DataFrame:
-    """First ``n`` addresses of each page: own domain first, then inboxes, then as they stand."""
+def page_contacts(pages: DataFrame, domain: Column, emails: Column, n: int | None = 3) -> DataFrame:
+    """First ``n`` addresses of each page, or all for None: own domain first, then inboxes, then as they stand."""
     rows = pages.select("page_id", domain.alias("domain"), F.posexplode(emails).alias("position", "email"))
     points = F.when(F.col("email").endswith(F.concat(F.lit("@"), "domain")), 10).otherwise(0) + F.when(F.col("email").rlike("^(info|contact|hello|office|sales)@"), 5).otherwise(0)
     return top_per_key(rows.withColumn("points", points), "page_id", [F.desc("points"), F.col("position")], n).drop("position")

@@ -19,9 +19,10 @@ def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), order).alias("row")).select("row.*")
 
 
-def top_per_key(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
-    """At most ``n`` rows of each key in this order, numbered from 1 in ``rank``."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
+def top_per_key(df: DataFrame, key: str, order: list[Column], n: int | None) -> DataFrame:
+    """At most ``n`` rows of each key in this order, or all of them for None, numbered from 1 in ``rank``."""
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: str, exempt: Column | None = None) -> DataFrame:

@@ -59,5 +59,5 @@ query("query_matrix", "SELECT category, city FROM (SELECT category, city, row_nu
 GENERATED = "SELECT conv_id * 100 + turn AS id, '<think>' || role || '</think>**Subject: Hello ' || CAST(conv_id AS STRING) || '**' || chr(10) || 'Body ' || CAST(turn AS STRING) AS raw FROM {conversations}"
 projection("clean_generated_text", GENERATED, lambda: {"id": F.col("id"), "subject": T.clean_generated_text(F.col("raw"))["subject"], "body": T.clean_generated_text(F.col("raw"))["body"]}, "id, 'Hello ' || CAST(id // 100 AS STRING) AS subject, 'Body ' || CAST(id % 100 AS STRING) AS body")
 query("page_contacts", r"SELECT doc_id, email FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})', 1))) AS email FROM documents) x")(
-    lambda spark, d: leads.page_contacts(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("page_id"), "text"), F.lit("example.com"), T.extract_emails(F.col("text")), 1000).select(F.col("page_id").alias("doc_id"), "email")
+    lambda spark, d: leads.page_contacts(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("page_id"), "text"), F.lit("example.com"), T.extract_emails(F.col("text")), None).select(F.col("page_id").alias("doc_id"), "email")
 )

@@ -116,6 +116,13 @@ def test_folds_against_loops(spark):
     assert [r.id for r in relational.changed_rows(drift, "k", "id", ["v"], "tier").orderBy("id").collect()] == [0, 3, 6, 9]
 
 
+def test_page_contacts_keeps_all_addresses(spark, tmp_path):
+    from prospectra.plans import catalog, catalog_rest  # noqa: F401
+
+    spark.createDataFrame([(1, " ".join(f"u{i}@biz.com" for i in range(1500)))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalog.QUERIES["page_contacts"](spark, str(tmp_path)).count() == 1500
+
+
 def test_merge_and_any_joins(spark):
     old = spark.createDataFrame([("a", "A", "x"), ("b", "", "y")], "domain string, name string, industry string")
     new = spark.createDataFrame([("b", "B", None), ("c", "C", "z")], "domain string, name string, industry string")
