@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text bytes whose distinct pieces are merged together.
 SLICE_BYTES = 3 << 20
@@ -199,26 +201,6 @@ def encode_texts(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndarray
     return chunk_ids[_gather(chunk_start[chunk_of], lengths)], per_text
 
 
-def _slices(batches):
-    """Arrow batches, put together up to SLICE_BYTES."""
-    held, size = [], 0
-    for b in batches:
-        at = 0
-        while at < b.num_rows:  # a batch that is larger is cut
-            n = b.num_rows - at
-            while n > 1 and b.slice(at, n).nbytes > SLICE_BYTES:
-                n = (n + 1) // 2
-            part = b.slice(at, n)
-            held.append(part)
-            size += part.nbytes
-            at += n
-            if size >= SLICE_BYTES:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _offsets(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
 
@@ -254,10 +236,9 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
     def run(batches):
         vocab = _vocabulary(sent)
-        for t in _slices(batches):
-            for b in t.to_batches():
-                ids, lengths = encode_texts(b.column(at).to_pylist(), vocab)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(_offsets(lengths), pa.array(ids, pa.int32()))], names=[*b.schema.names, "ids"])
+        for b in slices(batches, SLICE_BYTES):
+            ids, lengths = encode_texts(b.column(at).to_pylist(), vocab)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(_offsets(lengths), pa.array(ids, pa.int32()))], names=[*b.schema.names, "ids"])
 
     rows = docs.select(*keep)
     return rows.mapInArrow(run, _schema(rows, "ids array<int>"))
@@ -302,11 +283,10 @@ def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None)
 
     def run(batches):
         vocab = _vocabulary(sent)
-        for t in _slices(batches):
-            for b in t.to_batches():
-                ids, lengths = encode_texts(b.column(len(keep)).to_pylist(), vocab)
-                lists = pa.ListArray.from_arrays(_offsets(lengths), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, _decoded(lists, vocab)], names=[*keep, "ids", "decoded"])
+        for b in slices(batches, SLICE_BYTES):
+            ids, lengths = encode_texts(b.column(len(keep)).to_pylist(), vocab)
+            lists = pa.ListArray.from_arrays(_offsets(lengths), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, _decoded(lists, vocab)], names=[*keep, "ids", "decoded"])
 
     rows = docs.select(*keep)
     return docs.select(*keep, text_col).mapInArrow(run, _schema(rows, "ids array<int>", "decoded binary"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,25 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def slices(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together or cut to about ``limit`` bytes; a row is never cut."""
+    held, size = [], 0
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = b.num_rows - at
+            while n > 1 and b.slice(at, n).nbytes > limit:
+                n = (n + 1) // 2
+            held.append(b.slice(at, n))
+            size += held[-1].nbytes
+            at += n
+            if size >= limit:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it many times in ``body`` (a lambda of one Column)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

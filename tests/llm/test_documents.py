@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -219,23 +220,47 @@ def test_quotas_of_many_sources_are_quick_and_whole():
     assert sum(share.values()) == 48000 and min(share.values()) == 1 and share["s0"] == 48000 - 2999
 
 
-def test_repeats_match_brute_force(docs, empty):
-    got = suffix_dedup.remove_repeats(docs).collect()
-    data = [(i, t.encode()) for i, t in texts()]
+def brute_repeats(data):
+    """(id, bytes, removed, runs, kept) by row, and the rows' (text, start) of repeated strings."""
     n = suffix_dedup.LENGTH
     count = Counter(b[i : i + n] for _, b in data for i in range(len(b) - n + 1))
-    want = Counter()
+    want, starts = Counter(), Counter()
     for i, b in data:
         gone = bytearray(len(b))
         for k in range(len(b) - n + 1):
             if count[b[k : k + n]] > 1:
                 gone[k : k + n] = b"\1" * n
+                starts[k] += 1
         want[(i, len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), bytes(x for x, g in zip(b, gone, strict=True) if not g))] += 1
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
-    assert sum(r.n_removed > 0 for r in got) == 4
+    return want, starts
+
+
+def removed(found):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found.collect())
+
+
+def test_repeats_match_brute_force(docs, empty):
+    want, _ = brute_repeats([(i, t.encode()) for i, t in texts()])
+    for piece in (suffix_dedup.PIECE, 777):
+        got = removed(suffix_dedup.remove_repeats(docs, piece))
+        assert got == want
+        assert sum(n for k, n in got.items() if k[2]) == 4
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_repeats_within_and_between_texts(spark):
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    passage, other = line(900), line(401)
+    rows = [passage + line(50) + passage[:420], line(30) + passage[100:700] + other, other[:400] + "x" + other[1:], "z" * 1000, line(399), "abc" * 300, "é" * 250, other]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want, starts = brute_repeats([(i, t.encode()) for i, t in enumerate(rows)])
+    assert removed(suffix_dedup.remove_repeats(docs)) == removed(suffix_dedup.remove_repeats(docs, 333)) == want
+    found = suffix_dedup.sorted_repeats(docs)
+    assert Counter(r.start for r in found.collect()) == starts
+    assert suffix_dedup.sorted_repeats(docs.limit(0)).count() == 0
+
+
 def test_bpe_matches_the_library(docs, empty):
     import public_tokenizers
     import tiktoken
