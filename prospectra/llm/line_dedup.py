@@ -2,7 +2,7 @@
 
 Two lines within TAU edits agree on at least one of TAU + 1 segments of the shorter one, up to a small shift. Each
 distinct line puts its own segments into an index keyed by length, segment and substring, and probes it, for every
-length that is at most TAU shorter, with the few substrings that can match. Candidates are verified by banded
+length that is at most TAU shorter, with the few substrings that can match. Only keys that are met go on to the pairs. Candidates are verified by banded
 bit-parallel edit distance. Of each class of linked lines the first occurrence in the corpus stays.
 """
 
@@ -23,6 +23,8 @@ HAS_WORD = r"[\p{L}\p{N}]"
 #: Letters whose numbers tell lines apart before their distance is computed.
 LETTERS = "etaoinsrhldcumfpgwybvk"
 PREFIX_BITS = 18
+#: Lines of a key that meet in one task.
+CELL = 1024
 
 
 def edit_distance_at_most(a: Column, b: Column, tau: int) -> Column:
@@ -74,37 +76,52 @@ def edit_distance_at_most(a: Column, b: Column, tau: int) -> Column:
     return let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), run)
 
 
-def _keys(line: Column, tau: int) -> tuple[Column, Column]:
-    """Index keys and probe keys of a line, by multi-match-aware selection of substrings; null where there is none.
+def _levels(tau: int, min_chars: int, short_lines: bool) -> list[tuple[int, int, int | None]]:
+    """Edits allowed, and from how many characters to how many: one character more than shorter lines have, so that they meet longer neighbours."""
+    return [(tau, min_chars, None), *([(min(1, tau), SHORT_CHARS, min_chars)] if short_lines else [])]
 
-    Even segments, the longer ones last. A key is computed in a lambda over small tables of constants rather than in one
-    generated method, which would grow too large to be compiled.
-    """
-    parts = tau + 1
-    own = [(0, i, 0) for i in range(parts)]
-    probed = [(delta, i, shift) for delta in range(parts) for i in range(parts) for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1)]
-    table = lambda rows: F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("dis", row, strict=True))) for row in rows))
 
-    def key(x: Column, n: Column) -> Column:
-        length = n - x["d"]
-        short, first_long = F.floor(length / parts).cast("int"), parts - length % parts
-        start = short * x["i"] + F.greatest(x["i"] - first_long, F.lit(0)) + x["s"]
-        size = short + F.when(x["i"] >= first_long, 1).otherwise(0)
-        return F.when((start >= 0) & (start + size <= n), F.xxhash64(length, x["i"], F.substring(line, start + 1, size)))
-
-    of = lambda rows: let(F.char_length(line), lambda n: F.transform(table(rows), lambda x: key(x, n)))
-    return of(own), of(probed)
+def _probes(level: int, tau: int) -> list[tuple[int, int, int, int, int, bool]]:
+    """Substrings that a line is looked up by, by multi-match-aware selection: level, segments, characters that the other line is shorter, segment, shift, and whether it is a segment of the line itself."""
+    parts = tau + 1
+    shifts = lambda d, i: range(max(-i, d - (tau - i)), min(i, d + (tau - i)) + 1)
+    return [(level, parts, d, i, s, d == s == 0) for d in range(parts) for i in range(parts) for s in shifts(d, i)]
+
+
+def _keyed_lines(lines: DataFrame, levels: list[tuple[int, int, int | None]]) -> DataFrame:
+    """``lid``, ``key`` and ``own`` of every probe of each distinct line. Even segments, the longer ones last."""
+    n, p = F.col("n"), F.col("p")
+    table = lambda rows: F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("level", "parts", "d", "i", "s", "own"), r, strict=True))) for r in rows))
+    inside = [(n >= low) if high is None else n.between(low, high) for _, low, high in levels]
+    every = [_probes(k, tau) for k, (tau, _, _) in enumerate(levels)]
+    probes = F.when(reduce(lambda x, y: x & y, inside), table(sum(every, [])))
+    for here, rows in zip(inside, every, strict=True):
+        probes = probes.when(here, table(rows))
+    length = n - p["d"]
+    long_from = p["parts"] - length % p["parts"]
+    start = (length / p["parts"]).cast("int") * p["i"] + F.greatest(p["i"] - long_from, F.lit(0)) + p["s"]
+    size = (length / p["parts"]).cast("int") + F.when(p["i"] >= long_from, 1).otherwise(0)
+    rows = lines.select("line").distinct().select("line", F.xxhash64("line").alias("lid"), F.char_length("line").alias("n"))
+    rows = rows.select("lid", "line", "n", F.explode(probes).alias("p")).select("lid", "line", "n", "p", start.alias("start"), size.alias("size"), length.alias("length"))
+    rows = rows.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= n))
+    return rows.select("lid", F.xxhash64(p["level"], "length", p["i"], F.substring(F.col("line"), F.col("start") + 1, F.col("size"))).alias("key"), p["own"].alias("own"))
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
-    """Lines of at least ``min_chars`` characters, or with ``short_lines`` also shorter ones that have a word, without the spaces at their ends: ``doc_id``, ``h1``, ``h2``, ``pos``, ``line``, ``lid``."""
+    """Lines of at least ``min_chars`` characters, or with ``short_lines`` also shorter ones that have a word, without the spaces at their ends: ``doc_id``, ``h1``, ``h2``, ``pos``, ``line``."""
     h1, h2 = two_hashes(F.col("doc_id"), F.col("text"))
     line = F.trim(F.col("raw"))
     compared = F.char_length("line") >= min_chars
     if short_lines:
         compared = compared | F.col("line").rlike(HAS_WORD)
     rows = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    return rows.select("doc_id", "h1", "h2", "pos", line.alias("line")).where(compared).withColumn("lid", F.xxhash64("line"))
+    return rows.select("doc_id", "h1", "h2", "pos", line.alias("line")).where(compared)
+
+
+def _line_id(line: Column) -> Column:
+    """128 bits that stand for a line."""
+    x, y = two_hashes(line)
+    return F.struct(x.alias("x"), y.alias("y"))
 
 
 def _tokens(line: Column) -> Column:
@@ -152,33 +169,42 @@ def within_edits(a: Column, b: Column, tau: int) -> Column:
     return let(both, lambda x: let(starts(x), lambda y: let(ends(y), decide)))
 
 
-def similar_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """Edges ``a``, ``b`` between the ``lid`` of different lines within ``tau`` edits."""
-    line = F.col("line")
-    distinct = lines.groupBy("line").agg(F.count("*").alias("copies"))
-    index, probes = _keys(line, tau)
-    keys = distinct.select(F.xxhash64("line").alias("lid"), _letters(line).alias("letters"), index.alias("index"), probes.alias("probes"))
-    keys = scratch(keys, "line-keys")
-    release_shuffles(keys.sparkSession)
-    indexed = keys.select("lid", "letters", F.explode("index").alias("key"))
-    probing = keys.select(F.col("lid").alias("other"), F.col("letters").alias("other_letters"), F.explode("probes").alias("key")).where("key is not null")
-    near = _may_be_near(F.col("letters"), F.col("other_letters"), tau)
-    pairs = probing.join(indexed, (probing["key"] == indexed["key"]) & (F.col("other") != F.col("lid")) & near)
-    pairs = scratch(pairs.select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct(), "line-candidates")
+def similar_lines(lines: DataFrame, levels: list[tuple[int, int, int | None]], cell: int = CELL) -> DataFrame:
+    """Edges ``a``, ``b`` between the ids of different lines within the edits of their level.
+
+    Only keys that some line has as its own segment and another one probes are held, with their lines. Lines that meet
+    must agree in their letters before they make a pair; the lines of a key of more than ``cell`` are dealt over parts.
+    """
+    spark = lines.sparkSession
+    keys = scratch(_keyed_lines(lines, levels), "line-keys")
+    release_shuffles(spark)
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("met")).where("n > 1 and met").select("key", "n")
+    held = scratch(keys.join(sizes, "key"), "line-keys-met")
     forget(keys)
-    release_shuffles(keys.sparkSession)
-    ids = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
-    # a table of the first PREFIX_BITS bits of all candidate ids, never above 2 ** PREFIX_BITS rows, keeps other lines out of the shuffle
-    prefix = F.shiftrightunsigned("lid", 64 - PREFIX_BITS)
-    near_ids = lines.select("lid", "line", prefix.alias("prefix")).join(F.broadcast(ids.select(prefix.alias("prefix")).distinct()), "prefix", "left_semi").drop("prefix")
-    texts = near_ids.join(ids, "lid", "left_semi").distinct()
-    texts = scratch(texts.withColumn("counts", _letter_counts(F.col("line"))), "candidate-lines")
-    both = pairs
+    ids = held.select("lid").distinct()
+    # a table of the first PREFIX_BITS bits of the held ids, never above 2 ** PREFIX_BITS rows, keeps other lines out of the shuffle
+    near = lines.select("line", F.xxhash64("line").alias("lid")).withColumn("prefix", F.shiftrightunsigned("lid", 64 - PREFIX_BITS))
+    prefixes = F.broadcast(ids.select(F.shiftrightunsigned("lid", 64 - PREFIX_BITS).alias("prefix")).distinct())
+    texts = near.join(prefixes, "prefix", "left_semi").drop("prefix").join(ids, "lid", "left_semi").distinct()
+    texts = scratch(texts.withColumn("counts", _letter_counts(F.col("line"))).withColumn("letters", _letters(F.col("line"))), "met-lines")
+    release_shuffles(spark)
+    members = held.join(texts.select("lid", "letters"), "lid").withColumn("parts", F.ceil(F.col("n") / cell).cast("int"))
+    part = F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int")
+    own = members.where("own").select("key", "lid", "letters", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    probing = members.select("key", F.col("lid").alias("other"), F.col("letters").alias("other_letters"), part.alias("part"))
+    most = max(tau for tau, _, _ in levels)
+    pairs = probing.join(own, ["key", "part"]).where((F.col("other") != F.col("lid")) & _may_be_near(F.col("letters"), F.col("other_letters"), most))
+    both = scratch(pairs.select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct(), "line-candidates")
+    release_shuffles(spark)
     for side in "ab":
         both = both.join(texts.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}"), F.col("counts").alias(f"counts_{side}")), side)
     apart = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
-    same_size = F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau
-    return both.where(same_size & (apart <= 2 * tau)).where(within_edits(F.col("line_a"), F.col("line_b"), tau)).select("a", "b")
+    short, long = (f(F.char_length("line_a"), F.char_length("line_b")) for f in (F.least, F.greatest))
+    similar = F.lit(False)
+    for tau, low, high in reversed(levels):  # the first level that both lines belong to decides
+        member = (short >= low) & (F.lit(True) if high is None else long <= high)
+        similar = F.when(member, (long - short <= tau) & (apart <= 2 * tau) & within_edits(F.col("line_a"), F.col("line_b"), tau)).otherwise(similar)
+    return both.where(similar).select(_line_id(F.col("line_a")).alias("a"), _line_id(F.col("line_b")).alias("b"))
 
 
 def repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
@@ -186,13 +212,12 @@ def repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS,
 
     The first occurrence of a class is the one with the smallest id, text hash and line number; rows without an id come last.
     """
-    edges = similar_lines(lines_of(docs, min_chars), tau)
-    if short_lines:  # up to min_chars, so that a line one character shorter than that meets its longer neighbours
-        between = F.char_length("line").between(SHORT_CHARS, min_chars)
-        edges = edges.unionByName(similar_lines(lines_of(docs, SHORT_CHARS).where(between), min(1, tau)))
+    levels = _levels(tau, min_chars, short_lines)
+    edges = similar_lines(lines_of(docs, min(low for _, low, _ in levels)), levels)
     roots = connected_components(edges).select(F.col("node").alias("lid"), F.col("component").alias("root"))
     release_shuffles(docs.sparkSession)
-    places = lines_of(docs, min_chars, short_lines).drop("line").join(roots, "lid", "left").withColumn("class", F.coalesce("root", "lid"))
+    lines = lines_of(docs, min_chars, short_lines).select("doc_id", "h1", "h2", "pos", _line_id(F.col("line")).alias("lid"))
+    places = lines.join(roots, "lid", "left").withColumn("class", F.coalesce("root", "lid"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "pos")
     first = places.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
     dropped = places.join(first, "class").where(~((F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2")) & (F.col("pos") == F.col("first.pos"))))

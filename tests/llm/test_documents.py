@@ -144,6 +144,69 @@ def test_line_dedup_of_short_lines(spark):
     assert Counter(r.text.count("Accept") for r in line_dedup.dedup_lines(docs).collect()) == Counter({1: 2, 0: 4})
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def allowed(a, b):
+    short, long = sorted((len(a), len(b)))
+    tau = 2 if short >= 32 else 1 if short >= 16 and long <= 32 else 0
+    return long - short <= tau and edits(a, b) <= tau
+
+
+def random_lines():
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdeé 漢🙂") for _ in range(n)).strip() for n in (12, 16, 17, 31, 31, 32, 32, 33, 34, 48, 60)]
+    base += ["one very common beginning of a line " + "".join(rng.choice("xyz") for _ in range(9)) for _ in range(60)]
+    out = []
+    for _ in range(320):
+        line = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            at, kind = rng.randrange(len(line)), rng.random()
+            line[at : at + (kind > 0.3)] = [rng.choice("abq")] if kind > 0.3 and kind < 0.8 or kind <= 0.3 else []
+        out.append("".join(line).strip(" "))
+    return out
+
+
+def test_line_dedup_matches_brute_force(spark):
+    lines = random_lines()
+    rows = [(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    distinct = sorted(set(lines))
+    near = {x: [y for y in distinct if x != y and allowed(x, y)] for x in distinct}
+    levels = line_dedup._levels(2, 32, True)
+    want = {(x, y) for x in distinct for y in near[x] if x < y}
+    ids = {x: tuple(r) for x, r in zip(distinct, [r.i for r in spark.createDataFrame([(k, x) for k, x in enumerate(distinct)], "k int, line string").orderBy("k").select(line_dedup._line_id(F.col("line")).alias("i")).collect()], strict=True)}
+    for cell in (3, 1024):
+        found = {frozenset((tuple(r.a), tuple(r.b))) for r in line_dedup.similar_lines(line_dedup.lines_of(docs, 16), levels, cell).collect()}
+        assert found == {frozenset((ids[x], ids[y])) for x, y in want}
+    group = {}
+    for x in distinct:
+        if x not in group:
+            todo = [x]
+            while todo:
+                y = todo.pop()
+                if y not in group:
+                    group[y] = x
+                    todo += near[y]
+    seen, expected = set(), []
+    for i, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            if group[line] not in seen or not re.search(r"\w", line):
+                kept.append(line)
+            seen.add(group[line])
+        expected.append((i, "\n".join(kept), 4 - len(kept)))
+    got = line_dedup.remove_repeated_lines(docs, short_lines=True)
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got.collect()) == expected
+    assert sum(n for _, _, n in expected) > 50 and len(want) > 50
+
+
 def test_edit_distance_band(spark):
     pairs = [("kitten sitting", "kitten sittin"), ("abcdef", "abdcef"), ("abcdef", "bcdefg"), ("aaaaaa", "aaaa"), ("abcdef", "uvwxyz"), ("a b c d", "a b c  d"), ("x y z", "x z")]
     df = spark.createDataFrame(pairs, "a string, b string")
