@@ -183,7 +183,8 @@ def repeated_starts(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     forget(found)
     # a start at an edge can repeat one within a whole context: of each such context, one position is named too
     edges = runs.where("not whole").select("core", "h1", "h2", "first", "last")
-    inner = runs.where("whole").join(edges.select("core").distinct(), "core", "left_semi").groupBy("core", "context").agg(F.min(F.struct("h1", "h2", "first", "last")).alias("one")).select("one.*")
+    inner = runs.where("whole").groupBy("core", "context").agg(F.min(F.struct("h1", "h2", "first", "last")).alias("one"))
+    inner = inner.join(edges.select("core").distinct(), "core", "left_semi").select("one.*")
     edges = edges.drop("core").unionByName(inner).groupBy("h1", "h2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
     def name_starts(batches):
