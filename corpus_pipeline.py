@@ -32,9 +32,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text with its place in the mix, and digests of the ids and of the bytes decoded from them."""
-    placed = mixing.written_position(docs).select("doc_id", "mix_position", "text")
-    return bpe.digests(bpe.round_trip(placed), keep=("ids", "mix_position"))
+    """Token ids of each text with its source, language and place in the mix, and digests of the ids and of the bytes decoded from them."""
+    kept = ("source", "lang", "mix_position")
+    placed = mixing.written_position(docs).select("doc_id", *kept, "text")
+    return bpe.digests(bpe.round_trip(placed), keep=("ids", *kept))
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("simhash_near_dedup", near_duplicates), ("source_mixing", mixture), ("byte_bpe", tokens)]

@@ -1,124 +1,95 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of each source form blocks. Block k of a source with share w may be released at floor(k / w) and is due at
-ceil((k + 1) / w); at each slot the released block with the earliest deadline is placed, so that a source is never a
-whole block ahead of or behind its share. Shares are multiples of 1 / resolution, so the schedule repeats after that many
-slots and one cycle, computed once, places any number of blocks.
-
-Every source has a share of its own, however many there are. The driver holds a count a source and one cycle; the plan is
-a table, which is met with the blocks by an equi-join.
+The rows of each source form blocks. By its target weight, a source of share w has its block k released in the slot of
+k / w and due in that of (k + 1) / w; at each slot the released block with the earliest deadline is placed, so that a
+source is never a whole block ahead of or behind its share. When a source is used up the others share its part: both
+times are kept in units in which all active weights together take one slot, so that no block's times ever change. They
+are computed in integers of so many bits that they are those of the weights themselves.
+
+A block is BLOCK_ROWS rows, or the total over MAX_BLOCKS where that is more: the driver, which holds a count a source,
+schedules MAX_BLOCKS blocks and one more a source at most, whatever the number of rows. The plan is a table, which is met
+with the rows by an equi-join.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_root, two_hashes
 
-BLOCK_ROWS, RESOLUTION = 8, 8192
-#: Slots of a cycle for each source, where RESOLUTION is less.
-SLOTS_A_SOURCE = 16
+BLOCK_ROWS, MAX_BLOCKS = 8, 1 << 19
 #: Default target weights: the number of rows of a source to this power.
 TEMPERATURE = 0.5
 #: Parts into which the rows of a source are dealt to be counted.
 BUCKETS = 1024
-#: Slots of the plan that are written at once, and blocks of a source that a task takes at once, or a cycle if that is more.
-PLAN_PART, PLAN_STEP = 1 << 18, 4096
-PLAN = "label string, first long, stop long, start long, a int, size long, offsets array<long>"
-
-
-def quotas(weights: dict[str, float], resolution: int) -> dict[str, int]:
-    """Blocks of each source in a cycle: at least one, in all ``resolution``, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: resolution * w / total for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    while (short := resolution - sum(out.values())) > 0:
-        for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[:short]:
-            out[s] += 1
-    if short < 0:  # the least quota of one took from the others
-        names = sorted(out)
-        ahead = [(exact[s] - out[s], -i) for i, s in enumerate(names) if out[s] > 1]
-        heapq.heapify(ahead)
-        for _ in range(-short):
-            s = names[-ahead[0][1]]
-            out[s] -= 1
-            heapq.heapreplace(ahead, (exact[s] - out[s], ahead[0][1])) if out[s] > 1 else heapq.heappop(ahead)
-    return out
-
-
-def pfair_cycle(share: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in a cycle of sum(share) slots, by earliest deadline among the released blocks."""
-    size = sum(share.values())
-    coming = [[] for _ in range(size)]
-    for s, a in share.items():
-        for k in range(a):
-            coming[k * size // a].append((-(-(k + 1) * size // a), s, k))
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    ready: list = []
-    for t in range(size):
-        for x in coming[t]:
-            heapq.heappush(ready, x)
-        slots[heapq.heappop(ready)[1]].append(t)
-    return slots
-
-
-def schedule(rows: dict[str, int], weights: dict[str, float], block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> Iterator[tuple]:
-    """Segments (source, first block, end, start, blocks a cycle, rows a cycle, offsets) that place every block once.
-
-    Block ``first + j`` starts at row ``start + j // blocks * rows + offsets[j % blocks]``. While all sources last, each
-    keeps its share; when one is used up, the others share by their weights again. The last block of a source may be
-    short: what lies behind it moves up.
-    """
-    blocks = {s: -(-n // block_rows) for s, n in rows.items() if n}
-    left, done, start = dict(blocks), dict.fromkeys(blocks, 0), 0
-    while left:
-        share = quotas({s: weights[s] for s in left}, resolution) if len(left) > 1 else dict.fromkeys(left, 1)
-        cycle, size = pfair_cycle(share), sum(share.values())
-        rounds = min((n - 1) // share[s] for s, n in left.items())
-        if rounds:
-            for s in left:
-                yield s, done[s], done[s] + rounds * share[s], start, share[s], size * block_rows, [t * block_rows for t in cycle[s]]
-                done[s] += rounds * share[s]
-                left[s] -= rounds * share[s]
-            start += rounds * size * block_rows
-        # one more cycle, in which at least one source is used up
-        offsets, at = {s: [] for s in left}, 0
-        for _, s, k in sorted((t, s, k) for s, n in left.items() for k, t in enumerate(cycle[s][:n])):
-            offsets[s].append(at)
-            at += rows[s] - (blocks[s] - 1) * block_rows if done[s] + k == blocks[s] - 1 else block_rows
-        for s, x in offsets.items():
-            yield s, done[s], done[s] + len(x), start, len(x), at, x
-            done[s] += len(x)
-            left[s] -= len(x)
-        start += at
-        left = {s: n for s, n in left.items() if n}
-
-
-def plan_table(spark: SparkSession, segments: Iterable[tuple]) -> DataFrame:
-    """The segments as a table, written part by part: the driver never holds all of them."""
+#: Blocks of the plan that are written at once.
+PLAN_PART = 1 << 17
+PLAN = pa.schema([("label", pa.string()), ("block", pa.int64()), ("start", pa.int64())])
+#: Bits of weights, and of a slot.
+WEIGHT_BITS, TIME_BITS = 53, 160
+
+
+def schedule(rows: dict[str, int], weights: dict[str, float], block_rows: int = BLOCK_ROWS) -> Iterator[tuple[str, int, int]]:
+    """(source, block, first row) of every block in the order of the mix; the last block of a source may be short."""
+    names = sorted(s for s, n in rows.items() if n)
+    if not names:
+        return
+    blocks = [-(-rows[s] // block_rows) for s in names]
+    top = max(weights[s] for s in names)
+    weight = [max(1, round(weights[s] / top * 2**WEIGHT_BITS)) for s in names]
+    slot = 1 << TIME_BITS
+    at = lambda i, k: (k << TIME_BITS) // weight[i]
+    ends = sorted((at(i, blocks[i]), i) for i in range(len(names)))  # when each is used up if all keep to their shares
+    active, ended, now, start = sum(weight), 0, 0, 0
+    done = [0] * len(names)
+    coming, ready = [(0, i) for i in range(len(names))], []
+    while coming or ready:
+        rest = slot
+        while ended < len(ends):  # the end of this slot
+            if now + rest // active <= ends[ended][0]:
+                now += rest // active
+                break
+            rest -= (ends[ended][0] - now) * active
+            now, i = ends[ended]
+            active, ended = active - weight[i], ended + 1
+        while coming and (coming[0][0] < now or not ready or ended == len(ends)):
+            i = heapq.heappop(coming)[1]
+            heapq.heappush(ready, (at(i, done[i] + 1), i))
+        i = heapq.heappop(ready)[1]
+        yield names[i], done[i], start
+        done[i] += 1
+        if done[i] < blocks[i]:
+            start += block_rows
+            heapq.heappush(coming, (at(i, done[i]), i))
+        else:
+            start += rows[names[i]] - (blocks[i] - 1) * block_rows
+
+
+def plan_table(spark: SparkSession, blocks: Iterable[tuple]) -> DataFrame:
+    """The scheduled blocks as a table, written part by part."""
     path = f"{scratch_root(spark)}/mix-plan-{uuid.uuid4().hex}"
-    part, slots = [], 0
+    part = []
 
     def write() -> None:
-        spark.createDataFrame(part, PLAN).write.mode("append").parquet(path)
+        columns = zip(*part, strict=True) if part else ([], [], [])
+        spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PLAN, strict=True)], schema=PLAN)).write.mode("append").parquet(path)
 
-    for x in segments:
+    for x in blocks:
         part.append(x)
-        slots += len(x[-1])
-        if slots >= PLAN_PART:
+        if len(part) == PLAN_PART:
             write()
-            part, slots = [], 0
+            part = []
     write()
-    return spark.read.schema(PLAN).parquet(path)
+    return spark.read.schema("label string, block long, start long").parquet(path)
 
 
-def place_rows(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
+def place_rows(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """Add ``mix_source``, ``mix_block`` and ``mix_position`` (gapless from 0) to every row.
 
     Weights default to the row counts to the power TEMPERATURE; a source without a given weight gets the smallest given
@@ -137,13 +108,9 @@ def place_rows(docs: DataFrame, weights: dict[str, float] | None = None, block_r
         share = {s: n**TEMPERATURE for s, n in total.items()}
     else:
         share = {s: max(weights.get(s[2:] if s[0] == "s" else None, min(weights.values())), 1e-9) for s in total}
-    plan = plan_table(spark, schedule(total, share, block_rows, max(resolution, SLOTS_A_SOURCE * len(total))))
+    block_rows = max(block_rows, -(-sum(total.values()) // max_blocks))
     # the first row of each block, found once a block and brought to the rows with the ranks of their bucket
-    step = F.greatest("a", F.lit(PLAN_STEP)).cast("long")
-    pieces = plan.withColumn("from", F.explode(F.sequence("first", F.col("stop") - 1, step))).repartition("label", "from")
-    place = lambda j: F.col("start") + F.floor(j / F.col("a")) * F.col("size") + F.get("offsets", (j % F.col("a")).cast("int"))
-    own = F.sequence("from", F.least(F.col("from") + step, "stop") - 1)
-    starts = pieces.select("label", F.inline(F.transform(own, lambda k: F.struct(k.alias("block"), place(k - F.col("first")).alias("start")))))
+    starts = plan_table(spark, schedule(total, share, block_rows))
     before = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranks = sizes.select("label", "bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"))
     first, last = F.floor(F.col("rank0") / block_rows), F.floor((F.col("rank0") + F.col("n") - 1) / block_rows)

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 import xxhash
@@ -244,17 +245,69 @@ def test_quality_statistics_and_rules(spark, docs, empty):
 
 
 def test_mixing_places_every_row_once(docs, empty):
-    got = mixing.place_rows(docs, block_rows=2, resolution=64).collect()
+    got = mixing.place_rows(docs, block_rows=2).collect()
     assert sorted(r.mix_position for r in got) == list(range(len(ROWS)))
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs, {"s1": 3.0, "s2": 1.0}).count() == len(ROWS)
     assert mixing.place_rows(empty).count() == 0
 
 
-def test_pfair_cycle_stays_within_a_block():
-    share = mixing.quotas({"a": 0.61, "b": 0.3, "c": 0.08, "d": 0.01}, 100)
-    assert sum(share.values()) == 100 and min(share.values()) >= 1
-    for s, slots in mixing.pfair_cycle(share).items():
-        assert all(abs(sum(x < t for x in slots) - t * share[s] / 100) < 1 for t in range(101))
+def fluid(rows, weights, block_rows, slots):
+    """Blocks due to each source after 0, 1, ... slots, in exact fractions, when a used-up source leaves its part to the others."""
+    left = {s: Fraction(-(-n // block_rows)) for s, n in rows.items() if n}
+    done, out = dict.fromkeys(left, Fraction(0)), [dict.fromkeys(left, Fraction(0))]
+    for _ in range(slots):
+        rest = Fraction(1)
+        while rest and (open_ := [s for s in left if done[s] < left[s]]):
+            total = sum(Fraction(weights[s]) for s in open_)
+            step = min([rest, *((left[s] - done[s]) * total / Fraction(weights[s]) for s in open_)])
+            for s in open_:
+                done[s] += step * Fraction(weights[s]) / total
+            rest -= step
+        out.append(dict(done))
+    return out
+
+
+def test_schedule_stays_within_a_block_of_the_weights():
+    rows = {"a": 500, "b": 130, "c": 71, "d": 3, "e": 1}
+    for weights in ({s: n**0.5 for s, n in rows.items()}, {"a": 0.1, "b": 5.0, "c": 1e-3, "d": 1 / 3, "e": 7.0}):
+        plan = list(mixing.schedule(rows, weights, 2))
+        due, placed = fluid(rows, weights, 2, len(plan)), Counter()
+        for t, (s, k, _) in enumerate(plan):
+            assert k == placed[s]
+            placed[s] += 1
+            assert all(abs(placed[x] - due[t + 1][x]) < 1 for x in rows)
+        sizes = {(s, k): min(2, rows[s] - 2 * k) for s, k, _ in plan}
+        assert len(sizes) == len(plan) and sum(sizes.values()) == sum(rows.values())
+        assert [x[2] for x in plan] == [sum(sizes[y[:2]] for y in plan[:t]) for t in range(len(plan))]
+
+
+def test_schedule_of_a_large_table_stays_within_a_block():
+    rows = {"a": 50_000_000, "b": 13_000_000, "c": 7_001_000, "d": 123_000}
+    share, size = {s: n**0.5 for s, n in rows.items()}, 1024
+    total, placed = sum(share.values()), Counter()
+    for t, (s, _, _) in enumerate(mixing.schedule(rows, share, size), 1):
+        placed[s] += 1
+        if placed[s] * size >= rows[s]:  # until the first source is used up
+            break
+        assert all(abs(placed[x] - t * share[x] / total) < 1 for x in rows)
+    assert t > 300
+
+
+def test_rows_are_placed_as_scheduled(spark):
+    rows = [(i, f"s{i * i % 7 % 3}" if i % 11 else None, f"text {i % 50}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    h1, h2 = mixing.two_hashes(F.col("doc_id"), F.col("text"))
+    keyed = {r.doc_id: (r.h1 % (1 << 64) >> 54, r.h1, r.h2) for r in docs.select("doc_id", h1.alias("h1"), h2.alias("h2")).collect()}
+    for max_blocks in (1 << 19, 30):
+        size = max(8, -(-400 // max_blocks))
+        got = {r.doc_id: r for r in mixing.place_rows(docs, max_blocks=max_blocks).collect()}
+        members = {}
+        for i, s, _ in rows:
+            members.setdefault("n:" if s is None else f"s:{s}", []).append(i)
+        counts = {s: len(x) for s, x in members.items()}
+        for s, k, start in mixing.schedule(counts, {s: n**0.5 for s, n in counts.items()}, size):
+            block = sorted(members[s], key=keyed.get)[k * size : (k + 1) * size]
+            assert [(got[i].mix_source, got[i].mix_block, got[i].mix_position) for i in block] == [(s, k, start + j) for j in range(len(block))]
 
 
 def test_mixing_gives_every_one_of_many_sources_its_share(spark):
@@ -269,7 +322,7 @@ def test_mixing_gives_every_one_of_many_sources_its_share(spark):
 def test_last_stage_has_the_place_in_the_mix_of_many_files(spark, tmp_path):
     import corpus_pipeline
 
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 % 3).cast("string").alias("source"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("lang"), (F.col("id") % 7 % 3).cast("string").alias("source"), F.concat(F.lit("text "), "id").alias("text"))
     want = {r.doc_id: r.mix_position for r in mixing.place_rows(docs).collect()}
     path = str(tmp_path / "mix")
     corpus_pipeline.mixture(spark, docs, "").write.option("maxRecordsPerFile", 90).parquet(path)
@@ -278,11 +331,6 @@ def test_last_stage_has_the_place_in_the_mix_of_many_files(spark, tmp_path):
     assert {r.doc_id: r.mix_position for r in got} == want
 
 
-def test_quotas_of_many_sources_are_quick_and_whole():
-    share = mixing.quotas({f"s{i}": 1.0 + 1e6 * (i == 0) for i in range(3000)}, 48000)
-    assert sum(share.values()) == 48000 and min(share.values()) == 1 and share["s0"] == 48000 - 2999
-
-
 def brute_repeats(data):
     """(id, bytes, removed, runs, kept) by row, and the rows' (text, start) of repeated strings."""
     n = suffix_dedup.LENGTH
