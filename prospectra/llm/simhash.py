@@ -164,7 +164,8 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
             edges = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, k].view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
-    spread = distinct.mapInArrow(keys, "key long, fp long")
+    spark = distinct.sparkSession  # a small file of fingerprints has few partitions, each of which grows 64-fold
+    spread = distinct.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "fp").mapInArrow(keys, "key long, fp long")
     sizes = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     held = spread.join(sizes, "key")
     small = (
