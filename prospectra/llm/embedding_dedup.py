@@ -106,25 +106,28 @@ def link_embeddings(
                 keys = bucket_keys(_units(x), tables, projections, width, seed)
                 out.append(
                     pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), b.column(3).take(pa.array(of)), *(pa.ListArray.from_arrays(np.arange(len(of) + 1, dtype=np.int32) * m.shape[1], pa.array(m.ravel())) for m in (x, keys))],
-                        names=["class", "copies", "label", "vector", "keys"],
+                        [b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), b.column(3).take(pa.array(of)), pa.array(np.full(len(of), dim, dtype=np.int32)), *(pa.ListArray.from_arrays(np.arange(len(of) + 1, dtype=np.int32) * m.shape[1], pa.array(m.ravel())) for m in (x, keys))],
+                        names=["class", "copies", "label", "dim", "vector", "keys"],
                     )
                 )
             yield from out
 
-    units = classes.select("class", "copies", "embedding", F.xxhash64("label").alias("label")).mapInArrow(hashed, f"class long, copies long, label long, vector array<{kind}>, keys array<long>")
-    member = F.struct("class", "copies", "vector", "keys").alias("member")
-    spread = units.select(member, "label", F.posexplode("keys").alias("table", "key"), F.size("vector").alias("dim"))
+    units = classes.select("class", "copies", "embedding", F.xxhash64("label").alias("label"))
+    units = scratch(units.mapInArrow(hashed, f"class long, copies long, label long, dim int, vector array<{kind}>, keys array<long>"), "vector-keys")
+    # only ids go to all tables; vectors join them in the buckets that hold more than one
     bucket = ["label", "dim", "table", "key"]
+    spread = units.select("class", "label", "dim", F.posexplode("keys").alias("table", "key"))
     sizes = spread.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
-    held = spread.join(sizes, bucket)
-    small = held.where(F.col("n") <= CELL).groupBy(*bucket).agg(F.collect_list(F.struct("member", F.lit(0).alias("mine"))).alias("cell")).select("table", "cell", F.lit(False).alias("split"))
+    held = scratch(spread.join(sizes, bucket), "vector-buckets")
+    members = units.select("class", F.struct("class", "copies", "vector", "keys").alias("member"))
+    small = held.where(F.col("n") <= CELL).join(members, "class").groupBy(*bucket).agg(F.collect_list(F.struct("member", F.lit(0).alias("mine"))).alias("cell")).select("table", "cell", F.lit(False).alias("split"))
     parts = F.ceil(F.col("n") / (CELL // 2)).cast("int")
     large = (
         held.where(F.col("n") > CELL)
-        .withColumn("mine", F.pmod(F.xxhash64("member.class"), parts).cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64("class"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select(*bucket, "member", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        .select(*bucket, "class", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        .join(members, "class")
         .groupBy(*bucket, "i", "j")
         .agg(F.collect_list(F.struct("member", "mine")).alias("cell"))
         .select("table", "cell", (F.col("i") != F.col("j")).alias("split"))
