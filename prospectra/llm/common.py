@@ -15,10 +15,19 @@ from pyspark.sql import functions as F
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; only a local session may have none and gets one beside the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return root.rstrip("/")
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: ``spark.checkpoint.dir``, or one beside the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    """Folder of this application's cut lineage."""
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}"
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:

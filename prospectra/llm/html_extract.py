@@ -9,15 +9,20 @@ layouts; its weights depend on nothing but the seed.
 from __future__ import annotations
 
 import html as html_lib
+import inspect
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_root, slices
+
 # fixed values: elements by their role in HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var del wbr".split())
@@ -32,9 +37,12 @@ _HINT = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 _WORD = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
-PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN_DIM = 64, 32, 8, 24
+TAG_DIM, HINT_DIM, WORD_DIM, SHAPE_DIM, HIDDEN_DIM = 32, 64, 32, 8, 24
+PATH_DIM = TAG_DIM + HINT_DIM
 INPUT_DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
 SEED = 11
+#: Bytes of html that a task takes at a time, and blocks of pages that are labelled together.
+SLICE_BYTES, BATCH_BLOCKS = 4 << 20, 20_000
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int, int]]:
@@ -110,7 +118,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int, int]]:
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         hints = [w.lower() for h in _HINT.findall(m[3]) for w in _WORD.findall("".join(h))] if m[3] else []
-        stack.append((tag, (tag, *(f".{h}" for h in hints[:6]))))
+        stack.append((tag, (tag, *(f".{h}" for h in hints))))
         hidden += tag in HIDDEN
         anchors += tag == "a"
         if tag in RAW:
@@ -131,23 +139,36 @@ def _bucket(word: str, size: int) -> tuple[int, float]:
     return h % size, 1.0 if h & 0x10000 else -1.0
 
 
+def _path_values(path: tuple[str, ...]) -> list[float]:
+    """The whole tag path: every mark counts once, at its place nearest to the leaf, and never for less than half."""
+    values = [0.0] * PATH_DIM
+    seen: set[str] = set()
+    for up, mark in enumerate(reversed(path)):
+        if mark not in seen:
+            seen.add(mark)
+            first, size = (TAG_DIM, HINT_DIM) if mark[0] == "." else (0, TAG_DIM)
+            at, sign = _bucket(mark, size)
+            values[first + at] += sign * (0.5 + 0.5 / (1 + 0.25 * up))
+    return values
+
+
 def vectors(found: list) -> np.ndarray:
-    """Input vectors of the blocks of a page."""
+    """Input vectors of the blocks of a page, from the whole path and all words of each."""
     x = np.zeros((len(found), INPUT_DIM), dtype=np.float32)
+    paths: dict[tuple[str, ...], list[float]] = {}
     for row, (path, text, links) in zip(x, found, strict=True):
-        values = [0.0] * (PATH_DIM + WORD_DIM)
-        for depth, mark in enumerate(path[-10:]):
-            at, sign = _bucket(mark, PATH_DIM)
-            values[at] += sign * (0.5 + 0.05 * depth)
-        words = text.split(" ")
-        unit = min(len(words), 40) ** -0.5
-        for w in words[:40]:
-            at, sign = _bucket(w.lower(), WORD_DIM)
-            values[PATH_DIM + at] += sign * unit
-        row[: PATH_DIM + WORD_DIM] = values
+        if path not in paths:
+            paths[path] = _path_values(path)
+        counts = Counter(text.lower().split(" "))
+        unit = counts.total() ** -0.5
+        values = [0.0] * WORD_DIM
+        for w, n in counts.items():
+            at, sign = _bucket(w, WORD_DIM)
+            values[at] += sign * n * unit
+        row[:PATH_DIM], row[PATH_DIM : PATH_DIM + WORD_DIM] = paths[path], values
         row[-SHAPE_DIM:] = (
             min(len(text), 600) / 300,
-            min(len(words), 100) / 50,
+            min(counts.total(), 100) / 50,
             links / (len(text) + 1),
             text[-1] in ".!?:;\"»”",
             "©" in text or "\xa9" in text,
@@ -174,8 +195,8 @@ class Labeller:
             out += [scale(INPUT_DIM, 4 * HIDDEN_DIM), scale(HIDDEN_DIM, 4 * HIDDEN_DIM), bias]
         return cls([*out, scale(2 * HIDDEN_DIM, 1)[:, 0], np.zeros(1, dtype=np.float32)])
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, w, u, b):
-        """Hidden states over time of a batch (time, page, input); the states of past the end stay zero."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, w, u, b, keep: bool = True):
+        """Hidden states over time of a batch (time, page, input), zero past the end, and what the way back needs."""
         steps, n, _ = x.shape
         h, c = np.zeros((n, HIDDEN_DIM), dtype=np.float32), np.zeros((n, HIDDEN_DIM), dtype=np.float32)
         pre, tape, out = x @ w + b, [], np.zeros((steps, n, HIDDEN_DIM), dtype=np.float32)
@@ -187,7 +208,8 @@ class Labeller:
             m = mask[t][:, None]
             c2 = (f * c + i * g) * m
             tc = np.tanh(c2)
-            tape.append((h, c, i, f, o, g, tc))
+            if keep:
+                tape.append((h, c, i, f, o, g, tc))
             h, c = o * tc * m, c2
             out[t] = h
         return out, tape
@@ -230,8 +252,8 @@ class Labeller:
         if not pages:
             return []
         x, r, mask = self._batch(pages)
-        a, _ = self._run(x, mask, *self.weights[0:3])
-        b, _ = self._run(r, mask, *self.weights[3:6])
+        a, _ = self._run(x, mask, *self.weights[0:3], keep=False)
+        b, _ = self._run(r, mask, *self.weights[3:6], keep=False)
         both = np.concatenate([a, self._turn(b, pages)], axis=2) @ self.weights[6] + self.weights[7]
         return [both[: len(p), k] for k, p in enumerate(pages)]
 
@@ -274,7 +296,7 @@ class Grammar:
         "ad": "ad ads advert advertisement sponsored promo adbox banner-ad sponsor",
         "notice": "notice cookie cookies consent alert gdpr banner popup newsletter subscribe privacy",
         "form": "form search login signup subscribe contact newsletter search-form",
-        "comments": "comments comment discussion replies responses comment-list reader-comments",
+        "comments": "comments comment discussion replies responses comment-list comment-body comment-content reader-comments",
         "share": "share social sharing tags meta byline-share related-links pager pagination",
     }
     ARTICLE = "article content main post entry story article-body post-content entry-content main-content text body"
@@ -327,6 +349,13 @@ class Grammar:
                 add("p", self.paragraph(), "<b>{}<br>" if self.rng.random() < 0.1 else "{}")
         return "".join(parts), texts
 
+    def nest(self, markup: str) -> str:
+        """The markup within some elements that say nothing about it, often none and sometimes many."""
+        for _ in range(int(self.rng.choice([0, 0, 0, 1, 2, 3, self.rng.integers(4, 14)]))):
+            name = self.pick("wrapper container row col grid inner outer box layout block section-inner cell flex page clearfix") if self.rng.random() < 0.6 else self.word()
+            markup = f'<{(tag := self.pick("div div div section span"))}' + (f' class="{name}{self.pick(["", " md", " w-100", " " + self.word()])}"' if self.rng.random() < 0.7 else "") + f">{markup}</{tag}>"
+        return markup
+
     def region(self, kind: str) -> str:
         """Markup of something that stands around an article."""
         hint = self.pick(self.AROUND[kind])
@@ -351,10 +380,10 @@ class Grammar:
         elif kind == "form":
             body = f"<label>{self.pick('Name Email Search Password')}</label><input type='text'><button>{self.pick('Send Search Go Join')}</button>"
         elif kind == "comments":
-            body = f"<h3>{self.pick('Comments Responses Discussion')}</h3>" + "".join(f"<{self.pick('div li')} class='comment'><b>{self.word()}</b><p>{e(self.paragraph())}</p></div>" for _ in range(r.integers(1, 6)))
+            body = f"<h3>{self.pick('Comments Responses Discussion')}</h3>" + "".join(f"<{self.pick('div li')} class='comment'>{self.nest(f"<b>{self.word()}</b><p>{e(self.paragraph())}</p>")}</div>" for _ in range(r.integers(1, 6)))
         else:
             body = "".join(f"<a href='/{self.word()}'>{e(self.sentence(1, 3))}</a> " for _ in range(r.integers(2, 6)))
-        return f"<{tag}{attr}>{body}</{tag}>"
+        return self.nest(f"<{tag}{attr}>{self.nest(body)}</{tag}>")
 
     def page(self) -> tuple[list, np.ndarray]:
         r = self.rng
@@ -366,19 +395,23 @@ class Grammar:
         kind = r.random()
         mark = lambda x: f"\x01{x}\x02"
         if kind < 0.55:
-            middle = f"<article>{mark(body)}</article>"
+            middle = f"<article>{self.nest(mark(body))}</article>"
         elif kind < 0.7:
-            middle = f"<main>{mark(body)}</main>"
+            middle = f"<main>{self.nest(mark(body))}</main>"
         else:
-            middle = f'<div {self.pick("class id")}="{self.pick(self.ARTICLE)}">{mark(body)}</div>'
+            middle = f'<div {self.pick("class id")}="{self.pick(self.ARTICLE)}">{self.nest(mark(body))}</div>'
         if r.random() < 0.15:  # something in the middle of the article
             cut = [m.start() for m in re.finditer("<p>|<h2>", middle)][1:]
             if cut:
                 at = cut[r.integers(len(cut))]
                 middle = middle[:at] + "\x02" + self.region(self.pick("ad aside share form")) + "\x01" + middle[at:]
+        if r.random() < 0.25:  # something beside the article in the main part
+            inside = self.region(self.pick("comments comments share aside"))
+            middle = self.pick(["<main>{}</main>", '<div id="main">{}</div>', '<div class="content">{}</div>', "<article>{}</article>"]).format(self.nest(middle) + inside)
         if r.random() < 0.3:
             middle = f'<div class="{self.pick("wrapper container page row layout")}">{middle}{self.region("aside") if r.random() < 0.4 else ""}</div>'
-        page = "<html><head><title>x</title></head><body>" + "".join(map(self.region, before)) + middle + "".join(map(self.region, after)) + "</body></html>"
+        body = "".join(map(self.region, before)) + self.nest(middle) + "".join(map(self.region, after))
+        page = f"<html><head><title>x</title></head><body>{self.nest(body)}</body></html>"
         found, labels, inside = [], [], False
         for path, text, links in blocks(page):
             inner = inside
@@ -395,7 +428,7 @@ class Grammar:
         return found, np.array(labels, dtype=np.float32)
 
 
-def train(pages: int = 1500, epochs: int = 4, seed: int = SEED, batch: int = 25) -> Labeller:
+def train(pages: int = 2400, epochs: int = 4, seed: int = SEED, batch: int = 25) -> Labeller:
     """A labeller trained on ``pages`` made-up pages; the same seed gives the same weights."""
     rng = np.random.default_rng(seed)
     grammar, model = Grammar(rng), Labeller.fresh(rng)
@@ -414,9 +447,20 @@ _MODEL: list[Labeller] = []
 
 
 def labeller(spark: SparkSession):
-    """The trained weights, a fixed-size model, broadcast; trained once in a driver."""
+    """The trained weights, a fixed-size model, broadcast; trained by the first driver and kept in the shared folder for others."""
     if not _MODEL:
-        _MODEL.append(train())
+        code = zlib.crc32(inspect.getsource(inspect.getmodule(train)).encode())
+        path = f"{shared_root(spark)}/html-labeller-{code:08x}"
+        try:
+            stored = spark.read.parquet(path).first()
+        except AnalysisException:  # nobody has trained it yet
+            stored = None
+        if stored:
+            _MODEL.append(Labeller([np.array(w, dtype=np.float32).reshape(shape) for w, shape in zip(stored["weights"], stored["shapes"], strict=True)]))
+        else:
+            _MODEL.append(train())
+            row = ([w.ravel().tolist() for w in _MODEL[0].weights], [list(w.shape) for w in _MODEL[0].weights])
+            spark.createDataFrame([row], "weights array<array<float>>, shapes array<array<int>>").coalesce(1).write.mode("ignore").parquet(path)
     return spark.sparkContext.broadcast(_MODEL[0].weights)
 
 
@@ -428,7 +472,7 @@ def main_texts(pages: list[str | None], model: Labeller, batch: int = 64) -> lis
     at = 0
     while at < len(order):
         group = order[at : at + batch]
-        while len(group) > 1 and len(group) * len(found[group[-1]]) > 20_000:
+        while len(group) > 1 and len(group) * len(found[group[-1]]) > BATCH_BLOCKS:
             group = group[: len(group) // 2]
         at += len(group)
         for k, z in zip(group, model.scores([vectors(found[k]) for k in group]), strict=True):
@@ -448,11 +492,9 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     def run(batches):
         model = Labeller(sent.value)
-        for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                b = whole.slice(first, 256)
-                texts = main_texts(b.column(len(keep)).to_pylist(), model)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "text"])
+        for b in slices(batches, SLICE_BYTES):
+            texts = main_texts(b.column(len(keep)).to_pylist(), model)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "text"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__html")
     return rows.mapInArrow(run, f"{kinds}{', ' if kinds else ''}text string")

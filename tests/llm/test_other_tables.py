@@ -1,6 +1,7 @@
 """Operators on vectors, pages and conversations, the graph helper and the registry."""
 
 import hashlib
+import re
 
 import numpy as np
 
@@ -64,6 +65,34 @@ def test_chat_reads_back(spark):
     assert chat.digests(chat.format_chat(frame.where("conv_id < 0"))).count() == 0
 
 
+STORY = ["The first paragraph of this story says what happened in the town last week.", "A second one, with more of the details that readers asked for, follows it.", "And the last one ends the story with a short remark about the weather."]
+BODY = "".join(f"<p>{p}</p>" for p in STORY)
+LAYOUTS = [
+    f"""<div id="page"><div id="header"><h1><a href="/">My blog</a></h1></div><div id="menu"><ul><li><a href="/a">About</a></li><li><a href="/c">Contact</a></li></ul></div>
+    <div id="content"><div class="post"><h2>A story of a town</h2>{BODY}</div></div><div id="sidebar"><h3>Recent posts</h3><ul><li><a href="/1">One more story</a></li></ul></div>
+    <div id="footer"><p>Copyright 2020 My blog</p></div></div>""",
+    f"""<nav class="navbar"><a href="/">Home</a><a href="/x">World</a></nav><main role="main"><article class="post entry"><header><h1>A story of a town</h1></header><div class="entry-content">{BODY}</div></article>
+    <section id="comments"><h3>2 comments</h3><ol class="comment-list"><li class="comment"><div class="comment-body"><p>I was there and it was not like that at all, believe me.</p></div></li></ol></section></main>
+    <footer class="site-footer"><div class="container"><div class="row"><div class="col"><p>All rights reserved.</p></div></div></div></footer>""",
+    f"""<div class="cookie-banner notice"><p>We use cookies to make this site better for you.</p><button>Accept</button></div><header class="masthead"><div class="logo">The Paper</div></header>
+    <div class="layout"><div class="col"><div class="article-body"><h1>A story of a town</h1>{BODY}</div></div><aside><div class="widget"><h4>Popular</h4><ul><li><a href="/p">What to eat</a></li></ul></div>
+    <div class="ad"><p>Buy the best shoes in town, now for half the price.</p></div></aside></div><div class="newsletter"><p>Sign up for our newsletter and never miss a story.</p></div>""",
+]
+
+
+def nested(html, depth, tags=("aside", "footer", "nav", "section")):
+    for tag in tags:
+        html = re.sub(rf"(<{tag}[^>]*>)(.*?)(</{tag}>)", lambda m: m[1] + '<div class="row col md">' * depth + m[2] + "</div>" * depth + m[3], html, flags=re.S)
+    return html
+
+
+def test_html_layouts_of_other_hands():
+    model = html_extract.train()
+    want = " ".join(["A story of a town", *STORY])
+    for depth in (0, 3, 12):
+        assert html_extract.main_texts([nested(f"<html><body>{x}</body></html>", depth) for x in LAYOUTS], model) == [want] * len(LAYOUTS)
+
+
 def test_html_labeller_on_held_out_pages(spark):
     model = html_extract.train()
     grammar = html_extract.Grammar(np.random.default_rng(4242))
