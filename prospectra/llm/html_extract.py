@@ -388,7 +388,7 @@ class Grammar:
     def page(self) -> tuple[list, np.ndarray]:
         r = self.rng
         before = [k for k, p in (("header", 0.4), ("nav", 0.8), ("notice", 0.2), ("form", 0.15), ("ad", 0.4)) if r.random() < p]
-        after = [k for k, p in (("share", 0.3), ("comments", 0.35), ("aside", 0.4), ("ad", 0.25), ("form", 0.15), ("nav", 0.1), ("notice", 0.1), ("footer", 0.85)) if r.random() < p]
+        after = [k for k, p in (("share", 0.3), ("comments", 0.35), ("aside", 0.4), ("ad", 0.25), ("form", 0.25), ("nav", 0.15), ("notice", 0.3), ("footer", 0.85)) if r.random() < p]
         if r.random() < 0.3:
             r.shuffle(before)
         body, _ = self.article()
