@@ -124,7 +124,8 @@ def disqualifier(industry: Column, name: Column, domain: Column, rules: dict[str
     """Reason why a company is a supplier and no buyer: industry keyword, then a name word unless it is a target, then domain pattern."""
     clean = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     industry, name, domain = clean(industry), clean(name), clean(domain)
-    by_name = F.coalesce(*(F.when(name.rlike(rf"\b{k}\b"), F.lit(k)) for k in rules["name"]))
+    words = F.regexp_extract_all(name, F.lit(rf"\b({'|'.join(rules['name'])})\b"), F.lit(1))
+    by_name = F.get(F.filter(F.array(*map(F.lit, rules["name"])), lambda k: F.array_contains(words, k)), F.lit(0))
     by_domain = F.coalesce(*(F.when(domain.rlike(f"(?i){p}"), F.lit(p)) for p in rules["domain"]))
     return F.coalesce(
         F.concat(F.lit("industry_keyword:"), first_keyword(industry, rules["industry"])),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,11 +47,14 @@ def synthetic_domain(name: Column, city: Column) -> Column:
 
 def first_keyword(text: Column, keywords: list[str]) -> Column:
     """First of the keywords, in their order, that a text contains, else null."""
-    return F.coalesce(*(F.when(F.contains(text, F.lit(k)), F.lit(k)) for k in keywords))
+    return F.get(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(text, k)), F.lit(0))
 
 
 def contains_any(text: Column, keywords: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(k)) for k in keywords))
+    """Whether a text contains any of the keywords; a longer list is one pattern, which keeps the generated code small."""
+    if len(keywords) <= 4:
+        return reduce(lambda a, b: a | b, (F.contains(text, F.lit(k)) for k in keywords))
+    return text.rlike("|".join(map(re.escape, keywords)))
 
 
 def parse_employee_bounds(text: Column) -> Column:

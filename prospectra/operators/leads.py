@@ -15,23 +15,64 @@ BLOCKED_PARTS = [
     ".local", ".localhost", ".internal", ".lan", ".corp", ".home", ".test", ".example", ".invalid", ".gov", ".mil", ".edu", ".ac.uk", ".gov.sg", ".edu.sg", ".org.sg", ".sg",
     ".fi", ".co.nz", ".com.hk", ".com.au", ".ru", ".cn", ".gov.", ".gob.", ".in", ".co.in", ".org.in", ".gov.in",
 ]
-PUBLIC_PROVIDERS = ["gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "aol.com", "icloud.com", "msn.com", "live.com", "comcast.net", "zoho.com", "protonmail.com", "me.com"]
+PUBLIC_PROVIDERS = [
+    "gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "aol.com", "icloud.com", "msn.com", "live.com", "comcast.net", "sbcglobal.net", "att.net", "verizon.net", "bellsouth.net",
+    "cox.net", "charter.net", "zoho.com", "protonmail.com", "me.com", "mac.com", "ymail.com", "rocketmail.com", "earthlink.net", "roadrunner.com", "windstream.net", "frontier.com",
+]
+BLOCKED_DOMAINS = [
+    "example.com", "domain.com", "email.com", "yourcompany.com", "company.com", "sentry.io", "wix.com", "wixpress.com", "wordpress.org", "schema.org", "cloudflare.com", "github.com",
+    "webcontainer-api.io", "realtor.com", "move.com", "cpadirectory.com", "yellowpages.com", "whitepages.com", "yelp.com", "angi.com", "angieslist.com", "thumbtack.com", "houzz.com",
+    "homeadvisor.com", "bbb.org", "tripadvisor.com", "manta.com", "dnb.com", "zoominfo.com", "allbiz.com", "leadiq.com", "bumvar.com", "6bestrated.com", "citysquares.com", "breken.com",
+    "facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com", "youtube.com", "tiktok.com", "pinterest.com", "google.com", "bing.com", "duckduckgo.com", "qq.com", "163.com",
+    "126.com", "sina.com", "angelone.in", "remax.com", "wxxi.org", "rs-event.sg", "digitalrealty.com",
+]
+BRAND_STOP_WORDS = [
+    "the", "and", "inc", "llc", "corp", "co", "ltd", "company", "group", "services", "specialists", "associates", "pc", "pa", "management", "auto", "care", "repair", "clinic", "center",
+    "contractors", "law", "firm", "office", "dentistry", "plumbing", "roofing",
+]
+# fixed values: titles of roles, in order of precedence
 ROLE_TITLES = [("founder", r"(founder|owner|ceo|chief executive)"), ("technology", r"(cto|vp engineering|head of engineering|technical)"), ("marketing", r"(cmo|marketing|growth)"), ("operations", r"(coo|operations)")]
-STATES = ["ca", "ny", "tx", "fl", "wa", "il", "ma", "ga", "nc", "oh", "pa", "nj", "va", "co", "az"]
+# fixed values: states by their codes
+STATES = """
+al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy
+""".split()
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 
 
-def lead_email_gate(email: Column, company_domain: Column) -> Column:
-    """Why an address may not be used for a lead, or as what it may: ordered tests, first match wins."""
+def brand_tokens(name: Column, stop_words: list[str] = BRAND_STOP_WORDS) -> Column:
+    """Words of three letters or more of a business name that tell it from others."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9_\s]", ""), r"\s+")
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(stop_words))
+
+
+def brand_token_match(tokens: Column, domain: Column) -> Column:
+    """How many of the tokens stand in the first label of a domain."""
+    stem = F.regexp_extract(F.lower(domain), r"^([^.]*)", 1)
+    return F.size(F.filter(tokens, lambda t: F.contains(stem, t)))
+
+
+def lead_email_gate(email: Column, company_domain: Column, company_name: Column | None = None, no_website: Column | None = None, disposable: Column | None = None) -> Column:
+    """Why an address may not be used for a lead, or as what it may: ordered tests, first match wins.
+
+    ``disposable`` says whether its domain is a throw-away one (a join with a table of them). Without a website of its
+    own, a company's custom domain must share a brand token with its name: hold or begin one, or be held by one.
+    """
     e = F.lower(F.trim(F.coalesce(email, F.lit(""))))
     prefix, domain = F.regexp_extract(e, "^([^@]*)@", 1), F.regexp_extract(e, "@(.*)$", 1)
+    own = F.lower(F.coalesce(company_domain, F.lit("")))
+    without = (F.lit(False) if no_website is None else F.coalesce(no_website, F.lit(False))) | (own == "") | own.endswith(".local")
+    stem, tokens = F.regexp_extract(domain, r"^([^.]*)", 1), brand_tokens(F.lit("") if company_name is None else company_name)
+    fits = lambda t: F.contains(stem, t) | ((F.length(stem) >= 4) & F.contains(t, stem)) | ((F.length(stem) >= 3) & t.startswith(F.substring(stem, 1, 3)))
     return (
         F.when(~F.contains(e, F.lit("@")), "missing_or_malformed")
         .when(~e.rlike(r"^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}$"), "invalid_email_regex")
         .when((F.length(prefix) < 2) | prefix.isin(BLOCKED_PREFIXES) | prefix.startswith("helpdesk"), "blocked_prefix")
+        .when(domain.isin(BLOCKED_DOMAINS), "blocked_domain")
+        .when(F.lit(False) if disposable is None else F.coalesce(disposable, F.lit(False)), "disposable_domain")
         .when(contains_any(domain, BLOCKED_PARTS), "blocked_tld_or_government")
         .when(domain.isin(PUBLIC_PROVIDERS), "valid_common_provider")
-        .when(domain == F.lower(F.coalesce(company_domain, F.lit(""))), "valid_company_domain")
+        .when(~own.endswith(".local") & (domain == F.regexp_extract(F.regexp_replace(own, r"https?://|www\.", ""), "^([^/]*)", 1)), "valid_company_domain")
+        .when(without & (F.size(tokens) > 0) & ~F.exists(tokens, fits), "custom_domain_mismatch")
         .otherwise("valid_custom_domain")
     )
 

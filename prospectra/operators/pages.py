@@ -13,12 +13,22 @@ BOARDS = ["greenhouse.io", "lever.co", "workable.com", "breezy.hr", "ashbyhq.com
 CAREERS = r"(careers|jobs|join-us|we-are-hiring|work-with-us|openings)"
 # fixed values: release years of library versions, latest major version, first major version that is not at its end of life
 RELEASES = {
-    "jquery": {"1.0": 2006, "1.4": 2010, "1.7": 2011, "1.8": 2012, "1.9": 2013, "1.10": 2013, "1.11": 2014, "1.12": 2016, "2.0": 2013, "2.1": 2014, "2.2": 2016, "3.0": 2016, "3.4": 2019, "3.5": 2020, "3.6": 2021, "3.7": 2023},
+    "jquery": {
+        "1.0": 2006, "1.1": 2007, "1.2": 2007, "1.3": 2009, "1.4": 2010, "1.5": 2011, "1.6": 2011, "1.7": 2011, "1.8": 2012, "1.9": 2013, "1.10": 2013, "1.11": 2014, "1.12": 2016,
+        "2.0": 2013, "2.1": 2014, "2.2": 2016, "3.0": 2016, "3.1": 2016, "3.2": 2017, "3.3": 2018, "3.4": 2019, "3.5": 2020, "3.6": 2021, "3.7": 2023,
+    },
+    "angularjs": {"1.0": 2012, "1.1": 2013, "1.2": 2013, "1.3": 2014, "1.4": 2015, "1.5": 2016, "1.6": 2016, "1.7": 2018, "1.8": 2020},
     "bootstrap": {"2.0": 2012, "2.3": 2013, "3.0": 2013, "3.3": 2014, "3.4": 2019, "4.0": 2018, "4.3": 2019, "4.5": 2020, "4.6": 2021, "5.0": 2021, "5.1": 2021, "5.2": 2022, "5.3": 2023},
-    "wordpress": {"3.0": 2010, "4.0": 2014, "4.9": 2017, "5.0": 2018, "5.5": 2020, "5.8": 2021, "5.9": 2022, "6.0": 2022, "6.2": 2023, "6.4": 2023, "6.5": 2024, "6.7": 2024},
+    "vue": {"1.0": 2015, "2.0": 2016, "2.5": 2017, "2.6": 2019, "2.7": 2022, "3.0": 2020, "3.2": 2021, "3.3": 2023, "3.4": 2024},
+    "react": {"0.14": 2015, "15.0": 2016, "15.6": 2017, "16.0": 2017, "16.8": 2019, "17.0": 2020, "18.0": 2022},
+    "wordpress": {
+        "3.0": 2010, "4.0": 2014, "4.9": 2017, "5.0": 2018, "5.5": 2020, "5.8": 2021, "5.9": 2022,
+        "6.0": 2022, "6.1": 2022, "6.2": 2023, "6.3": 2023, "6.4": 2023, "6.5": 2024, "6.6": 2024, "6.7": 2024,
+    },
 }
-LATEST = {"jquery": (3, 2023), "bootstrap": (5, 2024), "wordpress": (6, 2024)}
-END_OF_LIFE_BEFORE = {"jquery": 3, "bootstrap": 5, "wordpress": 6}
+#: Latest major version and its year; every angularjs is at its end of life.
+LATEST = {"jquery": (3, 2023), "angularjs": (1, 2022), "bootstrap": (5, 2024), "vue": (3, 2024), "react": (18, 2024), "wordpress": (6, 2024)}
+END_OF_LIFE_BEFORE = {"jquery": 3, "angularjs": 99, "bootstrap": 5, "vue": 3, "react": 16, "wordpress": 6}
 
 
 def _has(html: Column, pattern: str) -> Column:

@@ -36,6 +36,7 @@ SUPPLIERS = {
     ],
     "domain": [r"(devs?|coder|codebase|codehouse|softdev|webdev|appdev)\.", r"\.(dev|code|tech|labs?|studio)$", r"^\w*(agency|agenc)(y|ies)?\.", r"^\w*(outsourc|offsh|nearsh)\w*\."],
 }
+# fixed values: sources that verify, modern stacks, and the points of severities, signals, skills and opportunities
 VERIFIED_SOURCES = ["clutch", "goodfirms", "designrush", "yelp", "google_maps", "gmaps"]
 MODERN = ["react", "next.js", "vue", "nuxt", "svelte", "laravel", "angular"]
 SEVERITY = {"critical": 35.0, "high": 30.0, "medium": 20.0, "low": 10.0}
@@ -43,17 +44,26 @@ PAST_SPEND = {"client_past_spend_verified": 45.0, "directory_client_review": 40.
 SIGNALS = {"active_hiring_intent": 25.0, "hiring_ats_detected": 15.0, "career_page_detected": 10.0, "funding_round": 20.0, "company_growth_award": 20.0, "client_scale_expansion": 20.0}
 SKILLS = {"laravel": 30.0, "next.js": 30.0, "react": 25.0, "shopify": 25.0, "woocommerce": 20.0, "wordpress": 15.0, "fullstack": 20.0, "devops": 15.0}
 HIGH_VALUE = ["cms_to_laravel_migration", "frontend_modernization", "staff_augmentation", "new_website_creation"]
-# fixed values: what a single pain sells: opportunity, low and high value
+# fixed values: what a single pain sells: opportunity, low and high value, service, low and high quote, low and high pilot, confidence, positioning, billing
 CATALOG = {
-    "subpage_speed_discrepancy": ("performance_optimization", 8000, 20000),
-    "missing_mobile_tel_link": ("conversion_rate_optimization", 5000, 15000),
-    "dns_email_deliverability_risk": ("infrastructure_security", 3000, 8000),
-    "legacy_jquery": ("frontend_modernization", 15000, 40000),
-    "legacy_angularjs_eol": ("frontend_modernization", 20000, 45000),
-    "outdated_wordpress": ("cms_to_laravel_migration", 20000, 60000),
-    "hiring_capacity_bottleneck": ("staff_augmentation", 30000, 80000),
+    "subpage_speed_discrepancy": ("performance_optimization", 8000, 20000, "Multi-Page Speed & Asset Optimization", 1500, 3500, 800, 1500, 0.90, "pilot_sprint_intro", "fixed_project"),
+    "missing_mobile_tel_link": ("conversion_rate_optimization", 5000, 15000, "Mobile CRO & 1-Tap Booking Integration", 1000, 2500, 500, 1000, 0.95, "pilot_sprint_intro", "fixed_project"),
+    "dns_email_deliverability_risk": ("infrastructure_security", 3000, 8000, "DNS & Email Deliverability Authentication (SPF / DMARC)", 500, 1200, 350, 600, 0.95, "pilot_sprint_intro", "fixed_project"),
+    "legacy_jquery": ("frontend_modernization", 15000, 40000, "Frontend Modernization (React / Next.js / TypeScript)", 3500, 10000, 1200, 2500, 0.85, "new_vendor_anchor_low", "fixed_project"),
+    "legacy_angularjs_eol": ("frontend_modernization", 20000, 45000, "Legacy AngularJS to React / Next.js Migration", 4500, 12000, 1500, 3000, 0.95, "new_vendor_anchor_low", "fixed_project"),
+    "outdated_wordpress": ("cms_to_laravel_migration", 20000, 60000, "WordPress to Custom Next.js / Modern Stack Migration", 5000, 15000, 1500, 3000, 0.90, "new_vendor_anchor_low", "fixed_project"),
+    "hiring_capacity_bottleneck": ("staff_augmentation", 30000, 80000, "Dedicated Full-Stack Engineering Team Augmentation", 3500, 8000, 1500, 3500, 0.85, "new_vendor_anchor_low", "monthly_recurring"),
+}
+MASTER = ("turnkey_modernization_overhaul", 25000, 50000, "Turnkey Web Modernization, Mobile Conversion & Performance Overhaul", 2500, 5000, 900, 1800, 0.95, "master_audit_solution", "fixed_project")
+OFFER = ["type", "estimated_value_low", "estimated_value_high", "recommended_service", "quote_low", "quote_high", "pilot_low", "pilot_high", "confidence", "quote_positioning", "billing_model"]
+PRICING_VERSION, CURRENCY = "1.4.0", "USD"
+# fixed values: parts of pain types that count as evidence of each pillar
+PILLARS = {
+    "speed": ["speed", "ttfb", "performance"],
+    "conversion": ["tel", "form", "booking"],
+    "seo_dns": ["schema", "dns", "social", "security", "http"],
+    "tech_stack": ["jquery", "wordpress", "angular", "hiring"],
 }
-MASTER = ("turnkey_modernization_overhaul", 25000, 50000)
 
 
 def clamp(x: Column) -> Column:
@@ -163,18 +173,39 @@ def priority_tier(score: Column, recrawl: Column) -> Column:
     )
 
 
-def detect_opportunities(pains: DataFrame) -> DataFrame:
-    """One opportunity per company with pains: the master offer for two or more, else what the single pain sells."""
-    one = pains.groupBy("company_id").agg(F.count("*").alias("n_pains"), F.min_by("type", "position").alias("pain"), F.min_by("confidence", "position").alias("confidence"))
-    many = F.col("n_pains") >= 2
-    pick = lambda i: F.when(many, F.lit(MASTER[i])).otherwise(lookup(F.col("pain"), {k: v[i] for k, v in CATALOG.items()}, MASTER[i]))
+def detect_opportunities(pains: DataFrame, audited: DataFrame | None = None) -> DataFrame:
+    """One opportunity per company with pains: the master offer for two or more or after a deep audit, else what the single pain sells.
+
+    ``audited`` holds the ``company_id`` of deep audits. Pains that count for several pillars of evidence stand in each.
+    """
+    one = pains.groupBy("company_id").agg(
+        F.count("*").alias("n_pains"),
+        F.min_by("type", "position").alias("pain"),
+        F.min_by("confidence", "position").alias("first_confidence"),
+        F.min_by("severity", "position").alias("first_severity"),
+        *(F.sort_array(F.collect_list(F.when(contains_any(F.col("type"), marks), F.col("type")))).alias(f"{name}_pillar") for name, marks in PILLARS.items()),
+    )
+    deep = F.lit(False)
+    if audited is not None:
+        one = one.join(audited.select("company_id", F.lit(True).alias("deep")).distinct(), "company_id", "left")
+        deep = F.coalesce("deep", F.lit(False))
+    many = (F.col("n_pains") >= 2) | deep
+    pick = lambda i: F.when(many, F.lit(MASTER[i])).otherwise(lookup(F.col("pain"), {k: v[i] for k, v in CATALOG.items()}, MASTER[i])).alias(OFFER[i])
+    confidence = F.when(many, 0.95).otherwise(F.col("first_confidence")).alias("confidence")
+    offer = [confidence if name == "confidence" else pick(i) for i, name in enumerate(OFFER)]
+    pillars = (F.when(many, F.col(f"{name}_pillar")).alias(f"{name}_pillar") for name in PILLARS)
     return one.select(
-        "company_id", "n_pains", pick(0).alias("type"), pick(1).alias("estimated_value_low"), pick(2).alias("estimated_value_high"), F.when(many, 0.95).otherwise(F.col("confidence")).alias("confidence")
+        "company_id", "n_pains", *offer, F.when(~many, F.col("first_severity")).alias("pain_severity"), *pillars, F.lit(PRICING_VERSION).alias("pricing_version"), F.lit(CURRENCY).alias("currency"), F.lit("detected").alias("status")
     )
 
 
 def detect_pains(rows: DataFrame) -> DataFrame:
-    """Long table of pains from one row per company of fingerprint and audit metrics."""
+    """Long table of pains from one row per company of fingerprint and audit metrics; metrics that ``rows`` lacks count as not taken."""
+    optional = {
+        "missing_tel_link": "boolean", "broken_social": "boolean", "deliverability_risk": "boolean", "exposed_users": "boolean", "skills": "array<string>",
+        "cert_checked": "boolean", "cert_valid": "boolean", "image_issues": "boolean",
+    }
+    rows = rows.withColumns({k: F.lit(None).cast(t) for k, t in optional.items() if k not in rows.columns})
     c = F.col
     pain = lambda kind, severity, confidence: F.struct(*(x.alias(n) for n, x in zip(("type", "severity", "confidence"), (kind, severity, confidence), strict=True)))
     lit = lambda kind, severity, confidence: pain(F.lit(kind), F.lit(severity), F.lit(confidence))
@@ -194,26 +225,35 @@ def detect_pains(rows: DataFrame) -> DataFrame:
         (slow_subpage, lit("subpage_speed_discrepancy", "high", 0.95)),
         (~slow_subpage & (c("homepage_ms") > 3000), lit("slow_website_speed", "high", 0.90)),
         (c("ttfb_ms") > 1200, lit("slow_backend_ttfb", "medium", 0.85)),
+        (c("missing_tel_link"), lit("missing_mobile_tel_link", "high", 0.95)),
         (c("max_form_inputs") >= 7, lit("high_form_friction", "medium", 0.85)),
         (~c("has_schema"), lit("missing_local_schema", "medium", 0.90)),
+        (c("broken_social"), lit("broken_social_opengraph", "low", 0.85)),
+        (c("deliverability_risk"), lit("dns_email_deliverability_risk", "high", 0.95)),
+        (c("exposed_users"), lit("exposed_cms_security_risk", "critical", 1.0)),
+        (F.size(F.coalesce("skills", F.array().cast("array<string>"))) > 0, lit("hiring_capacity_bottleneck", "high", 0.90)),
+        (c("cert_days") < 30, pain(F.lit("ssl_cert_expiring_soon"), F.when(c("cert_days") < 14, "critical").otherwise("high"), F.lit(1.0))),
+        (~F.coalesce(c("cert_days") < 30, F.lit(False)) & c("cert_checked") & ~F.coalesce("cert_valid", F.lit(False)), lit("ssl_cert_invalid", "critical", 0.95)),
         (c("broken_links") > 0, pain(F.lit("broken_internal_links"), F.when(c("broken_links") >= 3, "high").otherwise("medium"), F.lit(1.0))),
+        (c("image_issues"), lit("unoptimized_images", "medium", 0.90)),
         (c("lighthouse_score") < 70, pain(F.lit("poor_lighthouse_score"), F.when(c("lighthouse_score") < 50, "high").otherwise("medium"), F.lit(1.0))),
-        (c("cert_days") < 30, pain(F.lit("ssl_cert_expiring_soon"), F.when(c("cert_days") < 14, "critical").otherwise("high"), F.lit(1.0))),
     ]
     found = F.array_compact(F.array(*(F.when(cond, p) for cond, p in rules)))
     return rows.select("company_id", F.posexplode(found).alias("position", "p")).select("company_id", "position", "p.*")
 
 
-def score_companies(companies: DataFrame, tech: DataFrame, audits: DataFrame, signals: DataFrame, pains: DataFrame, opportunities: DataFrame, as_of: Column) -> DataFrame:
-    """One scored row per company: every child table is reduced to a row per company before its join."""
+def score_companies(companies: DataFrame, tech: DataFrame, audits: DataFrame, signals: DataFrame, pains: DataFrame, opportunities: DataFrame, as_of: Column, contacts: DataFrame | None = None) -> DataFrame:
+    """One scored row per company: every child table is reduced to a row per company before its join. Contacts count where they are given."""
     gap = tech.select("company_id", technology_gap().alias("technology_gap"), ((F.size(F.coalesce("frontend", F.array().cast("array<string>"))) > 0)).alias("has_stack"), F.lit(True).alias("has_tech"))
     audit = audits.groupBy("company_id").agg(F.max(((F.coalesce("ttfb_ms", F.lit(0)) > 0) | (F.coalesce("performance_score", F.lit(0)) > 0)).cast("int")).alias("has_audit"))
     failed = signals.groupBy("company_id").agg(
         F.max(F.col("type").isin("crawl_audit_failed", "site_unreachable").cast("int")).alias("failed"), F.max((F.col("type") == "missing_website").cast("int")).alias("missing_site"), F.lit(True).alias("has_signals")
     )
-    rows = company_fit(companies).withColumnRenamed("id", "company_id").withColumn("n_contacts", F.lit(0))
-    for child in (gap, audit, failed, pain_signal(pains), buying_signal(signals), service_fit(opportunities)):
+    rows = company_fit(companies).withColumnRenamed("id", "company_id")
+    children = [] if contacts is None else [contacts.groupBy("company_id").agg(F.count("*").alias("n_contacts"))]
+    for child in (*children, gap, audit, failed, pain_signal(pains), buying_signal(signals), service_fit(opportunities)):
         rows = rows.join(child, "company_id", "left")
+    rows = rows if children else rows.withColumn("n_contacts", F.lit(0))
     c, yes = F.col, lambda name: F.coalesce(F.col(name).cast("boolean"), F.lit(False))
     rows = rows.fillna({"technology_gap": 0.0, "pain_signal": 0.0, "buying_signal": 20.0, "service_fit": 20.0, "deal_low": 0, "deal_high": 0, "n_opportunities": 0})
     rows = rows.withColumn("contact_quality", contact_quality()).withColumn("stale", staleness(c("last_crawled_at"), as_of))

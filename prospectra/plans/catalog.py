@@ -174,14 +174,21 @@ PAIN_RULES = [
     ("speed_discrepancy", "'subpage_speed_discrepancy'", "'high'", "0.95"),
     ("NOT speed_discrepancy AND homepage_ms > 3000", "'slow_website_speed'", "'high'", "0.9"),
     ("ttfb_ms > 1200", "'slow_backend_ttfb'", "'medium'", "0.85"),
+    ("missing_tel_link", "'missing_mobile_tel_link'", "'high'", "0.95"),
     ("max_form_inputs >= 7", "'high_form_friction'", "'medium'", "0.85"),
     ("NOT has_schema", "'missing_local_schema'", "'medium'", "0.9"),
+    ("broken_social", "'broken_social_opengraph'", "'low'", "0.85"),
+    ("deliverability_risk", "'dns_email_deliverability_risk'", "'high'", "0.95"),
+    ("exposed_users", "'exposed_cms_security_risk'", "'critical'", "1.0"),
+    ("company_id % 14 = 5", "'hiring_capacity_bottleneck'", "'high'", "0.9"),
+    ("cert_days < 30", "'ssl_cert_expiring_soon'", "CASE WHEN cert_days < 14 THEN 'critical' ELSE 'high' END", "1.0"),
+    ("coalesce(cert_days, 99) >= 30 AND cert_checked AND NOT cert_valid", "'ssl_cert_invalid'", "'critical'", "0.95"),
     ("broken_links > 0", "'broken_internal_links'", "CASE WHEN broken_links >= 3 THEN 'high' ELSE 'medium' END", "1.0"),
+    ("image_issues", "'unoptimized_images'", "'medium'", "0.9"),
     ("lighthouse_score < 70", "'poor_lighthouse_score'", "CASE WHEN lighthouse_score < 50 THEN 'high' ELSE 'medium' END", "1.0"),
-    ("cert_days < 30", "'ssl_cert_expiring_soon'", "CASE WHEN cert_days < 14 THEN 'critical' ELSE 'high' END", "1.0"),
 ]
 PAINS = "(" + " UNION ALL ".join(f"SELECT company_id, {i} AS rule, {k} AS type, {s} AS severity, CAST({c} AS DOUBLE) AS confidence FROM {V.sql(V.TECH)} v WHERE {w}" for i, (w, k, s, c) in enumerate(PAIN_RULES)) + ")"
-pains = lambda spark, d: scoring.detect_pains(V.frame(spark, d, V.TECH))
+pains = lambda spark, d: scoring.detect_pains(V.frame(spark, d, V.TECH).withColumn("skills", F.array_compact(F.array("skill"))))
 query("detect_pains", f"SELECT company_id, type, severity, confidence FROM {PAINS} p")(lambda spark, d: pains(spark, d).select("company_id", "type", "severity", "confidence"))
 POINTS = "sum(CASE severity WHEN 'critical' THEN 35.0 WHEN 'high' THEN 30.0 WHEN 'medium' THEN 20.0 ELSE 10.0 END * confidence)"
 PAIN_SCORE = f"SELECT company_id, CAST(round(least(100.0, round({POINTS}, 6)), 2) AS DOUBLE) AS pain_signal FROM {PAINS} p GROUP BY company_id"
@@ -193,7 +200,32 @@ OPPS = (
     f"CAST(CASE WHEN n_pains >= 2 THEN {M[2]} ELSE {CAT(2, str(M[2]))} END AS INT) AS estimated_value_high, CAST(CASE WHEN n_pains >= 2 THEN 0.95 ELSE first_confidence END AS DOUBLE) AS confidence "
     f"FROM (SELECT company_id, count(*) AS n_pains, arg_min(type, rule) AS pain, arg_min(confidence, rule) AS first_confidence FROM {PAINS} p GROUP BY company_id) x"
 )
-query("detect_opportunities", OPPS)(lambda spark, d: scoring.detect_opportunities(pains(spark, d)))
+DEEP = "(SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0)"
+PILLAR = lambda words: "CASE WHEN many THEN array_to_string(list_sort(list_filter(types, lambda t: " + " OR ".join(f"contains(t, '{w}')" for w in words) + ")), ',') END"
+SINGLE = lambda col, master, **pains: f"CASE WHEN many THEN {master} ELSE CASE pain " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in pains.items()) + f" ELSE {master} END END AS {col}"
+query(
+    "detect_opportunities",
+    "SELECT company_id, n_pains, "
+    + ", ".join([
+        SINGLE("type", "'turnkey_modernization_overhaul'", subpage_speed_discrepancy="'performance_optimization'", missing_mobile_tel_link="'conversion_rate_optimization'", dns_email_deliverability_risk="'infrastructure_security'", legacy_jquery="'frontend_modernization'", legacy_angularjs_eol="'frontend_modernization'", outdated_wordpress="'cms_to_laravel_migration'", hiring_capacity_bottleneck="'staff_augmentation'"),
+        SINGLE("estimated_value_low", "25000", subpage_speed_discrepancy=8000, missing_mobile_tel_link=5000, dns_email_deliverability_risk=3000, legacy_jquery=15000, legacy_angularjs_eol=20000, outdated_wordpress=20000, hiring_capacity_bottleneck=30000),
+        SINGLE("estimated_value_high", "50000", subpage_speed_discrepancy=20000, missing_mobile_tel_link=15000, dns_email_deliverability_risk=8000, legacy_jquery=40000, legacy_angularjs_eol=45000, outdated_wordpress=60000, hiring_capacity_bottleneck=80000),
+        SINGLE("quote_low", "2500", subpage_speed_discrepancy=1500, missing_mobile_tel_link=1000, dns_email_deliverability_risk=500, legacy_jquery=3500, legacy_angularjs_eol=4500, outdated_wordpress=5000, hiring_capacity_bottleneck=3500),
+        SINGLE("pilot_high", "1800", subpage_speed_discrepancy=1500, missing_mobile_tel_link=1000, dns_email_deliverability_risk=600, legacy_jquery=2500, legacy_angularjs_eol=3000, outdated_wordpress=3000, hiring_capacity_bottleneck=3500),
+    ])
+    + f", CAST(CASE WHEN many THEN 0.95 ELSE first_confidence END AS DOUBLE) AS confidence, {PILLAR(['speed', 'ttfb', 'performance'])} AS speed_pillar, {PILLAR(['tel', 'form', 'booking'])} AS conversion_pillar, "
+    f"{PILLAR(['schema', 'dns', 'social', 'security', 'http'])} AS seo_dns_pillar, {PILLAR(['jquery', 'wordpress', 'angular', 'hiring'])} AS tech_stack_pillar "
+    f"FROM (SELECT company_id, count(*) AS n_pains, count(*) >= 2 OR company_id IN {DEEP} AS many, arg_min(type, rule) AS pain, arg_min(confidence, rule) AS first_confidence, list(type) AS types FROM {PAINS} p GROUP BY company_id) x",
+)(lambda spark, d: offers(spark, d))
+
+
+def offers(spark, d):
+    audited = spark.read.parquet(f"{d}/events.parquet").where("user_id % 3 = 0").select(F.col("user_id").alias("company_id"))
+    found = scoring.detect_opportunities(pains(spark, d), audited)
+    names = ["company_id", "n_pains", "type", "estimated_value_low", "estimated_value_high", "quote_low", "pilot_high", "confidence"]
+    return found.select(*names, *(F.array_join(f"{k}_pillar", ",").alias(f"{k}_pillar") for k in scoring.PILLARS))
+
+
 TYPED = f"round(sum(CASE type WHEN 'client_past_spend_verified' THEN 45.0 * greatest(0.6, {CONF}) WHEN 'directory_client_review' THEN 40.0 * greatest(0.6, {CONF}) " + " ".join(f"WHEN '{k}' THEN {v} * {CONF}" for k, v in scoring.SIGNALS.items()) + " ELSE 0.0 END), 6)"
 BUYING = f"SELECT company_id, CAST(round(least(100.0, 25.0 + {TYPED}), 2) AS DOUBLE) AS buying_signal FROM {V.sql(V.SIGNALS)} v GROUP BY company_id"
 signals = lambda spark, d: V.frame(spark, d, V.SIGNALS).withColumn("skills", F.lit(None).cast("array<string>"))

@@ -18,15 +18,30 @@ projection("extract_budget", BUDGETS, lambda: {"id": F.col("id"), "budget": T.ex
 REDIRECTS = "SELECT page_id, 'https://r.example.com/go?x=1&url=' || replace(replace(url, ':', '%3A'), '/', '%2F') || '&z=' || CAST(page_id AS STRING) AS link FROM {pages} WHERE url NOT LIKE '%#%' AND url NOT LIKE '%&%'"
 projection("redirect_target", REDIRECTS, lambda: {"page_id": F.col("page_id"), "target": T.redirect_target(F.col("link"))}, "page_id, url_decode(nullif(regexp_extract(link, '[?&]url=([^&#]*)', 1), '')) AS target")
 PREFIX, DOMAIN = "regexp_extract(lower(trim(email)), '^([^@]*)@', 1)", "regexp_extract(lower(trim(email)), '@(.*)$', 1)"
+STOP = quoted(leads.BRAND_STOP_WORDS)
+STEM = f"split_part({DOMAIN}, '.', 1)"
+TOKENS = rf"list_filter(regexp_split_to_array(regexp_replace(lower(name), '[^a-z0-9_\s]', '', 'g'), '\s+'), lambda t: length(t) >= 3 AND t NOT IN ({STOP}))"
 GATE = sql_case(
     [
         ("NOT contains(email, '@')", "'missing_or_malformed'"), (r"NOT regexp_matches(lower(trim(email)), '^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}$')", "'invalid_email_regex'"),
-        (f"length({PREFIX}) < 2 OR {PREFIX} IN ({quoted(leads.BLOCKED_PREFIXES)}) OR starts_with({PREFIX}, 'helpdesk')", "'blocked_prefix'"), (sql_contains(DOMAIN, leads.BLOCKED_PARTS), "'blocked_tld_or_government'"),
-        (f"{DOMAIN} IN ({quoted(leads.PUBLIC_PROVIDERS)})", "'valid_common_provider'"), (f"{DOMAIN} = company_domain", "'valid_company_domain'"),
+        (f"length({PREFIX}) < 2 OR {PREFIX} IN ('noreply') OR starts_with({PREFIX}, 'helpdesk')", "'blocked_prefix'"), (f"{DOMAIN} IN ('yelp.com', 'example.com')", "'blocked_domain'"),
+        ("throwaway", "'disposable_domain'"), (f"contains({DOMAIN}, '.gov') OR contains({DOMAIN}, '.in')", "'blocked_tld_or_government'"), (f"{DOMAIN} IN ('gmail.com', 'att.net')", "'valid_common_provider'"),
+        (f"{DOMAIN} = company_domain AND NOT ends_with(company_domain, '.local')", "'valid_company_domain'"),
+        (f"(company_domain IS NULL OR ends_with(company_domain, '.local')) AND len({TOKENS}) > 0 AND len(list_filter({TOKENS}, lambda t: contains({STEM}, t) OR (length({STEM}) >= 4 AND contains(t, {STEM})) OR (length({STEM}) >= 3 AND starts_with(t, {STEM}[1:3])))) = 0", "'custom_domain_mismatch'"),
     ], "'valid_custom_domain'",
 )
-LEADS = "SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN 'info' WHEN 1 THEN 'noreply' WHEN 2 THEN 'j' WHEN 3 THEN 'helpdesk1' WHEN 4 THEN 'a b' ELSE 'jo' END || CASE WHEN c_custkey % 31 = 0 THEN '' ELSE '@' END || CASE c_custkey % 5 WHEN 0 THEN 'Gmail.com' WHEN 1 THEN 'city.gov' WHEN 2 THEN 'biz' || CAST(c_custkey % 4 AS STRING) || '.com' ELSE 'my.inner.com' END AS email, 'biz2.com' AS company_domain FROM {customer}"
-projection("lead_email_gate", LEADS, lambda: {"id": F.col("id"), "verdict": leads.lead_email_gate(F.col("email"), F.col("company_domain"))}, f"id, {GATE} AS verdict")
+LEADS = """
+SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN 'info' WHEN 1 THEN 'noreply' WHEN 2 THEN 'j' WHEN 3 THEN 'helpdesk1' WHEN 4 THEN 'a b' ELSE 'jo' END || CASE WHEN c_custkey % 31 = 0 THEN '' ELSE '@' END
+    || CASE c_custkey % 11 WHEN 0 THEN 'Gmail.com' WHEN 1 THEN 'city.gov' WHEN 2 THEN 'biz' || CAST(c_custkey % 4 AS STRING) || '.com' WHEN 3 THEN 'yelp.com' WHEN 4 THEN 'example.com' WHEN 5 THEN 'att.net'
+      WHEN 6 THEN 'harborshop.com' WHEN 7 THEN 'harb.net' WHEN 8 THEN 'oak.io' ELSE 'my.inner.com' END AS email,
+  CASE c_custkey % 3 WHEN 0 THEN 'biz2.com' WHEN 1 THEN 'x.local' END AS company_domain, CASE c_custkey % 4 WHEN 0 THEN 'Harbor & Sons, LLC' WHEN 1 THEN 'The Oakland Law Firm' WHEN 2 THEN 'Inc Co' ELSE 'Zed 77 Myth' END AS name,
+  c_custkey % 29 = 0 AS throwaway
+FROM {customer}
+"""
+projection(
+    "lead_email_gate", LEADS, lambda: {"id": F.col("id"), "verdict": leads.lead_email_gate(F.col("email"), F.col("company_domain"), F.col("name"), None, F.col("throwaway"))}, f"id, {GATE} AS verdict"
+)
+projection("brand_token_match", LEADS, lambda: {"id": F.col("id"), "n_tokens": leads.brand_token_match(leads.brand_tokens(F.col("name")), F.regexp_extract(F.lower("email"), "@(.*)$", 1)).cast("long")}, f"id, len(list_filter({TOKENS}, lambda t: contains({STEM}, t))) AS n_tokens")
 TITLES = "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Founder & CEO' WHEN 1 THEN 'CTO' WHEN 2 THEN 'VP Marketing' WHEN 3 THEN 'Head of Operations' WHEN 4 THEN p_type ELSE NULL END AS title FROM {part}"
 projection("role_category", TITLES, lambda: {"id": F.col("id"), "role": leads.role_category(F.col("title"))}, "id, " + sql_case([(f"regexp_matches(lower(coalesce(title, '')), '{p}')", f"'{n}'") for n, p in leads.ROLE_TITLES], "'other'") + " AS role")
 NAMED = "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'blue-fox' || CAST(c_custkey AS STRING) || '.com' WHEN 1 THEN 'Acme Inc' ELSE '' END AS company, CASE c_custkey % 5 WHEN 0 THEN 'Ann' WHEN 1 THEN 'info' WHEN 2 THEN NULL WHEN 3 THEN 'x@y.com' ELSE 'azumo.com' END AS first FROM {customer}"
@@ -36,12 +51,8 @@ projection("display_company_name", NAMED, lambda: {"id": F.col("id"), "shown": l
 query("copy_segment", f"SELECT company_id, CASE WHEN lower(coalesce(cms, '')) = 'wordpress' THEN 'laravel_modernization' WHEN library IS NOT NULL THEN 'frontend_modernization' WHEN homepage_ms > 2500 THEN 'speed_optimization' WHEN coalesce(cms, '') <> '' THEN 'laravel_modernization' END AS segment FROM {V.sql(C.WITH_STACK)} v")(
     lambda spark, d: leads.copy_segment(V.frame(spark, d, C.WITH_STACK)).select("company_id", "segment")
 )
-projection("contact_quality", V.COMPANIES, lambda: {"id": F.col("id"), "quality": scoring_contact()}, "id, CAST(50.0 + CASE WHEN website_url IS NOT NULL THEN 25.0 ELSE 0.0 END + CASE WHEN contains(domain, '.') THEN 25.0 ELSE 0.0 END AS DOUBLE) AS quality")
-
-
-def scoring_contact():
-    base = 50.0 + F.when(F.coalesce("website_url", F.lit("")) != "", 25.0).otherwise(0.0)
-    return base + F.when(F.contains(F.coalesce("domain", F.lit("")), F.lit(".")), 25.0).otherwise(0.0)
+COUNTED = f"SELECT v.*, CASE WHEN id % 5 = 0 THEN NULL ELSE id % 5 END AS n_contacts FROM ({V.COMPANIES}) v"
+projection("contact_quality", COUNTED, lambda: {"id": F.col("id"), "quality": scoring.contact_quality()}, "id, CAST(least(100.0, 50.0 + CASE WHEN website_url IS NOT NULL THEN 25.0 ELSE 0.0 END + CASE WHEN contains(domain, '.') THEN 25.0 ELSE 0.0 END + 10.0 * coalesce(n_contacts, 0)) AS DOUBLE) AS quality")
 
 
 query("service_fit", f"SELECT company_id, CAST(least(100.0, 40.0 + CASE WHEN type IN ({quoted(scoring.HIGH_VALUE)}) THEN 25.0 ELSE 15.0 END) AS DOUBLE) AS service_fit, CAST(estimated_value_low AS BIGINT) AS deal_low, CAST(estimated_value_high AS BIGINT) AS deal_high FROM ({C.OPPS}) o")(

@@ -42,7 +42,7 @@ projection(
     "hiring_signals", RICH, lambda: {"page_id": F.col("page_id"), **pages.hiring_signals(F.col("html"))},
     f"page_id, CASE WHEN contains(lower(html), 'greenhouse.io') THEN 'greenhouse.io' ELSE '' END AS boards, len(regexp_extract_all(lower(html), '<a\\s[^>]*href=\"[^\"]*{pages.CAREERS}')) AS career_links",
 )
-LIBS = "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'jquery' WHEN 1 THEN 'bootstrap' WHEN 2 THEN 'wordpress' ELSE 'leftpad' END AS library, CAST(1 + p_size % 6 AS STRING) || '.' || CAST(p_partkey % 13 AS STRING) || '.1' AS version FROM {part}"
+LIBS = "SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'jquery' WHEN 1 THEN 'bootstrap' WHEN 2 THEN 'wordpress' WHEN 3 THEN 'angularjs' WHEN 4 THEN 'vue' WHEN 5 THEN 'react' ELSE 'leftpad' END AS library, CAST(p_size % 19 AS STRING) || '.' || CAST(p_partkey % 13 AS STRING) || '.1' AS version FROM {part}"
 MAJ, MIN = "CAST(split_part(version, '.', 1) AS INT)", "split_part(version, '.', 2)"
 pick = lambda table: "CASE library " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " END"
 YEARS = lambda key: f"CASE {key} " + " ".join(f"WHEN '{lib} {k}' THEN {y}" for lib, ys in pages.RELEASES.items() for k, y in ys.items()) + " END"

@@ -41,7 +41,9 @@ SELECT c_custkey AS company_id, CASE c_custkey % 5 WHEN 0 THEN 'WordPress' WHEN
   c_custkey % 6 <> 0 AS https, c_custkey % 4 <> 0 AS hsts, c_custkey % 23 = 0 AS speed_discrepancy,
   (c_custkey * 37) % 6000 AS homepage_ms, (c_custkey * 53) % 2500 AS ttfb_ms, c_custkey % 10 AS max_form_inputs, c_custkey % 3 = 0 AS has_schema,
   CASE WHEN c_custkey % 8 = 0 THEN c_custkey % 5 ELSE 0 END AS broken_links, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 100 END AS lighthouse_score,
-  CASE WHEN c_custkey % 3 = 1 THEN c_custkey % 90 END AS cert_days
+  CASE WHEN c_custkey % 3 = 1 THEN c_custkey % 90 END AS cert_days,
+  c_custkey % 12 = 1 AS missing_tel_link, c_custkey % 10 = 2 AS broken_social, c_custkey % 9 = 3 AS deliverability_risk, c_custkey % 31 = 4 AS exposed_users,
+  CASE WHEN c_custkey % 14 = 5 THEN 'laravel' END AS skill, c_custkey % 2 = 1 AS cert_checked, c_custkey % 4 = 1 AS cert_valid, c_custkey % 13 = 6 AS image_issues
 FROM {customer}
 """
 SCORES = """
