@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import contains_any, first_keyword
@@ -78,12 +78,19 @@ def is_agency(name: Column, domain: Column, industry: Column) -> Column:
     return contains_any(F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (name, domain, industry)))), AGENCY_WORDS)
 
 
-def classify_industry(text: Column, default: str = DEFAULT_INDUSTRY) -> Column:
+def classify_industry(text: Column, default: str | None = DEFAULT_INDUSTRY) -> Column:
     """First industry with a keyword in the text."""
     t = F.lower(F.coalesce(text, F.lit("")))
     return F.coalesce(*(F.when(contains_any(t, words), F.lit(label)) for label, words in INDUSTRIES.items()), F.lit(default))
 
 
+def is_disposable_email(rows: DataFrame, domains: DataFrame, email: str = "email") -> DataFrame:
+    """Add ``disposable``: whether the address is of a throw-away domain, by a table of them."""
+    table = domains.select(F.lower("domain").alias("__domain"), F.lit(True).alias("__hit")).distinct()
+    found = rows.withColumn("__domain", F.regexp_extract(F.lower(F.coalesce(email, F.lit(""))), "@(.*)$", 1)).join(table, "__domain", "left")
+    return found.withColumn("disposable", F.coalesce("__hit", F.lit(False))).drop("__domain", "__hit")
+
+
 def mail_provider(mx_host: Column) -> Column:
     """Provider that runs a mail host."""
     host = F.lower(F.coalesce(mx_host, F.lit("")))

@@ -280,17 +280,6 @@ query("dedupe_emails", f"SELECT id, email FROM (SELECT *, row_number() OVER (PAR
     lambda spark, d: relational.keep_first(V.frame(spark, d, V.CONTACTS), [F.lower("email")], "id", F.col("email") == "").select("id", "email")
 )
 NEW = V.COMPANIES.replace("FROM {customer}", "FROM {customer} WHERE c_custkey % 2 = 1")
-query(
-    "upsert_companies",
-    f"SELECT coalesce(o.domain, n.domain) AS domain, coalesce(nullif(o.name, ''), n.name) AS name, coalesce(n.industry, o.industry) AS industry, coalesce(n.employees, o.employees) AS employees FROM (SELECT * FROM {V.sql(V.COMPANIES)} a WHERE id % 3 = 0 AND id < 1000) o FULL JOIN (SELECT * FROM {V.sql(V.COMPANIES)} b WHERE id % 2 = 1 AND id < 1000) n ON o.domain = n.domain",
-)(lambda spark, d: upserted(spark, d))
-
-
-def upserted(spark, d):
-    """The ids below 1000 have domains of their own, which a merge needs."""
-    rows = V.frame(spark, d, V.COMPANIES).where("id < 1000")
-    return relational.merge_snapshot(rows.where("id % 3 = 0"), rows.where("id % 2 = 1"), "domain", ["name"], ["industry", "employees"])
-
 
 query("scoring_worklist", f"SELECT id FROM {V.sql(V.COMPANIES)} c WHERE (last_crawled_at IS NOT NULL OR website_url IS NULL) AND NOT EXISTS (SELECT 1 FROM {V.sql(V.SCORES)} s WHERE s.company_id = c.id AND s.scored_at >= TIMESTAMP '2001-06-01 00:00:00')")(
     lambda spark, d: V.frame(spark, d, V.COMPANIES).where("last_crawled_at IS NOT NULL OR website_url IS NULL").join(
@@ -306,9 +295,6 @@ query("has_existing_outreach", f"SELECT id FROM {V.sql(V.CONTACTS)} c WHERE comp
 query("suppress", f"SELECT id, email FROM {V.sql(V.BOUNCES)} b WHERE email NOT IN (SELECT email FROM {V.sql(V.BOUNCES)} x WHERE dsn = '5.1.1' AND id % 700 = 0)")(
     lambda spark, d: relational.anti_any(V.frame(spark, d, V.BOUNCES), [(V.frame(spark, d, V.BOUNCES).where("dsn = '5.1.1' and id % 700 = 0"), "email", "email")]).select("id", "email")
 )
-query("ingest_candidates")(
-    lambda spark, d: relational.greedy_two_keys(V.frame(spark, d, V.COMPANIES).where(~D.is_agency(F.col("name"), F.col("domain"), F.col("industry"))).withColumn("slug", T.name_city_key(F.col("name"), F.col("city"))), "domain", "slug", "id").select("id", "domain", "slug")
-)
 query("warm_seen_keys", f"SELECT DISTINCT {HOST.format('domain')} AS key, 'domain' AS kind FROM {V.sql(V.COMPANIES)} v UNION SELECT DISTINCT {NAME}, 'name' FROM {V.sql(V.COMPANIES)} v")(
     lambda spark, d: V.frame(spark, d, V.COMPANIES).select(T.normalize_domain(F.col("domain")).alias("key"), F.lit("domain").alias("kind")).unionByName(V.frame(spark, d, V.COMPANIES).select(T.normalize_company_name(F.col("name")).alias("key"), F.lit("name").alias("kind"))).distinct()
 )

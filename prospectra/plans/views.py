@@ -89,7 +89,7 @@ FROM {supplier}
 
 
 def tables(view: str) -> list[str]:
-    return sorted(set(re.findall(r"\{(\w+)\}", view)))
+    return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", view)))
 
 
 def frame(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:

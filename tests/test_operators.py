@@ -161,3 +161,53 @@ def test_streams_equal_batches(events):
     assert sorted((r.email, r.n_soft) for r in got.collect()) == sorted((r.email, r.n_soft) for r in feeds.soft_bounce_promotion(soft).collect())
     once = drain(streams.bounce_stream(stream), "bounces")
     assert once.select("email").distinct().count() == 40 and once.count() == once.select("email", "bounce_type").distinct().count()
+
+
+def test_ingest_candidates_in_order_of_arrival(spark):
+    from prospectra.operators import intake
+
+    old = spark.createDataFrame([(1, "Old Firm LLC", "old.com")], "id long, name string, domain string")
+    rows = [
+        (1, "Bright Dental", "https://www.bright.com/x", None, "clinic", "clutch_client", None),
+        (2, "Bright Dental, LLC", "other.com", None, "", "a", None),  # name of 1
+        (3, "Third", "other.com", None, "Masonry", "a", None),  # row 2 blocks nothing
+        (4, "Acme Software Development", "acme.com", None, None, "a", None),  # agency
+        (5, "old firm", "new.com", None, None, "a", None),  # known name
+        (6, "Any", "OLD.com", None, None, "a", None),  # known domain
+        (7, "No Domain", "", None, None, "a", None),
+        (8, "", "blank1.com", None, None, "a", "freight"),
+        (9, None, "", "http://blank2.com", None, "some_review", "text"),
+    ]
+    new = spark.createDataFrame(rows, "id long, name string, domain string, website_url string, industry string, source string, summary string")
+    taken, signals = intake.ingest_candidates(new, old)
+    assert sorted((r.id, r.domain, r.industry) for r in taken.collect()) == [
+        (1, "bright.com", "Healthcare & Life Sciences"), (3, "other.com", "Masonry"), (8, "blank1.com", "Logistics & Supply Chain"), (9, "blank2.com", "Commercial Business & Services"),
+    ]
+    assert sorted((r.domain, r.detail) for r in signals.collect()) == [("blank2.com", "text"), ("bright.com", "Verified client review case study")]
+    assert intake.ingest_candidates(new.limit(0), old)[0].count() == 0
+
+
+def test_ingest_listings_splits_by_website(spark):
+    from prospectra.operators import intake
+
+    rows = [(1, "Bay Spa", "Miami", None), (2, "Bay Spa", "Miami", "bay.com"), (3, "Bay Spa", "Tampa", "bay.com"), (4, "Old", "Miami", "http://old.com")]
+    frame = spark.createDataFrame(rows, "id long, name string, city string, website_url string")
+    for c in ("phone", "rating", "review_count"):
+        frame = frame.withColumn(c, F.lit(None).cast("string"))
+    listed = intake.normalize_local_listings(frame.withColumn("categories", F.array(F.lit("day_spa"))))
+    out = intake.ingest_listings(listed, spark.createDataFrame([("old.com", "Else", "X")], "domain string, name string, city string"))
+    assert sorted((r.domain, r.priority_tier, r.opportunity_score) for r in out["scores"].collect()) == [("bay-spa-miami.local", "immediate", 100.0), ("bay.com", "pending_audit", 0.0)]
+    assert [r.type for r in out["opportunities"].collect()] == ["new_website_creation"] and out["signals"].count() == 1
+
+
+def test_golden_versions_and_fields(spark):
+    from prospectra.functions import extract
+
+    rows = [("angularjs", "1.8.3", True, 0, "critical", 2020), ("jquery", "1.5", True, 2, "critical", 2011), ("jquery", "3.3", False, 0, "critical", 2018), ("wordpress", "6.6", False, 0, "low", 2024), ("react", "0.14.2", True, 18, "critical", 2015), ("vue", "2.7", True, 1, "critical", 2022), ("jquery", "3.7.1", False, 0, "low", 2023)]
+    df = spark.createDataFrame(rows, "l string, v string, eol boolean, gap int, risk string, year int")
+    assert all(r.d.asDict() == {"release_year": r.year, "major_gap": r.gap, "years_outdated": 2026 - r.year, "eol": r.eol, "risk": r.risk} for r in df.withColumn("d", pages.version_debt(F.col("l"), F.col("v"), 2026)).collect())
+    empty = spark.createDataFrame([(None,), ("",)], "c string")
+    c = F.col("c")
+    none = empty.select(extract.infer_employer_domain(c, c), extract.extract_name_title(c), extract.dsn_code(c, c), extract.bounce_recipient(c, c, c, c)).collect()
+    assert all(v is None for r in none for v in r)
+    assert [len(r[0]) for r in empty.select(extract.parse_stack(c)).collect()] == [0, 0]
