@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import domains as D
 from prospectra.functions import text as T
-from prospectra.operators import feeds, relational, scoring
+from prospectra.operators import feeds, relational, scoring, worklists
 from prospectra.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,14 +281,12 @@ query("dedupe_emails", f"SELECT id, email FROM (SELECT *, row_number() OVER (PAR
 )
 NEW = V.COMPANIES.replace("FROM {customer}", "FROM {customer} WHERE c_custkey % 2 = 1")
 
-query("scoring_worklist", f"SELECT id FROM {V.sql(V.COMPANIES)} c WHERE (last_crawled_at IS NOT NULL OR website_url IS NULL) AND NOT EXISTS (SELECT 1 FROM {V.sql(V.SCORES)} s WHERE s.company_id = c.id AND s.scored_at >= TIMESTAMP '2001-06-01 00:00:00')")(
-    lambda spark, d: V.frame(spark, d, V.COMPANIES).where("last_crawled_at IS NOT NULL OR website_url IS NULL").join(
-        V.frame(spark, d, V.SCORES).where("scored_at >= TIMESTAMP '2001-06-01 00:00:00'").select(F.col("company_id").alias("id")), "id", "left_anti").select("id")
-)
-query("enrichment_worklist", f"SELECT c.id, max(s.opportunity_score) AS score FROM {V.sql(V.COMPANIES)} c JOIN {V.sql(V.SCORES)} s ON s.company_id = c.id WHERE s.opportunity_score >= 40 AND c.id NOT IN (SELECT company_id FROM {V.sql(V.CONTACTS)} k) GROUP BY c.id")(
-    lambda spark, d: relational.anti_any(V.frame(spark, d, V.COMPANIES), [(V.frame(spark, d, V.CONTACTS), "id", "company_id")])
-    .join(V.frame(spark, d, V.SCORES).where("opportunity_score >= 40").groupBy(F.col("company_id").alias("id")).agg(F.max("opportunity_score").alias("score")), "id").select("id", "score")
-)
+query("scoring_worklist", f"SELECT id FROM {V.sql(V.COMPANIES)} c LEFT JOIN (SELECT company_id, max(scored_at) AS scored FROM {V.sql(V.SCORES)} s GROUP BY company_id) t ON t.company_id = c.id WHERE (last_crawled_at IS NOT NULL OR website_url IS NULL) AND NOT coalesce(scored >= coalesce(last_crawled_at, scored) AND scored >= TIMESTAMP '2001-06-01 00:00:00', false)")(
+    lambda spark, d: worklists.scoring_worklist(V.frame(spark, d, V.COMPANIES), V.frame(spark, d, V.SCORES), F.lit("2001-06-08").cast("timestamp")).select("id")
+)
+query("enrichment_worklist", f"SELECT c.id, max(s.opportunity_score) AS score, bool_or(website_url IS NULL OR ends_with(domain, '.local')) AS no_website FROM {V.sql(V.COMPANIES)} c JOIN {V.sql(V.SCORES)} s ON s.company_id = c.id WHERE s.opportunity_score >= 40 AND c.id NOT IN (SELECT company_id FROM {V.sql(V.CONTACTS)} k) GROUP BY c.id")(
+    lambda spark, d: worklists.enrichment_worklist(V.frame(spark, d, V.COMPANIES), V.frame(spark, d, V.SCORES), V.frame(spark, d, V.CONTACTS), limit=None)
+)
 query("has_existing_outreach", f"SELECT id FROM {V.sql(V.CONTACTS)} c WHERE company_id IN (SELECT user_id FROM events WHERE event_id % 50 = 0) OR id IN (SELECT user_id FROM events WHERE event_id % 70 = 1)")(
     lambda spark, d: relational.semi_any(V.frame(spark, d, V.CONTACTS), "id", [(spark.read.parquet(f"{d}/events.parquet").where("event_id % 50 = 0"), "company_id", "user_id"), (spark.read.parquet(f"{d}/events.parquet").where("event_id % 70 = 1"), "id", "user_id")]).select("id")
 )
@@ -320,8 +318,8 @@ query("classify_reply", f"SELECT id, {sql_case(INTENT(0), "'unknown'")} AS inten
 )
 RETRY = f"SELECT company_id, domain, CAST(retry_count + 1 AS INT) AS attempt, retry_count + 1 > 4 AS dead_letter, CASE WHEN retry_count + 1 <= 4 THEN ts + to_minutes(CAST(pow(2, retry_count + 1) * 30 AS BIGINT)) END AS next_retry_at FROM {V.sql(V.FAILURES)} v WHERE ({EXCLUDED}) = '' AND {RETRYABLE}"
 query("retry_schedule", RETRY)(lambda spark, d: feeds.retry_schedule(V.frame(spark, d, V.FAILURES)))
-query("retry_counts", f"SELECT count(*) FILTER (NOT dead_letter) AS pending, count(*) FILTER (NOT dead_letter AND next_retry_at <= TIMESTAMP '2024-01-15 00:00:00') AS due, count(*) FILTER (dead_letter) AS dead FROM ({RETRY}) r")(
-    lambda spark, d: feeds.retry_schedule(V.frame(spark, d, V.FAILURES)).agg(F.count_if(~F.col("dead_letter")).alias("pending"), F.count_if(~F.col("dead_letter") & (F.col("next_retry_at") <= F.lit("2024-01-15").cast("timestamp"))).alias("due"), F.count_if("dead_letter").alias("dead"))
+query("retry_counts", f"SELECT count(*) FILTER (NOT dead_letter) AS pending, count(*) FILTER (NOT dead_letter AND next_retry_at <= TIMESTAMP '2024-01-15 00:00:00') AS due, count(*) FILTER (dead_letter) AS dead, (SELECT coalesce(array_to_string(list(company_id ORDER BY company_id), ','), '') FROM (SELECT company_id FROM ({RETRY}) r2 WHERE dead_letter ORDER BY company_id LIMIT 10) f) AS first_dead FROM ({RETRY}) r")(
+    lambda spark, d: worklists.retry_counts(feeds.retry_schedule(V.frame(spark, d, V.FAILURES)), F.lit("2024-01-15").cast("timestamp")).withColumn("first_dead", F.array_join("first_dead", ","))
 )
 query("due_retries", f"SELECT * FROM ({RETRY}) r WHERE NOT dead_letter AND next_retry_at <= TIMESTAMP '2024-01-15 00:00:00' ORDER BY next_retry_at, company_id LIMIT 20")(
     lambda spark, d: feeds.due_retries(feeds.retry_schedule(V.frame(spark, d, V.FAILURES)), F.lit("2024-01-15").cast("timestamp"))

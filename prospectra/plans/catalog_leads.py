@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import domains as D
 from prospectra.functions import text as T
-from prospectra.operators import leads, pages, relational, scoring
+from prospectra.operators import leads, pages, relational, scoring, worklists
 from prospectra.plans import catalog as C
 from prospectra.plans import views as V
 from prospectra.plans.catalog import projection, query, quoted, sql_case, sql_contains
@@ -67,16 +67,16 @@ query("audit_worklist", f"SELECT id FROM {V.sql(V.COMPANIES)} c WHERE website_ur
     lambda spark, d: leads.audit_worklist(V.frame(spark, d, V.COMPANIES), spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("company_id")), D.is_excluded_domain(F.col("domain"))["excluded"], C.as_of()).select("id")
 )
 query("resolution_worklist", f"SELECT id FROM {V.sql(V.COMPANIES)} c WHERE (ends_with(domain, '.yelp.com') AND last_crawled_at IS NULL) OR source = 'local_business_directory' ORDER BY id DESC LIMIT 50")(
-    lambda spark, d: V.frame(spark, d, V.COMPANIES).where("(domain like '%.yelp.com' and last_crawled_at is null) or source = 'local_business_directory'").orderBy(F.desc("id")).limit(50).select("id")
+    lambda spark, d: worklists.resolution_worklist(V.frame(spark, d, V.COMPANIES), "yelp.com", "local_business_directory").select("id")
 )
-query("crawl_backlog", f"SELECT id, domain FROM {V.sql(V.COMPANIES)} c WHERE {C.REASON} IS NULL ORDER BY id LIMIT 100")(lambda spark, d: scoring.disqualify_company(V.frame(spark, d, V.COMPANIES)).where("disqualified_reason is null").orderBy("id").limit(100).select("id", "domain"))
+query("crawl_backlog", f"SELECT id, domain FROM {V.sql(V.COMPANIES)} c WHERE {C.REASON} IS NULL ORDER BY id LIMIT 100")(lambda spark, d: worklists.crawl_backlog(V.frame(spark, d, V.COMPANIES)).select("id", "domain"))
 LATEST = f"(SELECT * FROM {V.sql(V.SCORES)} v QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY id DESC) = 1)"
 FIRST_CONTACT = f"(SELECT company_id, arg_min(email, id) AS email FROM {V.sql(V.CONTACTS)} v WHERE {C.USABLE} GROUP BY company_id)"
 query(
     "outreach_eligible",
     f"SELECT s.company_id, s.opportunity_score, k.email FROM {LATEST} s JOIN {FIRST_CONTACT} k ON k.company_id = s.company_id JOIN {V.sql(V.COMPANIES)} c ON c.id = s.company_id WHERE s.opportunity_score >= 30 AND s.priority_tier <> 'ignore' AND s.company_id NOT IN (SELECT user_id FROM events WHERE event_id % 400 = 0)",
 )(lambda spark, d: leads.outreach_eligible(V.frame(spark, d, V.COMPANIES), V.frame(spark, d, V.SCORES), V.frame(spark, d, V.CONTACTS), spark.read.parquet(f"{d}/events.parquet").where("event_id % 400 = 0").select(F.col("user_id").alias("company_id")), 30.0))
-MESSAGES = "SELECT event_id AS id, 'm' || CAST(event_id AS STRING) AS message_id, 'User' || CAST(user_id % 60 AS STRING) || '@mail' || CAST(user_id % 7 AS STRING) || '.com' AS email FROM {events} WHERE event_id % 2 = 0"
+MESSAGES = "SELECT event_id AS id, 'm' || CAST(event_id AS STRING) AS message_id, 'User' || CAST(user_id % 60 AS STRING) || '@mail' || CAST(user_id % 7 AS STRING) || '.com' AS email FROM {events}"
 PEOPLE = "SELECT c_custkey AS id, c_custkey % 30 AS company_id, 'user' || CAST(c_custkey % 45 AS STRING) || '@mail' || CAST(c_custkey % 7 AS STRING) || '.com' AS email FROM {customer}"
 THREADED = V.BOUNCES.replace("ts,", "ts, 'm' || CAST(event_id + 1 AS STRING) AS in_reply_to,")
 query(
@@ -99,7 +99,7 @@ query("repoint_domain", f"SELECT c.id, CASE WHEN new_domain IS NOT NULL AND (own
 query("patch_company_columns", f"SELECT c.id, coalesce(n.new_url, c.website_url) AS website_url FROM {V.sql(V.COMPANIES)} c LEFT JOIN {V.sql(CHANGES)} n ON n.id = c.id")(
     lambda spark, d: leads.patch_columns(V.frame(spark, d, V.COMPANIES), V.frame(spark, d, CHANGES).select("id", F.col("new_url").alias("website_url")), "id", ["website_url"]).select("id", "website_url")
 )
-YIELD = "SELECT event_type AS source, event_id % 40 AS page FROM {events} WHERE event_id % 3 = 0"
+YIELD = "SELECT event_type AS source, event_id % 40 AS page FROM {events}"
 query("discovery_yield", f"SELECT source, CAST(sum(n) AS BIGINT) AS accepted, count(*) AS pages FROM (SELECT source, page, n, coalesce(sum(n) OVER (PARTITION BY source ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT source, page, count(*) AS n FROM {V.sql(YIELD)} v GROUP BY 1, 2) g) h WHERE b < 50 GROUP BY source")(
     lambda spark, d: leads.discovery_yield(V.frame(spark, d, YIELD), 50)
 )
@@ -122,7 +122,15 @@ query("dedupe_messages", f"SELECT id FROM {V.sql(MESSAGES)} m QUALIFY row_number
 query("dedupe_opportunities", f"SELECT id, company_id FROM {V.sql(V.SIGNALS)} m QUALIFY row_number() OVER (PARTITION BY company_id, type ORDER BY id) = 1")(
     lambda spark, d: relational.keep_first(V.frame(spark, d, V.SIGNALS), [F.col("company_id"), F.col("type")], "id").select("id", "company_id")
 )
-query("purge_invalid_recipients", f"SELECT id, email FROM {V.sql(V.CONTACTS)} c WHERE NOT regexp_matches(email, '(^@|\\.\\.|nodot$)')")(lambda spark, d: V.frame(spark, d, V.CONTACTS).where(~F.col("email").rlike(r"(^@|\.\.|nodot$)")).select("id", "email"))
+query("purge_invalid_recipients", f"SELECT id, email, 'kept' AS kind, email_status FROM {V.sql(V.CONTACTS)} c WHERE NOT regexp_matches(email, '(^@|\\.\\.|nodot$)') UNION ALL SELECT id, email, 'all', CASE WHEN regexp_matches(email, '(^@|\\.\\.|nodot$)') THEN 'invalid' ELSE email_status END FROM {V.sql(V.CONTACTS)} c")(
+    lambda spark, d: purged(spark, d)
+)
+
+
+def purged(spark, d):
+    rows, bad = V.frame(spark, d, V.CONTACTS), r"(^@|\.\.|nodot$)"
+    kept, marked = worklists.purge_invalid_recipients(rows, bad), worklists.purge_invalid_recipients(rows, bad, invalidate=True)
+    return kept.select("id", "email", F.lit("kept").alias("kind"), "email_status").unionByName(marked.select("id", "email", F.lit("all").alias("kind"), "email_status"))
 query("lookup_by_key", f"SELECT id, company_id, type FROM {V.sql(V.SIGNALS)} s WHERE company_id IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0) ORDER BY id")(
-    lambda spark, d: V.frame(spark, d, V.SIGNALS).join(spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("company_id")), "company_id", "left_semi").orderBy("id").select("id", "company_id", "type")
+    lambda spark, d: worklists.lookup_by_key(V.frame(spark, d, V.SIGNALS), spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("company_id")), "company_id").select("id", "company_id", "type")
 )

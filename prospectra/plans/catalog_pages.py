@@ -72,7 +72,7 @@ SELECT 'u' || CAST(l_orderkey % 5000 AS STRING) || '@m.com' AS email, l_linenumb
   CASE (l_orderkey + l_linenumber) % 7 WHEN 0 THEN 250 WHEN 1 THEN 550 WHEN 2 THEN 450 WHEN 3 THEN 552 WHEN 4 THEN 421 WHEN 5 THEN 0 ELSE 554 END AS code,
   CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN 'User unknown' WHEN 1 THEN 'blocked by list' WHEN 2 THEN 'mailbox full' ELSE 'no' END AS message,
   l_orderkey % 9 = 0 AS catch_all, CASE l_orderkey % 3 WHEN 0 THEN 'zoho' WHEN 1 THEN 'google_workspace' ELSE 'custom_smtp' END AS provider
-FROM {lineitem} WHERE l_orderkey < 5000
+FROM {lineitem}
 """
 REFUSED = sql_case([(sql_contains("lower(message)", w), f"'{n}'") for n, w in (("ip_policy_blocked", outreach.POLICY), ("mailbox_full", outreach.FULL), ("mailbox_not_found", outreach.NOT_FOUND))], "'generic_5xx_rejection'")
 SUB = "coalesce(d, CASE WHEN last_code IN (421, 450, 451, 452) THEN 'greylisted' ELSE 'connection_failed' END)"

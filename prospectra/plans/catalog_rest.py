@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import domains as D
 from prospectra.functions import text as T
-from prospectra.operators import leads, relational, scoring
+from prospectra.operators import leads, relational, scoring, worklists
 from prospectra.plans import catalog as C
 from prospectra.plans import views as V
 from prospectra.plans.catalog import projection, query, sql_contains
@@ -15,43 +15,42 @@ SEEN = "(SELECT user_id FROM events WHERE event_id % 5 = 0)"
 query("data_completeness", f"SELECT company_id, CAST(round(0.35 + CASE WHEN library IS NOT NULL THEN 0.15 ELSE 0.0 END + CASE WHEN ttfb_ms > 0 THEN 0.35 ELSE 0.0 END + CASE WHEN company_id % 4 = 0 THEN 0.15 ELSE 0.0 END, 2) AS DOUBLE) AS completeness FROM {V.sql(C.WITH_STACK)} v")(
     lambda spark, d: V.frame(spark, d, C.WITH_STACK).select("company_id", scoring.data_completeness(F.lit(True), F.col("library").isNotNull(), F.col("ttfb_ms") > 0, F.col("company_id") % 4 == 0).alias("completeness"))
 )
-query("deal_range", f"SELECT c.id AS company_id, CASE WHEN website_url IS NULL AND o.estimated_value_high IS NULL THEN 2500 ELSE coalesce(o.estimated_value_low, 0) END AS low, CASE WHEN website_url IS NULL AND o.estimated_value_high IS NULL THEN 5000 ELSE coalesce(o.estimated_value_high, 0) END AS high FROM {V.sql(V.COMPANIES)} c LEFT JOIN ({C.OPPS}) o ON o.company_id = c.id")(
-    lambda spark, d: V.frame(spark, d, V.COMPANIES).select(F.col("id").alias("company_id"), "website_url").join(scoring.detect_opportunities(C.pains(spark, d)).select("company_id", "estimated_value_low", "estimated_value_high"), "company_id", "left").select(
-        "company_id", F.when(F.col("website_url").isNull() & F.col("estimated_value_high").isNull(), 2500).otherwise(F.coalesce("estimated_value_low", F.lit(0))).alias("low"),
-        F.when(F.col("website_url").isNull() & F.col("estimated_value_high").isNull(), 5000).otherwise(F.coalesce("estimated_value_high", F.lit(0))).alias("high"))
-)
+query("deal_range", f"SELECT c.id AS company_id, CAST(CASE WHEN website_url IS NULL AND o.estimated_value_high IS NULL THEN 2500 ELSE coalesce(o.estimated_value_low, 0) END AS BIGINT) AS low, CAST(CASE WHEN website_url IS NULL AND o.estimated_value_high IS NULL THEN 5000 ELSE coalesce(o.estimated_value_high, 0) END AS BIGINT) AS high FROM {V.sql(V.COMPANIES)} c LEFT JOIN ({C.OPPS}) o ON o.company_id = c.id")(
+    lambda spark, d: worklists.deal_range(V.frame(spark, d, V.COMPANIES), scoring.detect_opportunities(C.pains(spark, d)))
+)
 query("one_message_per_company", f"SELECT company_id, id FROM {V.sql(V.CONTACTS)} c QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY id) = 1")(
     lambda spark, d: relational.keep_first(V.frame(spark, d, V.CONTACTS), [F.col("company_id")], "id").select("company_id", "id")
 )
 query("outreach_ready_count", f"SELECT count(DISTINCT company_id) AS ready, count(*) AS contacts FROM {V.sql(V.CONTACTS)} c WHERE {C.USABLE} AND company_id NOT IN {SEEN}")(
-    lambda spark, d: relational.anti_any(V.frame(spark, d, V.CONTACTS).where(C.USABLE), [(spark.read.parquet(f"{d}/events.parquet").where("event_id % 5 = 0"), "company_id", "user_id")]).agg(F.countDistinct("company_id").alias("ready"), F.count("*").alias("contacts"))
+    lambda spark, d: worklists.outreach_ready_count(V.frame(spark, d, V.CONTACTS).where(C.USABLE), spark.read.parquet(f"{d}/events.parquet").where("event_id % 5 = 0").select(F.col("user_id").alias("company_id")))
 )
 query("ingest_job_postings", f"SELECT id, 'active_hiring_intent' AS type FROM {V.sql(V.COMPANIES)} c WHERE domain IN (SELECT 'biz' || CAST(p_partkey AS STRING) || '.com' FROM part) AND NOT {sql_contains(C.ALL_TEXT, D.AGENCY_WORDS)}")(
-    lambda spark, d: V.frame(spark, d, V.COMPANIES).where(~D.is_agency(F.col("name"), F.col("domain"), F.col("industry")))
-    .join(spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("biz"), F.col("p_partkey").cast("string"), F.lit(".com")).alias("domain")).distinct(), "domain", "left_semi").select("id", F.lit("active_hiring_intent").alias("type"))
-)
-WANTED = "SELECT s_suppkey AS wanted_id, CASE s_suppkey % 3 WHEN 0 THEN 'corner cafe inc. ' ELSE 'PLAIN WORKS ' END || CAST(s_suppkey % 97 AS STRING) AS wanted FROM {supplier}"
-query("find_company_by_name", f"SELECT wanted_id, min(c.id) AS id FROM {V.sql(WANTED)} w LEFT JOIN {V.sql(V.COMPANIES)} c ON lower(trim(c.name)) = lower(trim(w.wanted)) GROUP BY wanted_id")(
-    lambda spark, d: V.frame(spark, d, WANTED).withColumn("key", F.lower(F.trim("wanted"))).join(V.frame(spark, d, V.COMPANIES).groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min("id").alias("id")), "key", "left").select("wanted_id", "id")
+    lambda spark, d: worklists.ingest_job_postings(V.frame(spark, d, V.COMPANIES), spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("biz"), F.col("p_partkey").cast("string"), F.lit(".com")).alias("domain")))
+)
+WANTED = "SELECT s_suppkey AS wanted_id, CASE s_suppkey % 4 WHEN 0 THEN 'corner cafe inc. ' || CAST(s_suppkey % 97 AS STRING) WHEN 1 THEN 'PLAIN WORKS ' || CAST(s_suppkey % 97 AS STRING) WHEN 2 THEN ' Harbor Fash' ELSE 'nobody' END AS wanted FROM {supplier}"
+NAMED_IDS = f"(SELECT lower(trim(name)) AS name, min(id) AS id FROM {V.sql(V.COMPANIES)} c GROUP BY 1)"
+query("find_company_by_name", f"SELECT wanted_id, coalesce((SELECT min(id) FROM {NAMED_IDS} n WHERE n.name = lower(trim(wanted))), (SELECT min(id) FROM {NAMED_IDS} n WHERE starts_with(n.name, lower(trim(wanted))))) AS id FROM {V.sql(WANTED)} w")(
+    lambda spark, d: worklists.find_company_by_name(V.frame(spark, d, V.COMPANIES), V.frame(spark, d, WANTED))
 )
 REDIRECT = "SELECT 'biz' || CAST(s_suppkey AS STRING) || '.com' AS domain, 'new' || CAST(s_suppkey % 9 AS STRING) || '.com' AS target FROM {supplier}"
 query("canonical_domain", f"SELECT c.id, coalesce(r.target, c.domain) AS domain FROM {V.sql(V.COMPANIES)} c LEFT JOIN {V.sql(REDIRECT)} r ON r.domain = c.domain")(
-    lambda spark, d: V.frame(spark, d, V.COMPANIES).join(V.frame(spark, d, REDIRECT), "domain", "left").select("id", F.coalesce("target", "domain").alias("domain"))
+    lambda spark, d: worklists.canonical_domain(V.frame(spark, d, V.COMPANIES), V.frame(spark, d, REDIRECT)).select("id", "domain")
 )
 SENT = "SELECT event_id AS id, user_id % 120 AS contact_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'e' || CAST(event_id AS STRING) || '@x.com' END AS email FROM {events}"
 query("validate_or_drop_messages", f"SELECT m.id, c.id AS contact_id, coalesce(m.email, c.email) AS email FROM {V.sql(SENT)} m LEFT JOIN {V.sql(V.CONTACTS)} c ON c.id = m.contact_id")(
-    lambda spark, d: V.frame(spark, d, SENT).join(V.frame(spark, d, V.CONTACTS).select(F.col("id").alias("contact_id"), F.col("id").alias("found"), F.col("email").alias("theirs")), "contact_id", "left").select("id", F.col("found").alias("contact_id"), F.coalesce("email", "theirs").alias("email"))
+    lambda spark, d: worklists.validate_messages(V.frame(spark, d, SENT), V.frame(spark, d, V.CONTACTS)).select("id", "contact_id", "email")
 )
 query("stage_baseline", f"SELECT id, baseline, n_before FROM ({C.ANOMALY}) a")(lambda spark, d: C.anomalies(spark, d).select("id", "baseline", "n_before"))
 CERTS = "SELECT c_custkey AS id, CAST(CASE WHEN c_custkey % 2 = 0 THEN '2026-02-' ELSE '2026-03-' END || lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0') || ' 00:00:00' AS TIMESTAMP) AS expires FROM {customer}"
-projection("certificate_metrics", CERTS, lambda: {"id": F.col("id"), "days": F.datediff("expires", C.as_of()).cast("long"), "expiring": F.datediff("expires", C.as_of()) < 30}, f"id, date_diff('day', CAST({C.AS_OF} AS DATE), CAST(expires AS DATE)) AS days, date_diff('day', CAST({C.AS_OF} AS DATE), CAST(expires AS DATE)) < 30 AS expiring")
-projection("pillar_summary", V.TECH, lambda: {
-    "company_id": F.col("company_id"), "speed": ((F.col("homepage_ms") > 3000).cast("int") + (F.col("ttfb_ms") > 1200).cast("int")), "security": ((~F.col("https")).cast("int") + (~F.col("hsts")).cast("int")),
-    "search": ((~F.col("has_schema")).cast("int") + (F.col("broken_links") > 0).cast("int")), "conversion": (F.col("max_form_inputs") >= 7).cast("int"),
-}, "company_id, CAST(homepage_ms > 3000 AS INT) + CAST(ttfb_ms > 1200 AS INT) AS speed, CAST(NOT https AS INT) + CAST(NOT hsts AS INT) AS security, CAST(NOT has_schema AS INT) + CAST(broken_links > 0 AS INT) AS search, CAST(max_form_inputs >= 7 AS INT) AS conversion")
+query("certificate_metrics", f"SELECT id, date_diff('day', CAST({C.AS_OF} AS DATE), CAST(expires AS DATE)) AS days, date_diff('day', CAST({C.AS_OF} AS DATE), CAST(expires AS DATE)) < 30 AS expiring FROM {V.sql(CERTS)} v")(
+    lambda spark, d: worklists.certificate_metrics(V.frame(spark, d, CERTS), C.as_of()).select("id", "days", "expiring")
+)
+query("pillar_summary", f"SELECT company_id, CAST(homepage_ms > 3000 AS INT) + CAST(ttfb_ms > 1200 AS INT) AS speed, CAST(NOT https AS INT) + CAST(NOT hsts AS INT) AS security, CAST(NOT has_schema AS INT) + CAST(broken_links > 0 AS INT) AS search, CAST(max_form_inputs >= 7 AS INT) AS conversion FROM {V.sql(V.TECH)} v")(
+    lambda spark, d: worklists.pillar_summary(V.frame(spark, d, V.TECH))
+)
 projection("fingerprint_transport", "SELECT page_id, url FROM {pages}", lambda: {"page_id": F.col("page_id"), "https": F.col("url").startswith("https://")}, "page_id, starts_with(url, 'https://') AS https")
 query("catchall_ttl", "SELECT user_id, arg_max(event_type, ts) AS verdict FROM events GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-30 12:00:00'")(
-    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("verdict"), F.max("ts").alias("last")).where(F.col("last") >= F.lit("2024-01-30 12:00:00").cast("timestamp")).select("user_id", "verdict")
+    lambda spark, d: worklists.catchall_ttl(spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("key"), F.col("event_type").alias("verdict"), "ts"), F.lit("2024-01-31").cast("timestamp")).select(F.col("key").alias("user_id"), "verdict")
 )
 query("query_matrix", "SELECT category, city FROM (SELECT category, city, row_number() OVER (ORDER BY category, city) - 1 AS n, count(*) OVER () AS total FROM (SELECT DISTINCT p_type AS category FROM part), (SELECT n_name AS city FROM nation)) x WHERE ((n - 17) % total + total) % total < 40")(
     lambda spark, d: leads.query_matrix(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("category")).distinct(), spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("city")), 17, 40).select("category", "city")

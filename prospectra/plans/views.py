@@ -78,7 +78,7 @@ FROM {events}
 RUNS = """
 SELECT event_id AS id, CASE user_id % 6 WHEN 0 THEN 'scoring' WHEN 1 THEN 'audit' WHEN 2 THEN 'enrichment' WHEN 3 THEN 'bounce_check' WHEN 4 THEN 'outreach' ELSE 'discovery' END AS stage_name,
   CASE event_id % 8 WHEN 0 THEN 'failed' WHEN 1 THEN 'partial' ELSE 'success' END AS status, ts AS started_at, event_id % 40 AS items_processed
-FROM {events} WHERE event_id % 3 = 0
+FROM {events}
 """
 CONTACTS = """
 SELECT s_suppkey AS id, s_suppkey % 40 AS company_id, CASE s_suppkey % 9 WHEN 0 THEN 'info' WHEN 1 THEN 'a..b' WHEN 2 THEN '.jo' WHEN 3 THEN '' WHEN 4 THEN 'support.team' WHEN 5 THEN 'x@y' ELSE 'jane' || CAST(s_suppkey % 30 AS STRING) END
