@@ -32,6 +32,14 @@ BRAND_STOP_WORDS = [
 ]
 # fixed values: titles of roles, in order of precedence
 ROLE_TITLES = [("founder", r"(founder|owner|ceo|chief executive)"), ("technology", r"(cto|vp engineering|head of engineering|technical)"), ("marketing", r"(cmo|marketing|growth)"), ("operations", r"(coo|operations)")]
+# fixed values: words of role classes by where the title or local part comes from, in order of precedence
+ROLE_WORDS = {
+    "people_search": [("technical_executive", ["cto", "engineering", "technical", "developer"]), ("founder", ["founder", "ceo", "president"]), ("product_lead", ["product", "design"])],
+    "domain_search": [
+        ("technical_executive", ["cto", "technology", "engineering", "technical", "developer", "architect", "software"]), ("founder", ["founder", "ceo", "president", "owner"]), ("product_lead", ["product", "design"]),
+    ],
+    "page": [("founder", ["founder", "ceo", "director", "partner"]), ("technical_executive", ["tech", "dev", "engineering", "cto"])],
+}
 # fixed values: states by their codes
 STATES = """
 al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy
@@ -82,6 +90,12 @@ def role_category(title: Column) -> Column:
     return F.coalesce(*(F.when(t.rlike(p), F.lit(n)) for n, p in ROLE_TITLES), F.lit("other"))
 
 
+def role_class(text: Column, origin: str) -> Column:
+    """Class of a role by the words of a title, or of the local part of an address for ``page``; ``general`` for any other."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return F.coalesce(*(F.when(contains_any(t, words), F.lit(name)) for name, words in ROLE_WORDS[origin]), F.lit("general"))
+
+
 def display_company_name(name: Column) -> Column:
     """A raw domain as a name: without its ending, hyphens as spaces, capitalised."""
     ending = r"(?i)\.(com|org|net|io|ai|co|agency|digital|tech|us|uk|de|ca|dev)$"
