@@ -310,7 +310,16 @@ def bounces(spark, d):
 
 query("classify_bounce", f"SELECT id, {BTYPE} AS bounce_type FROM {V.sql(V.BOUNCES)} v WHERE {NOTICE}")(lambda spark, d: bounces(spark, d).select("id", "bounce_type"))
 query("soft_bounce_promotion", f"SELECT email, count(*) AS n_soft FROM {V.sql(V.BOUNCES)} v WHERE {NOTICE} AND {BTYPE} = 'soft_bounce' GROUP BY email HAVING count(*) >= 3")(lambda spark, d: feeds.soft_bounce_promotion(bounces(spark, d)))
-query("bounce_dedup")(lambda spark, d: feeds.bounce_dedup(bounces(spark, d).select("id", "email", "bounce_type", "ts")))
+
+
+def sql_spaced(rows: str, keys: str, ts: str, seconds: int) -> str:
+    """Rows that start a new span: the first of each key, then each time the first that is ``seconds`` or more after the last kept one."""
+    span = f"to_microseconds({seconds * 1_000_000 - 1})"
+    numbered = f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {ts}, id) AS n, rank() OVER (PARTITION BY {keys} ORDER BY {ts}) + count(*) OVER (PARTITION BY {keys} ORDER BY {ts} RANGE BETWEEN CURRENT ROW AND {span} FOLLOWING) AS follower FROM {rows} r"
+    return f"WITH RECURSIVE numbered AS MATERIALIZED ({numbered}), spaced AS (SELECT * FROM numbered WHERE n = 1 UNION ALL SELECT x.* FROM spaced k JOIN numbered x USING ({keys}) WHERE x.n = k.follower) SELECT * EXCLUDE (n, follower) FROM spaced"
+
+
+query("bounce_dedup", sql_spaced(f"(SELECT id, email, {BTYPE} AS bounce_type, ts FROM {V.sql(V.BOUNCES)} v WHERE {NOTICE})", "email, bounce_type", "ts", 86400))(lambda spark, d: feeds.bounce_dedup(bounces(spark, d).select("id", "email", "bounce_type", "ts")))
 RTEXT = "lower(coalesce(subject, '') || chr(10) || coalesce(body, ''))"
 INTENT = lambda i: [(f"regexp_matches({RTEXT}, '{'|'.join(p).replace(chr(39), chr(39) * 2)}')", f"'{n}'" if i == 0 else str(c)) for n, c, p in feeds.INTENTS] + [(f"regexp_matches({RTEXT}, '{feeds.SHORT_YES}')", "'positive_interest'" if i == 0 else "0.8")]
 query("classify_reply", f"SELECT id, {sql_case(INTENT(0), "'unknown'")} AS intent, CAST({sql_case(INTENT(1), '0.5')} AS DOUBLE) AS confidence FROM {V.sql(V.REPLIES)} v")(
@@ -328,7 +337,7 @@ WIN = "(PARTITION BY stage_name ORDER BY CAST(floor(epoch(started_at)) AS BIGINT
 ANOMALY = f"SELECT id, stage_name, started_at, baseline, n_before, coalesce(n_before >= 3 AND baseline > 5 AND items_processed < baseline * 0.5 AND stage_name NOT IN ({quoted(feeds.QUIET_STAGES)}), false) AS anomaly FROM (SELECT *, round(avg(items_processed) OVER {WIN}, 4) AS baseline, count(*) OVER {WIN} AS n_before FROM {V.sql(V.RUNS)} v WHERE status IN ('success', 'partial')) w"
 anomalies = lambda spark, d: feeds.stage_anomalies(V.frame(spark, d, V.RUNS)).select("id", "stage_name", "started_at", "baseline", "n_before", "anomaly")
 query("stage_anomalies", ANOMALY)(anomalies)
-query("alert_cooldown")(lambda spark, d: feeds.alert_cooldown(anomalies(spark, d).where("anomaly").select("id", "stage_name", "started_at")))
+query("alert_cooldown", sql_spaced(f"(SELECT id, stage_name, started_at FROM ({ANOMALY}) a WHERE anomaly)", "stage_name", "started_at", 4 * 3600))(lambda spark, d: feeds.alert_cooldown(anomalies(spark, d).where("anomaly").select("id", "stage_name", "started_at")))
 query("recent_runs", f"SELECT id, stage_name, status FROM {V.sql(V.RUNS)} v ORDER BY id DESC LIMIT 25")(lambda spark, d: V.frame(spark, d, V.RUNS).orderBy(F.desc("id")).limit(25).select("id", "stage_name", "status"))
 query("run_summary", f"SELECT stage_name, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'failed') AS failed FROM {V.sql(V.RUNS)} v GROUP BY stage_name")(
     lambda spark, d: V.frame(spark, d, V.RUNS).groupBy("stage_name").pivot("status", ["success", "partial", "failed"]).count().fillna(0)
@@ -337,7 +346,15 @@ query("daily_send_count", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, coun
 query("calibration_report", "SELECT source, count(*) AS total_outreaches, round(avg(opportunity_score), 4) AS avg_opp_score, CAST(count(*) FILTER (opened) AS BIGINT) AS total_opened, CAST(count(*) FILTER (replied) AS BIGINT) AS total_replied, CAST(count(*) FILTER (closed_won) AS BIGINT) AS total_closed, round(count(*) FILTER (replied) / count(*) * 100, 2) AS reply_rate_pct, round(count(*) FILTER (closed_won) / count(*) * 100, 2) AS close_rate_pct, " f"round(coalesce(sum(revenue), 0.0), 2) AS total_revenue_won FROM {V.sql(V.OUTCOMES)} v GROUP BY source")(
     lambda spark, d: feeds.calibration_report(V.frame(spark, d, V.OUTCOMES))
 )
-query("score_changes")(
-    lambda spark, d: relational.changed_rows(V.frame(spark, d, V.SCORES).select("id", "company_id", (F.floor(F.col("opportunity_score") / 25) * 25).cast("double").alias("opportunity_score"), "priority_tier"), "company_id", "id", ["opportunity_score"], "priority_tier")
-)
+DIMENSIONS = ["opportunity_score", "company_fit", "technology_gap", "pain_signal", "buying_signal", "contact_quality", "service_fit"]
+DRIFT = (
+    "SELECT o_orderkey AS id, o_custkey AS company_id, CASE WHEN o_orderkey % 40 = 0 THEN 'high' ELSE 'low' END AS priority_tier, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 5 AS DOUBLE) / 250 END AS opportunity_score, "
+    + ", ".join(f"50 + CAST(o_orderkey % {4 + i} AS DOUBLE) / {300 + 100 * i} AS {c}" for i, c in enumerate(DIMENSIONS[1:])) + " FROM {orders}"
+)
+MOVED = " OR ".join(["x.priority_tier <> k.priority_tier", *(f"coalesce(abs(x.{c} - k.{c}) >= 0.01, false)" for c in DIMENSIONS)])
+query(
+    "score_changes",
+    f"WITH RECURSIVE rows AS MATERIALIZED {V.sql(DRIFT)}, changed AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY id) = 1 UNION ALL "
+    f"SELECT x.* FROM changed k JOIN rows x ON x.company_id = k.company_id AND x.id > k.id WHERE {MOVED} QUALIFY row_number() OVER (PARTITION BY x.company_id ORDER BY x.id) = 1) SELECT id, company_id, priority_tier FROM changed",
+)(lambda spark, d: relational.changed_rows(V.frame(spark, d, DRIFT), "company_id", "id", DIMENSIONS, "priority_tier").select("id", "company_id", "priority_tier"))
 query("warmup_cap", f"SELECT id, opportunity_score FROM {V.sql(V.SCORES)} v ORDER BY opportunity_score DESC, id LIMIT 38")(lambda spark, d: feeds.warmup_cap(V.frame(spark, d, V.SCORES).select("id", "opportunity_score"), 50, 12, [F.desc("opportunity_score"), F.col("id")]))

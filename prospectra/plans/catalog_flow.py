@@ -63,7 +63,27 @@ SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'Acme Web Agency' WHEN 1
   CASE p_partkey % 3 WHEN 0 THEN 'clutch_client_review' ELSE 'discovery' END AS source, CASE WHEN p_partkey % 9 = 0 THEN 'did work' END AS summary
 FROM {part}
 """
-query("ingest_candidates")(lambda spark, d: taken(spark, d))
+
+
+def sql_greedy(rows: str) -> str:
+    """Rows (``id``, ``domain``, ``slug``) that are accepted in order of id where neither key is taken, one a step."""
+    free = "NOT (list_contains(s.domains, c.domain) OR list_contains(s.slugs, c.slug))"
+    grow = lambda held, key: f"CASE WHEN {free} THEN list_append(s.{held}, c.{key}) ELSE s.{held} END"
+    return (
+        f"WITH RECURSIVE c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS n FROM {rows} r), s AS (SELECT CAST(0 AS BIGINT) AS n, false AS accepted, CAST([] AS VARCHAR[]) AS domains, CAST([] AS VARCHAR[]) AS slugs UNION ALL "
+        f"SELECT c.n, {free}, {grow('domains', 'domain')}, {grow('slugs', 'slug')} FROM s JOIN c ON c.n = s.n + 1) SELECT c.* FROM c JOIN s ON s.n = c.n WHERE s.accepted"
+    )
+
+
+PROPOSED = f"(SELECT id, name, industry, source, summary, {C.HOST.format("coalesce(nullif(domain, ''), website_url)")} AS domain, coalesce(nullif({C.NAME}, ''), 'id:' || CAST(id AS VARCHAR)) AS slug FROM {V.sql(NEW)} v)"
+FRESH = (
+    f"(SELECT * FROM {PROPOSED} p WHERE contains(domain, '.') AND NOT {C.sql_contains(C.ALL_TEXT, D.AGENCY_WORDS)} AND domain NOT IN (SELECT {C.HOST.format('domain')} FROM {V.sql(V.COMPANIES)} k) AND slug NOT IN (SELECT {C.NAME} FROM {V.sql(V.COMPANIES)} k))"
+)
+KIND = C.sql_case([(C.sql_contains("lower(name || ' ' || coalesce(industry, '') || ' ' || coalesce(summary, ''))", words), f"'{label}'") for label, words in D.INDUSTRIES.items()], "NULL")
+query(
+    "ingest_candidates",
+    f"SELECT id, domain, coalesce({KIND}, nullif(industry, ''), 'Commercial Business & Services') AS industry, CASE WHEN contains(source, 'client') OR contains(source, 'review') THEN 'directory_client_review' END AS signal FROM ({sql_greedy(FRESH)}) g",
+)(lambda spark, d: taken(spark, d))
 
 
 def taken(spark, d):
@@ -71,7 +91,14 @@ def taken(spark, d):
     return rows.join(signals.select("domain", F.col("type").alias("signal")), "domain", "left").select("id", "domain", "industry", "signal")
 
 
-query("ingest_listings")(lambda spark, d: places(spark, d))
+SLUGGED = f"{C.NAME} || ':' || {C.CITY}"
+SHOWN = f"(SELECT *, {SLUGGED} AS slug FROM (SELECT id, CASE WHEN id % 6 = 0 THEN {L_DOMAIN} ELSE name END AS name, {L_DOMAIN} AS domain, city, id % 4 IN (0, 1) AS has_website FROM {V.sql(LISTINGS)} v) n)"
+UNSEEN = f"(SELECT * FROM {SHOWN} p WHERE domain NOT IN (SELECT {C.HOST.format('domain')} FROM {V.sql(V.COMPANIES)} k) AND slug NOT IN (SELECT {SLUGGED} FROM {V.sql(V.COMPANIES)} k))"
+query(
+    "ingest_listings",
+    "SELECT id, domain, CAST(CASE WHEN has_website THEN 0 ELSE 100 END AS DOUBLE) AS opportunity_score, CASE WHEN has_website THEN 'pending_audit' ELSE 'immediate' END AS priority_tier, CASE WHEN NOT has_website THEN 'new_website_creation' END AS offer, "
+    f"CASE WHEN NOT has_website THEN 'missing_website' END AS signal FROM ({sql_greedy(UNSEEN)}) g",
+)(lambda spark, d: places(spark, d))
 
 
 def places(spark, d):
