@@ -30,6 +30,8 @@ WINDOW = 64
 CORE = LENGTH - WINDOW + 1
 #: Bytes that are named at a time, and bytes of texts that a task takes at a time.
 PIECE, SLICE_BYTES = 1 << 19, 4 << 20
+#: A group of more than one COMMON-th of all grouped rows is dealt over so many PARTS; there are fewer than COMMON of them.
+COMMON, PARTS = 2048, 128
 TRIPLES = (1, 3, 9, 27, 81)
 SAMPLED, COVER = 27, 243
 
@@ -164,6 +166,16 @@ def _keyed(docs: DataFrame) -> tuple[Column, Column]:
     return h1.alias("h1"), F.shiftright(h2, 32).cast("int").alias("h2")
 
 
+def _meet(rows: DataFrame, groups: DataFrame, keys: list[str], deal: list[str], how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with ``groups``, a table of the keys and their number of rows ``n``; rows of a common group are dealt over parts by ``deal``."""
+    limit = (groups.agg(F.sum("n")).first()[0] or 0) // COMMON
+    common = groups.where(F.col("n") > limit).select(*keys, F.lit(True).alias("common"))
+    part = F.when(F.col("common"), F.pmod(F.xxhash64(*deal), F.lit(PARTS)).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(common), keys, "left").withColumn("part", part).drop("common")
+    places = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(groups.withColumn("part", F.explode(places)), [*keys, "part"], how).drop("part")
+
+
 def repeated_starts(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """Starts of repeated strings of LENGTH bytes: ``h1``, ``h2`` (keys of id and text) and arrays ``first``, ``last``, ``single``.
 
@@ -173,14 +185,16 @@ def repeated_starts(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.where(F.octet_length("text") >= LENGTH).select(*_keyed(docs), F.col("text").cast("binary").alias("text"))
-    shared = scratch(_positions(texts, True, piece).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "shared-cores")
+    shared = scratch(_positions(texts, True, piece).groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), "shared-cores")
     release_shuffles(spark)
-    found = scratch(_positions(texts, False, piece).join(shared, "core"), "shared-positions")
+    found = scratch(_meet(_positions(texts, False, piece), shared, ["core"], ["h1", "first"]).drop("n"), "shared-positions")
     forget(shared)
     release_shuffles(spark)
-    whole = found.groupBy("core", "context").agg(F.count("*").alias("n")).where("n > 1").select("core", "context", F.lit(True).alias("whole"))
-    runs = scratch(found.join(whole, ["core", "context"], "left").select("core", "context", "h1", "h2", "first", "last", F.col("whole").isNotNull().alias("whole")), "position-runs")
+    whole = scratch(found.groupBy("core", "context").agg(F.count("*").alias("n")).where("n > 1"), "whole-contexts")
+    runs = _meet(found, whole, ["core", "context"], ["h1", "first"], "left")
+    runs = scratch(runs.select("core", "context", "h1", "h2", "first", "last", F.col("n").isNotNull().alias("whole")), "position-runs")
     forget(found)
+    forget(whole)
     # a start at an edge can repeat one within a whole context: of each such context, one position is named too
     edges = runs.where("not whole").select("core", "h1", "h2", "first", "last")
     inner = runs.where("whole").groupBy("core", "context").agg(F.min(F.struct("h1", "h2", "first", "last")).alias("one"))
@@ -212,12 +226,13 @@ def repeated_starts(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     named = texts.dropDuplicates(["h1", "h2"]).join(edges, ["h1", "h2"]).select("h1", "h2", "text", "runs")
     named = scratch(named.mapInArrow(name_starts, "name long, name2 long, h1 long, h2 int, start int"), "edge-starts")
     release_shuffles(spark)
-    repeated = named.groupBy("name", "name2").agg(F.count("*").alias("n")).where("n > 1").select("name", "name2")
-    single = named.join(repeated, ["name", "name2"]).groupBy("h1", "h2").agg(F.collect_list("start").alias("single"))
+    repeated = scratch(named.groupBy("name", "name2").agg(F.count("*").alias("n")).where("n > 1"), "repeated-starts")
+    single = _meet(named, repeated, ["name", "name2"], ["h1", "start"]).groupBy("h1", "h2").agg(F.collect_list("start").alias("single"))
     spans = runs.where("whole").groupBy("h1", "h2").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    out = scratch(spans.join(single, ["h1", "h2"], "full"), "repeated-starts")
+    out = scratch(spans.join(single, ["h1", "h2"], "full"), "starts-by-text")
     forget(runs)
     forget(named)
+    forget(repeated)
     return out
 
 

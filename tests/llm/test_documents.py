@@ -372,6 +372,20 @@ def test_repeats_within_and_between_texts(spark):
     assert suffix_dedup.sorted_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_with_and_without_common_groups(spark, monkeypatch):
+    """One context in most rows: the same result when it is dealt over parts, when every group is, and when none is."""
+    rng = random.Random(4)
+    line = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    passage, rare = line(700), line(450)
+    rows = [line(rng.randrange(80)) + passage + line(rng.randrange(80)) for _ in range(40)] + [passage] * 30 + [rare + "1", "2" + rare]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want, _ = brute_repeats([(i, t.encode()) for i, t in enumerate(rows)])
+    for common, parts in ((2048, 128), (20, 3), (1, 2)):
+        monkeypatch.setattr(suffix_dedup, "COMMON", common)
+        monkeypatch.setattr(suffix_dedup, "PARTS", parts)
+        assert removed(suffix_dedup.remove_repeats(docs)) == want
+
+
 def test_bpe_matches_the_library(docs, empty):
     import public_tokenizers
     import tiktoken
