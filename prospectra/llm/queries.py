@@ -17,6 +17,7 @@ MODULES = {
     "op8_quality_rules": "quality_rules",
     "op9_difference_cover_dedup": "suffix_dedup",
     "op10_byte_bpe": "bpe",
+    "op11_nearest_example_toxicity": "toxicity",
 }
 
 
