@@ -18,6 +18,7 @@ MODULES = {
     "op9_difference_cover_dedup": "suffix_dedup",
     "op10_byte_bpe": "bpe",
     "op11_nearest_example_toxicity": "toxicity",
+    "op12_chat_structure_repair": "chat_repair",
 }
 
 
