@@ -19,6 +19,7 @@ MODULES = {
     "op10_byte_bpe": "bpe",
     "op11_nearest_example_toxicity": "toxicity",
     "op12_chat_structure_repair": "chat_repair",
+    "op13_hard_negative_mining": "hard_negatives",
 }
 
 
