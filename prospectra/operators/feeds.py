@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectra.functions.domains import is_excluded_domain, is_retryable_failure
 from prospectra.functions.text import contains_any
 
-from .relational import spaced_events
+from .timeline import sliding_totals, spaced
 
 # fixed values: texts of bounce messages
 COMPLAINTS = ["abuse", "spam complaint", "feedback report", "complaint", "marked as spam", "junk mail"]
@@ -43,6 +43,11 @@ SHORT_YES = r"\b(yep|ok|okay)\b"
 MAX_RETRIES, BACKOFF_MINUTES = 4, 30
 #: Stages in which no item at all is normal.
 QUIET_STAGES = ["bounce_check", "clean_duplicate_outreach", "clean_duplicates", "fetch_imap_replies"]
+#: A run falls short if it has less than this part of its stage's mean, where the mean and the number of runs behind it are large enough.
+BASELINE_DAYS, LEAST_RUNS, LEAST_BASELINE, SHORT_OF_BASELINE, COOLDOWN_HOURS = 7, 3, 5, 0.5, 4
+#: Seconds in which a bounce of one address and type isn't recorded again.
+BOUNCE_SPACING = 86400
+SOFT_BOUNCES = 3
 
 
 def is_bounce_notice(subject: Column, sender: Column) -> Column:
@@ -94,23 +99,33 @@ def due_retries(schedule: DataFrame, as_of: Column, limit: int = 20) -> DataFram
     return schedule.where(~F.col("dead_letter") & (F.col("next_retry_at") <= as_of)).orderBy("next_retry_at", "company_id").limit(limit)
 
 
-def stage_anomalies(runs: DataFrame) -> DataFrame:
-    """Baseline of each finished run over the other runs of its stage in the seven days before, and whether it fell short."""
+def stage_baseline(runs: DataFrame) -> DataFrame:
+    """Finished runs with the mean items and seconds of the other finished runs of their stage in the seven days before, and their number."""
     done = runs.where(F.col("status").isin("success", "partial"))
-    w = Window.partitionBy("stage_name").orderBy(F.unix_timestamp("started_at")).rangeBetween(-7 * 86400, -1)
-    rated = done.withColumns({"baseline": F.round(F.avg("items_processed").over(w), 4), "n_before": F.count("*").over(w)})
-    short = (F.col("n_before") >= 3) & (F.col("baseline") > 5) & (F.col("items_processed") < F.col("baseline") * 0.5) & ~F.col("stage_name").isin(QUIET_STAGES)
-    return rated.withColumn("anomaly", F.coalesce(short, F.lit(False)))
+    totals = sliding_totals(done, ["stage_name"], "started_at", ["items_processed", "duration_seconds"], BASELINE_DAYS * 86400)
+    mean = lambda c: F.round(F.when(F.col(f"count_{c}") > 0, F.col(f"sum_{c}").cast("double") / F.col(f"count_{c}")), 4)
+    return totals.select(*runs.columns, mean("items_processed").alias("baseline"), mean("duration_seconds").alias("avg_duration"), "n_before")
+
+
+def fell_short(items: Column, baseline: Column, n_before: Column, stage: Column) -> Column:
+    short = (n_before >= LEAST_RUNS) & (baseline > LEAST_BASELINE) & (items < baseline * SHORT_OF_BASELINE) & ~stage.isin(QUIET_STAGES)
+    return F.coalesce(short, F.lit(False))
+
+
+def stage_anomalies(runs: DataFrame) -> DataFrame:
+    """Baseline of each finished run, and whether the run fell short of it."""
+    rated = stage_baseline(runs)
+    return rated.withColumn("anomaly", fell_short(*(F.col(c) for c in ("items_processed", "baseline", "n_before", "stage_name"))))
 
 
-def alert_cooldown(anomalies: DataFrame, hours: int = 4) -> DataFrame:
+def alert_cooldown(anomalies: DataFrame, hours: int = COOLDOWN_HOURS) -> DataFrame:
     """Anomalies that are told: none within so many hours of one told before in the stage."""
-    return spaced_events(anomalies, ["stage_name"], "started_at", hours * 3600)
+    return spaced(anomalies, ["stage_name"], "started_at", hours * 3600)
 
 
 def bounce_dedup(bounces: DataFrame) -> DataFrame:
     """Bounces that are recorded: none within a day of one recorded before for the address and type."""
-    return spaced_events(bounces, ["email", "bounce_type"], "ts", 86400)
+    return spaced(bounces, ["email", "bounce_type"], "ts", BOUNCE_SPACING)
 
 
 def soft_bounce_promotion(bounces: DataFrame, limit: int = 3) -> DataFrame:

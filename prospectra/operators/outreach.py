@@ -34,13 +34,16 @@ def role_account(email: Column) -> Column:
 
 
 def classify_probe(probes: DataFrame) -> DataFrame:
-    """Per address the first decisive answer among its first three mail hosts, else grey-listing or no connection."""
+    """Per address the first decisive answer among its first three mail hosts, else grey-listing or no connection.
+
+    Several answers of one host are taken in the order of code, message, catch-all and provider, nulls first.
+    """
     text, code = F.lower(F.coalesce("message", F.lit(""))), F.col("code")
     refused = F.when(contains_any(text, POLICY), "ip_policy_blocked").when(contains_any(text, FULL), "mailbox_full").when(contains_any(text, NOT_FOUND), "mailbox_not_found").otherwise("generic_5xx_rejection")
     status = F.when(code.isin(250, 251), F.when(F.col("catch_all"), "catch_all").otherwise("smtp_accepted")).when(code.between(550, 554), refused)
     rated = probes.where("mx_idx < 3").withColumn("decisive", status)
-    last = F.max_by("code", "mx_idx")
-    out = rated.groupBy("email").agg(F.min_by("decisive", F.when(F.col("decisive").isNotNull(), F.col("mx_idx"))).alias("d"), last.alias("last_code"), F.min_by("provider", "mx_idx").alias("provider"))
+    order = F.struct("mx_idx", "code", "message", "catch_all", "provider")
+    out = rated.groupBy("email").agg(F.min_by("decisive", F.when(F.col("decisive").isNotNull(), order)).alias("d"), F.max_by("code", order).alias("last_code"), F.min_by("provider", order).alias("provider"))
     sub = F.coalesce("d", F.when(F.col("last_code").isin(421, 450, 451, 452), "greylisted").otherwise("connection_failed"))
     weight = F.coalesce(*(F.when(F.col("provider") == k, F.lit(v)) for k, v in PROVIDER_WEIGHT.items()), F.lit(70.0))
     return out.select("email", sub.alias("sub_status"), F.when(sub == "smtp_accepted", weight).when(sub == "catch_all", 40.0).otherwise(0.0).alias("score"))

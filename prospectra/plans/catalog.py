@@ -334,9 +334,9 @@ query("due_retries", f"SELECT * FROM ({RETRY}) r WHERE NOT dead_letter AND next_
     lambda spark, d: feeds.due_retries(feeds.retry_schedule(V.frame(spark, d, V.FAILURES)), F.lit("2024-01-15").cast("timestamp"))
 )
 WIN = "(PARTITION BY stage_name ORDER BY CAST(floor(epoch(started_at)) AS BIGINT) RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING)"
-ANOMALY = f"SELECT id, stage_name, started_at, baseline, n_before, coalesce(n_before >= 3 AND baseline > 5 AND items_processed < baseline * 0.5 AND stage_name NOT IN ({quoted(feeds.QUIET_STAGES)}), false) AS anomaly FROM (SELECT *, round(avg(items_processed) OVER {WIN}, 4) AS baseline, count(*) OVER {WIN} AS n_before FROM {V.sql(V.RUNS)} v WHERE status IN ('success', 'partial')) w"
+ANOMALY = f"SELECT id, stage_name, started_at, baseline, avg_duration, n_before, coalesce(n_before >= 3 AND baseline > 5 AND items_processed < baseline * 0.5 AND stage_name NOT IN ({quoted(feeds.QUIET_STAGES)}), false) AS anomaly FROM (SELECT *, round(avg(items_processed) OVER {WIN}, 4) AS baseline, round(avg(duration_seconds) OVER {WIN}, 4) AS avg_duration, count(*) OVER {WIN} AS n_before FROM {V.sql(V.RUNS)} v WHERE status IN ('success', 'partial')) w"
 anomalies = lambda spark, d: feeds.stage_anomalies(V.frame(spark, d, V.RUNS)).select("id", "stage_name", "started_at", "baseline", "n_before", "anomaly")
-query("stage_anomalies", ANOMALY)(anomalies)
+query("stage_anomalies", f"SELECT * EXCLUDE (avg_duration) FROM ({ANOMALY}) a")(anomalies)
 query("alert_cooldown", sql_spaced(f"(SELECT id, stage_name, started_at FROM ({ANOMALY}) a WHERE anomaly)", "stage_name", "started_at", 4 * 3600))(lambda spark, d: feeds.alert_cooldown(anomalies(spark, d).where("anomaly").select("id", "stage_name", "started_at")))
 query("recent_runs", f"SELECT id, stage_name, status FROM {V.sql(V.RUNS)} v ORDER BY id DESC LIMIT 25")(lambda spark, d: V.frame(spark, d, V.RUNS).orderBy(F.desc("id")).limit(25).select("id", "stage_name", "status"))
 query("run_summary", f"SELECT stage_name, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'failed') AS failed FROM {V.sql(V.RUNS)} v GROUP BY stage_name")(

@@ -75,11 +75,13 @@ SELECT 'u' || CAST(l_orderkey % 5000 AS STRING) || '@m.com' AS email, l_linenumb
 FROM {lineitem}
 """
 REFUSED = sql_case([(sql_contains("lower(message)", w), f"'{n}'") for n, w in (("ip_policy_blocked", outreach.POLICY), ("mailbox_full", outreach.FULL), ("mailbox_not_found", outreach.NOT_FOUND))], "'generic_5xx_rejection'")
+#: Order of the answers for one address; a host that answered twice is a tie without the columns after the first.
+ANSWERS = "mx_idx, code, message, catch_all, provider"
 SUB = "coalesce(d, CASE WHEN last_code IN (421, 450, 451, 452) THEN 'greylisted' ELSE 'connection_failed' END)"
 query(
     "classify_probe",
     f"SELECT email, {SUB} AS sub_status, CAST(CASE WHEN {SUB} = 'smtp_accepted' THEN CASE provider WHEN 'zoho' THEN 80.0 WHEN 'google_workspace' THEN 65.0 ELSE 85.0 END WHEN {SUB} = 'catch_all' THEN 40.0 ELSE 0.0 END AS DOUBLE) AS score FROM "
-    f"(SELECT email, arg_min(decisive, mx_idx) FILTER (decisive IS NOT NULL) AS d, arg_max(code, mx_idx) AS last_code, arg_min(provider, mx_idx) AS provider FROM (SELECT *, CASE WHEN code IN (250, 251) THEN CASE WHEN catch_all THEN 'catch_all' ELSE 'smtp_accepted' END WHEN code BETWEEN 550 AND 554 THEN {REFUSED} END AS decisive FROM (SELECT DISTINCT * FROM {V.sql(PROBES)} u) v WHERE mx_idx < 3) w GROUP BY email) x",
+    f"(SELECT email, first(decisive ORDER BY {ANSWERS}) FILTER (decisive IS NOT NULL) AS d, last(code ORDER BY {ANSWERS}) AS last_code, first(provider ORDER BY {ANSWERS}) AS provider FROM (SELECT *, CASE WHEN code IN (250, 251) THEN CASE WHEN catch_all THEN 'catch_all' ELSE 'smtp_accepted' END WHEN code BETWEEN 550 AND 554 THEN {REFUSED} END AS decisive FROM (SELECT DISTINCT * FROM {V.sql(PROBES)} u) v WHERE mx_idx < 3) w GROUP BY email) x",
 )(lambda spark, d: outreach.classify_probe(V.frame(spark, d, PROBES).distinct()))
 VERDICT = "SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'info' WHEN 1 THEN 'jane' WHEN 2 THEN 'bad..one' WHEN 3 THEN 'sales.team' ELSE 'x' || CAST(s_suppkey AS STRING) END || '@biz.com' AS email, s_suppkey % 7 = 0 AS disposable, s_suppkey % 5 <> 0 AS has_mx, CASE s_suppkey % 4 WHEN 0 THEN 'smtp_accepted' WHEN 1 THEN 'mailbox_full' END AS probe_status, CASE s_suppkey % 4 WHEN 0 THEN 45.0D WHEN 1 THEN 0.0D END AS probe_score FROM {supplier}"
 VERDICT_SQL = VERDICT.replace("45.0D", "45.0").replace("0.0D", "0.0")

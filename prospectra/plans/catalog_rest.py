@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import domains as D
 from prospectra.functions import text as T
-from prospectra.operators import leads, relational, scoring, worklists
+from prospectra.operators import feeds, leads, relational, scoring, worklists
 from prospectra.plans import catalog as C
 from prospectra.plans import views as V
 from prospectra.plans.catalog import projection, query, sql_contains
@@ -40,7 +40,7 @@ SENT = "SELECT event_id AS id, user_id % 120 AS contact_id, CASE WHEN event_id %
 query("validate_or_drop_messages", f"SELECT m.id, c.id AS contact_id, coalesce(m.email, c.email) AS email FROM {V.sql(SENT)} m LEFT JOIN {V.sql(V.CONTACTS)} c ON c.id = m.contact_id")(
     lambda spark, d: worklists.validate_messages(V.frame(spark, d, SENT), V.frame(spark, d, V.CONTACTS)).select("id", "contact_id", "email")
 )
-query("stage_baseline", f"SELECT id, baseline, n_before FROM ({C.ANOMALY}) a")(lambda spark, d: C.anomalies(spark, d).select("id", "baseline", "n_before"))
+query("stage_baseline", f"SELECT id, baseline, avg_duration, n_before FROM ({C.ANOMALY}) a")(lambda spark, d: feeds.stage_baseline(V.frame(spark, d, V.RUNS)).select("id", "baseline", "avg_duration", "n_before"))
 CERTS = "SELECT c_custkey AS id, CAST(CASE WHEN c_custkey % 2 = 0 THEN '2026-02-' ELSE '2026-03-' END || lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0') || ' 00:00:00' AS TIMESTAMP) AS expires FROM {customer}"
 query("certificate_metrics", f"SELECT id, date_diff('day', CAST({C.AS_OF} AS DATE), CAST(expires AS DATE)) AS days, date_diff('day', CAST({C.AS_OF} AS DATE), CAST(expires AS DATE)) < 30 AS expiring FROM {V.sql(CERTS)} v")(
     lambda spark, d: worklists.certificate_metrics(V.frame(spark, d, CERTS), C.as_of()).select("id", "days", "expiring")

@@ -32,6 +32,8 @@ SELECT page_id, site, 'site' || CAST(site AS STRING) || '.com' AS domain, CASE p
 FROM (SELECT *, CAST(floor(page_id / 3) AS BIGINT) AS site FROM {pages}) p
 """
 S = V.sql(SITE) + " v"
+#: A number of ten digits in the text that is left of a page.
+PHONE = f"regexp_matches({C.TEXT}, '[(]?[0-9]{{3}}[)]?[-.\\s]?[0-9]{{3}}[-.\\s]?[0-9]{{4}}')"
 
 
 def site(spark, d):
@@ -70,7 +72,7 @@ query(
 )(lambda spark, d: site_audit.speed_metrics(site(spark, d)).drop("blocking_scripts"))
 query(
     "conversion_metrics",
-    f"SELECT domain, bool_or(page_id % 4 = 2) AS visible_phone, bool_or(page_id % 4 = 3) AS tel_link, bool_or(page_id % 4 = 2) AND NOT bool_or(page_id % 4 = 3) AS missing_tel_link, CAST(max(CASE WHEN page_id % 4 = 0 THEN 7 ELSE 0 END) AS INT) AS max_form_inputs, "
+    f"SELECT domain, bool_or({PHONE}) AS visible_phone, bool_or(page_id % 4 = 3) AS tel_link, bool_or({PHONE}) AND NOT bool_or(page_id % 4 = 3) AS missing_tel_link, CAST(max(CASE WHEN page_id % 4 = 0 THEN 7 ELSE 0 END) AS INT) AS max_form_inputs, "
     f"bool_or(page_id % 4 = 0) AS high_form_friction, bool_or(page_id % 4 = 0) AS autocomplete, CASE WHEN bool_or(page_id % 4 = 3) THEN 'calendly.com' ELSE '' END AS booking_widgets, bool_or(page_id % 4 = 3) AS sticky_cta FROM {S} GROUP BY domain",
 )(lambda spark, d: site_audit.conversion_metrics(site(spark, d)).withColumn("booking_widgets", F.array_join("booking_widgets", ",")))
 query(
@@ -89,7 +91,7 @@ query("image_metrics", f"SELECT domain, {N_IMG} AS n_images, {NOT_LAZY} AS not_l
 UP = "site % 7 <> 0 AND site % 11 <> 0"
 query(
     "assemble_audit",
-    f"SELECT domain, bool_and({UP}) AS reachable, CASE WHEN bool_and({UP}) THEN max(CASE WHEN path = '/' THEN duration_ms END) END AS homepage_ms, CASE WHEN bool_and({UP}) THEN {LAG} END AS speed_discrepancy, CASE WHEN bool_and({UP}) THEN bool_or(page_id % 4 = 2) AND NOT bool_or(page_id % 4 = 3) END AS missing_tel_link, "
+    f"SELECT domain, bool_and({UP}) AS reachable, CASE WHEN bool_and({UP}) THEN max(CASE WHEN path = '/' THEN duration_ms END) END AS homepage_ms, CASE WHEN bool_and({UP}) THEN {LAG} END AS speed_discrepancy, CASE WHEN bool_and({UP}) THEN bool_or({PHONE}) AND NOT bool_or(page_id % 4 = 3) END AS missing_tel_link, "
     f"CASE WHEN bool_and({UP}) THEN bool_or(page_id % 6 = 0 AND path = '/') END AS has_json_ld, CASE WHEN bool_and({UP}) THEN bool_or(page_id % 3 = 0 AND hsts_sent) END AS hsts, CASE WHEN bool_and({UP}) THEN {NOT_LAZY} > 2 OR {NO_ALT} > 3 END AS image_issues FROM {S} GROUP BY domain HAVING bool_or(path = '/')",
 )(lambda spark, d: site_audit.assemble_audit(site(spark, d)).select("domain", "reachable", "homepage_ms", "speed_discrepancy", "missing_tel_link", "has_json_ld", "hsts", "image_issues"))
 BAD = "(site % 7 = 0 OR site % 11 = 0)"
@@ -123,7 +125,7 @@ def outcome(spark, d):
     from prospectra.operators import scoring
 
     rows = scoring.disqualify_company(V.frame(spark, d, V.COMPANIES)).withColumnRenamed("id", "company_id")
-    audits = rows.where("company_id % 3 < 3").select("company_id", (F.col("company_id") % 5 != 0).alias("reachable"))
+    audits = rows.select("company_id", (F.col("company_id") % 5 != 0).alias("reachable"))
     return site_audit.audit_outcome(rows, audits, C.pains(spark, d), F.col("disqualified_reason").isNotNull()).drop("opportunity_score")
 
 

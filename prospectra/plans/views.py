@@ -77,7 +77,7 @@ FROM {events}
 """
 RUNS = """
 SELECT event_id AS id, CASE user_id % 6 WHEN 0 THEN 'scoring' WHEN 1 THEN 'audit' WHEN 2 THEN 'enrichment' WHEN 3 THEN 'bounce_check' WHEN 4 THEN 'outreach' ELSE 'discovery' END AS stage_name,
-  CASE event_id % 8 WHEN 0 THEN 'failed' WHEN 1 THEN 'partial' ELSE 'success' END AS status, ts AS started_at, event_id % 40 AS items_processed
+  CASE event_id % 8 WHEN 0 THEN 'failed' WHEN 1 THEN 'partial' ELSE 'success' END AS status, ts AS started_at, event_id % 40 AS items_processed, (event_id * 7) % 900 AS duration_seconds
 FROM {events}
 """
 CONTACTS = """
