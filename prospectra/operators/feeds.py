@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospectra.functions.domains import is_excluded_domain, is_retryable_failure
@@ -128,7 +128,20 @@ def bounce_dedup(bounces: DataFrame) -> DataFrame:
     return spaced(bounces, ["email", "bounce_type"], "ts", BOUNCE_SPACING)
 
 
-def soft_bounce_promotion(bounces: DataFrame, limit: int = 3) -> DataFrame:
+def bounce_actions(bounces: DataFrame) -> DataFrame:
+    """Recorded bounces with the running soft count of their address; ``suppress`` marks the one that suppresses it.
+
+    A hard bounce or a complaint suppresses at once, soft ones from the third on. The rows of an address are bounded by
+    the days of the feed, as a type is recorded once a day.
+    """
+    so_far = Window.partitionBy("email").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    soft = F.col("bounce_type") == "soft_bounce"
+    counted = bounce_dedup(bounces).withColumn("n_soft", F.count(F.when(soft, 1)).over(so_far))
+    due = ~soft | (F.col("n_soft") >= SOFT_BOUNCES)
+    return counted.withColumn("suppress", due & (F.count(F.when(due, 1)).over(so_far) == 1))
+
+
+def soft_bounce_promotion(bounces: DataFrame, limit: int = SOFT_BOUNCES) -> DataFrame:
     return bounces.where(F.col("bounce_type") == "soft_bounce").groupBy("email").agg(F.count("*").alias("n_soft")).where(F.col("n_soft") >= limit)
 
 
