@@ -14,6 +14,8 @@ from .lineage import cut, forget
 
 #: A component of the graph of shared keys with more rows is settled in rounds; the result is the same.
 LARGE_COMPONENT = 200_000
+#: Rounds before the graph is built.
+ROUNDS = 3
 
 
 def latest_by(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -59,11 +61,13 @@ def semi_any(df: DataFrame, key: str, others: list[tuple[DataFrame, str, str]])
     return df.join(reduce(DataFrame.unionByName, found).distinct(), key, "left_semi")
 
 
-def _in_rounds(df: DataFrame, first: str, second: str, place: Column) -> DataFrame:
-    """The rule of ``greedy_two_keys`` on a graph too large for one task: a round accepts rows that come first on both keys
-    among those left, and drops what conflicts with them. The first row of all is settled in each round."""
+def _in_rounds(df: DataFrame, first: str, second: str, place: Column, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows accepted in so many rounds of all tasks, or until none is left, and the rows left over.
+
+    A round accepts rows that come first on both keys among those left, and drops what conflicts with them.
+    """
     comes_first = lambda k: F.min(place).over(Window.partitionBy(k)).eqNullSafe(place)
-    accepted, left = None, df
+    accepted, left, done = None, df, 0
     while True:
         now = cut(left.withColumn("__a", comes_first(first)).withColumn("__b", comes_first(second)).where("__a and __b").drop("__a", "__b"), "accepted")
         both = now if accepted is None else cut(accepted.unionByName(now), "accepted")
@@ -72,36 +76,33 @@ def _in_rounds(df: DataFrame, first: str, second: str, place: Column) -> DataFra
             rest = rest.join(now.select(F.col(k).alias("__k")).distinct(), F.col(k).eqNullSafe(F.col("__k")), "left_anti")
         rest = cut(rest, "unsettled")
         forget(*(x for x in (accepted, left) if x is not None and x is not df), *([now] if both is not now else []))
-        accepted, left = both, rest
-        if left.isEmpty():
-            forget(left)
-            return accepted
+        accepted, left, done = both, rest, done + 1
+        if done == rounds or left.isEmpty():
+            return accepted, left
 
 
-def greedy_two_keys(df: DataFrame, first: str, second: str, order: str, large: int = LARGE_COMPONENT) -> DataFrame:
+def greedy_two_keys(df: DataFrame, first: str, second: str, order: str, large: int = LARGE_COMPONENT, rounds: int = ROUNDS) -> DataFrame:
     """Rows accepted in order if neither key belongs to a row accepted earlier; a rejected row blocks nothing.
 
-    Of rows with the same two keys only the first can be accepted. One whose keys no other row has is accepted. The others
-    are settled component by component of the graph that shared keys make: each is one pass over its rows in one task,
-    which holds the keys taken in it; a component of more than ``large`` rows is settled in rounds over all tasks. A null
-    key is a key like others, a null order comes last, and rows of one order go by their columns.
+    Of rows with the same two keys only the first can be accepted. A few rounds over all tasks settle rows whose conflicts
+    aren't deep. What is left is settled component by component of the graph that shared keys make: each is one pass over
+    its rows in one task, which holds the keys taken in it; a component of more than ``large`` rows goes on in rounds. A
+    null key is a key like others, a null order comes last, and rows of one order go by their columns.
     """
     columns = df.columns
     row = F.struct(*(F.col(f"`{c}`") for c in columns))
     by = [F.col(order).isNull(), F.col(order), *(part for c in columns for part in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`")))]
-    rows = cut(df.groupBy(first, second).agg(F.min_by(row, F.struct(*by)).alias("row")).select("row.*"), "candidates")
-    marked = rows
-    for k in (first, second):
-        shared = rows.groupBy(k).count().where("count > 1").select(F.col(k).alias(f"__{k}"), F.lit(True).alias(f"__shared_{k}"))
-        marked = marked.join(shared, F.col(k).eqNullSafe(F.col(f"__{k}")), "left").drop(f"__{k}")
-    is_shared = F.coalesce(f"__shared_{first}", f"__shared_{second}").isNotNull()
-    marked = cut(marked.withColumn("__shared", is_shared).select(*columns, "__shared"), "candidates")
-    alone, left = marked.where("not __shared").drop("__shared"), marked.where("__shared").drop("__shared")
+    place = F.struct(*by)
+    rows = cut(df.groupBy(first, second).agg(F.min_by(row, place).alias("row")).select("row.*"), "candidates")
+    out, left = _in_rounds(rows, first, second, place, rounds)
+    forget(rows)
+    if left.isEmpty():
+        return out
     # hashes only say which rows belong together; keys themselves are compared
     ends = left.withColumns({"__u": F.xxhash64(F.lit(1), F.col(first).isNull(), first), "__v": F.xxhash64(F.lit(2), F.col(second).isNull(), second)})
     groups = components(ends.select(F.col("__u").alias("u"), F.col("__v").alias("v")))
     member = cut(ends.join(groups.select(F.col("node").alias("__node"), F.col("component").alias("__component")), F.col("__u") == F.col("__node")).drop("__u", "__v", "__node"), "components")
-    forget(rows, groups)
+    forget(left, groups)
     giant = cut(member.groupBy("__component").count().where(F.col("count") > large).select("__component"), "giants")
 
     def settle(batches):
@@ -121,11 +122,10 @@ def greedy_two_keys(df: DataFrame, first: str, second: str, order: str, large: i
     small = member.join(giant, "__component", "left_anti")
     nulls_last = [F.col(f"`{c}`").asc_nulls_last() for c in dict.fromkeys([order, *columns])]
     settled = small.repartition("__component").sortWithinPartitions("__component", *nulls_last).mapInArrow(settle, small.schema).select(*columns)
-    out = alone.unionByName(settled)
+    out = out.unionByName(settled)
     if giant.isEmpty():
         return out
-    place = F.struct(*by)
-    return out.unionByName(_in_rounds(member.join(giant, "__component", "left_semi").select(*columns), first, second, place))
+    return out.unionByName(_in_rounds(member.join(giant, "__component", "left_semi").select(*columns), first, second, place)[0])
 
 
 def _fold(df: DataFrame, keys: list[str], order: list[str], values: list[str], fresh: Callable[[tuple, tuple], bool]) -> DataFrame:
