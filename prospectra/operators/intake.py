@@ -10,6 +10,7 @@ from prospectra.functions.extract import extract_client_spend, infer_employer_do
 from prospectra.functions.text import extract_budget, normalize_company_name, normalize_domain, slugify
 
 from .relational import first_by, greedy_two_keys, latest_by, merge_snapshot
+from .textjoin import contained
 
 # fixed values: default industry of each directory, and names that hide a registrant
 DIRECTORY_INDUSTRY = {"clutch": "Software & Web Development", "goodfirms": "Software & Web Development", "yelp": "Commercial Business & Services"}
@@ -157,17 +158,16 @@ def upgrade_no_website(companies: DataFrame, opportunities: DataFrame, scores: D
 def firmographic_match(companies: DataFrame, index: DataFrame) -> DataFrame:
     """First row of an index (``position``, ``name``) whose name holds the company's or is held by it.
 
-    Of two names, the longer one holds the first four letters of the other, or all of a shorter one: an equi-join on
-    pieces, then the exact test.
+    Names are compared in lower case without space at the ends; both ways go by the rarest gram of the name that is held.
     """
     clean = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    ours = companies.select("id", clean(F.col("name")).alias("name")).where("name <> ''")
-    theirs = index.select("position", clean(F.col("name")).alias("entry")).where("entry <> ''")
-    head = lambda c: F.substring(c, 1, 4)
-    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(c, i, n)))))
-    inside = ours.withColumn("piece", F.explode(pieces(F.col("name")))).join(theirs.withColumn("piece", head(F.col("entry"))), "piece").where(F.contains("name", F.col("entry")))
-    around = ours.withColumn("piece", head(F.col("name"))).join(theirs.withColumn("piece", F.explode(pieces(F.col("entry")))), "piece").where(F.contains("entry", F.col("name")))
-    return inside.select("id", "position", "entry").unionByName(around.select("id", "position", "entry")).groupBy("id").agg(F.min_by("entry", F.struct("position", "entry")).alias("entry"))
+    ours = companies.select("id", clean(F.col("name")).alias("ours")).where("ours <> ''")
+    theirs = index.groupBy(clean(F.col("name")).alias("theirs")).agg(F.min("position").alias("position")).where("theirs <> ''")
+    mine, entries = ours.select("ours").distinct(), theirs.select("theirs")
+    inside = contained(entries.select(F.col("theirs").alias("needle")), mine.select(F.col("ours").alias("hay"))).select(F.col("hay").alias("ours"), F.col("needle").alias("theirs"))
+    around = contained(mine.select(F.col("ours").alias("needle")), entries.select(F.col("theirs").alias("hay"))).select(F.col("needle").alias("ours"), F.col("hay").alias("theirs"))
+    first = inside.unionByName(around).join(theirs, "theirs").groupBy("ours").agg(F.min_by("theirs", F.struct("position", "theirs")).alias("entry"))
+    return ours.join(first, "ours").select("id", "entry")
 
 
 def verified_candidates(candidates: DataFrame, probes: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectra.functions.domains import is_agency
+from prospectra.functions.text import slugify
 
 from .relational import anti_any
 from .scoring import disqualify_company
+from .textjoin import first_with_prefix
 
 #: Offer for a company without a website that has none yet.
 DEFAULT_DEAL = (2500, 5000)
@@ -54,18 +56,18 @@ def lookup_by_key(rows: DataFrame, keys: DataFrame, key: str, order: str = "id")
 
 
 def find_company_by_name(companies: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Company of each ``wanted`` name (with ``wanted_id``): the lowest id of the same name, else of a name that begins with it.
+    """Company of each ``wanted`` name (``wanted_id``, ``wanted``, ``city``): the lowest id of the same name, else of a domain that begins with the name's and the city's slug.
 
-    Names of four letters and more are met by their first four, an equi-join, before the test of the beginning.
+    Names are compared in lower case without space at the ends; without a name nothing is found, and without a city only
+    the same name.
     """
     clean = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    names = companies.groupBy(clean(F.col("name")).alias("name")).agg(F.min("id").alias("id"))
-    asked = wanted.select("wanted_id", clean(F.col("wanted")).alias("key"))
-    exact = asked.join(names.withColumnRenamed("name", "key"), "key", "left")
-    head = lambda c: F.substring(c, 1, 4)
-    rest = exact.where(F.col("id").isNull() & (F.char_length("key") >= 4)).select("wanted_id", "key").withColumn("head", head(F.col("key")))
-    begun = rest.join(names.withColumn("head", head(F.col("name"))), "head").where(F.col("name").startswith(F.col("key"))).groupBy("wanted_id").agg(F.min("id").alias("begun"))
-    return exact.select("wanted_id", "id").join(begun, "wanted_id", "left").select("wanted_id", F.coalesce("id", "begun").alias("id"))
+    names = companies.groupBy(clean(F.col("name")).alias("clean")).agg(F.min("id").alias("id")).where("clean <> ''")
+    name, city = slugify(F.col("wanted")), slugify(F.col("city"))
+    asked = wanted.select("wanted_id", clean(F.col("wanted")).alias("clean"), F.when((name != "") & (city != ""), F.concat_ws("-", name, city)).alias("key"))
+    exact = asked.join(names, "clean", "left")
+    begun = first_with_prefix(exact.where("id is null").select("key"), companies.select(F.lower("domain").alias("name"), "id"))
+    return exact.join(begun.withColumnRenamed("id", "begun"), "key", "left").select("wanted_id", F.coalesce("id", "begun").alias("id"))
 
 
 def canonical_domain(rows: DataFrame, redirects: DataFrame) -> DataFrame:

@@ -27,11 +27,23 @@ query("outreach_ready_count", f"SELECT count(DISTINCT company_id) AS ready, coun
 query("ingest_job_postings", f"SELECT id, 'active_hiring_intent' AS type FROM {V.sql(V.COMPANIES)} c WHERE domain IN (SELECT 'biz' || CAST(p_partkey AS STRING) || '.com' FROM part) AND NOT {sql_contains(C.ALL_TEXT, D.AGENCY_WORDS)}")(
     lambda spark, d: worklists.ingest_job_postings(V.frame(spark, d, V.COMPANIES), spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("biz"), F.col("p_partkey").cast("string"), F.lit(".com")).alias("domain")))
 )
-WANTED = "SELECT s_suppkey AS wanted_id, CASE s_suppkey % 4 WHEN 0 THEN 'corner cafe inc. ' || CAST(s_suppkey % 97 AS STRING) WHEN 1 THEN 'PLAIN WORKS ' || CAST(s_suppkey % 97 AS STRING) WHEN 2 THEN ' Harbor Fash' ELSE 'nobody' END AS wanted FROM {supplier}"
-NAMED_IDS = f"(SELECT lower(trim(name)) AS name, min(id) AS id FROM {V.sql(V.COMPANIES)} c GROUP BY 1)"
-query("find_company_by_name", f"SELECT wanted_id, coalesce((SELECT min(id) FROM {NAMED_IDS} n WHERE n.name = lower(trim(wanted))), (SELECT min(id) FROM {NAMED_IDS} n WHERE starts_with(n.name, lower(trim(wanted))))) AS id FROM {V.sql(WANTED)} w")(
-    lambda spark, d: worklists.find_company_by_name(V.frame(spark, d, V.COMPANIES), V.frame(spark, d, WANTED))
-)
+#: Local businesses with stand-in domains; some stems begin with others'.
+PLACED = """
+SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'Harbor Cafe ' WHEN 1 THEN 'Lake & Sons ' ELSE 'Plain Works ' END || CAST(c_custkey % 60 AS STRING) AS name,
+  CASE c_custkey % 3 WHEN 0 THEN 'harbor-cafe-' WHEN 1 THEN 'lake-sons-' ELSE 'Plain-Works-' END || CAST(c_custkey % 45 AS STRING) || CASE c_custkey % 4 WHEN 0 THEN '-miami' WHEN 1 THEN '-san-jose' WHEN 2 THEN '-san-jose-west' ELSE '' END || '.local' AS domain
+FROM {customer}
+"""
+WANTED = """
+SELECT s_suppkey AS wanted_id, CASE s_suppkey % 5 WHEN 0 THEN ' harbor cafe ' || CAST(s_suppkey % 70 AS STRING) WHEN 1 THEN 'LAKE -- SONS ' || CAST(s_suppkey % 50 AS STRING) WHEN 2 THEN 'plain   works ' || CAST(s_suppkey % 90 AS STRING) WHEN 3 THEN '' ELSE 'nobody' END AS wanted,
+  CASE s_suppkey % 4 WHEN 0 THEN 'Miami' WHEN 1 THEN 'San Jose' WHEN 2 THEN 'San' ELSE NULL END AS city
+FROM {supplier}
+"""
+SLUG = "trim(regexp_replace(lower(trim(coalesce({}, ''))), '[^a-z0-9]+', '-', 'g'), '-')"
+query(
+    "find_company_by_name",
+    f"SELECT wanted_id, coalesce(same.id, begun.id) AS id FROM (SELECT *, {SLUG.format('wanted')} || '-' || {SLUG.format('city')} AS key FROM {V.sql(WANTED)} v) w LEFT JOIN (SELECT lower(trim(name)) AS name, min(id) AS id FROM {V.sql(PLACED)} c GROUP BY 1) same ON same.name = lower(trim(wanted)) AND wanted <> '' "
+    f"LEFT JOIN (SELECT key, min(c.id) AS id FROM (SELECT DISTINCT {SLUG.format('wanted')} || '-' || {SLUG.format('city')} AS key FROM {V.sql(WANTED)} v WHERE {SLUG.format('wanted')} <> '' AND {SLUG.format('city')} <> '') k JOIN {V.sql(PLACED)} c ON lower(c.domain) LIKE k.key || '%' GROUP BY key) begun ON begun.key = w.key",
+)(lambda spark, d: worklists.find_company_by_name(V.frame(spark, d, PLACED), V.frame(spark, d, WANTED)))
 REDIRECT = "SELECT 'biz' || CAST(s_suppkey AS STRING) || '.com' AS domain, 'new' || CAST(s_suppkey % 9 AS STRING) || '.com' AS target FROM {supplier}"
 query("canonical_domain", f"SELECT c.id, coalesce(r.target, c.domain) AS domain FROM {V.sql(V.COMPANIES)} c LEFT JOIN {V.sql(REDIRECT)} r ON r.domain = c.domain")(
     lambda spark, d: worklists.canonical_domain(V.frame(spark, d, V.COMPANIES), V.frame(spark, d, REDIRECT)).select("id", "domain")
