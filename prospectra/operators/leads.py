@@ -115,7 +115,7 @@ def copy_segment(rows: DataFrame) -> DataFrame:
         "segment",
         F.when(F.contains(cms, F.lit("wordpress")) | F.contains(cms, F.lit("php")), "laravel_modernization")
         .when(F.col("library").isNotNull(), "frontend_modernization")
-        .when(F.col("homepage_ms") > 2500, "speed_optimization")
+        .when(F.col("lcp_ms") > 2500, "speed_optimization")
         .when(cms != "", "laravel_modernization"),
     )
 
@@ -127,19 +127,11 @@ def audit_worklist(companies: DataFrame, audits: DataFrame, excluded: Column, as
     return companies.where(F.col("website_url").isNotNull() & ~excluded).join(audited, "id", "left").where(due).drop("audited")
 
 
-def outreach_eligible(companies: DataFrame, scores: DataFrame, contacts: DataFrame, contacted: DataFrame, minimum: float = 50.0) -> DataFrame:
-    """Companies whose latest score and a usable contact allow a first message."""
-    latest = latest_by(scores.select("company_id", "id", "opportunity_score", "priority_tier"), "company_id", "id").where((F.col("opportunity_score") >= minimum) & (F.col("priority_tier") != "ignore"))
-    usable = first_by(contacts.where(F.col("email_status").isin("valid", "catch_all", "unverified")).select("company_id", "id", "email"), "company_id", "id")
-    found = companies.select(F.col("id").alias("company_id")).join(latest.select("company_id", "opportunity_score"), "company_id").join(usable.select("company_id", "email"), "company_id")
-    return found.join(contacted.select("company_id").distinct(), "company_id", "left_anti")
-
-
 def attach_bounce_context(bounces: DataFrame, contacts: DataFrame, messages: DataFrame) -> DataFrame:
-    """Contact and company by address; message by thread, else the latest one to the address."""
+    """Contact and company by address; message by thread, the first one of a repeated id, else the latest one to the address."""
     by_mail = first_by(contacts.select(F.lower("email").alias("email"), F.col("id").alias("contact_id"), "company_id"), "email", "contact_id")
     latest = latest_by(messages.select(F.lower("email").alias("email"), F.col("id").alias("latest_id")), "email", "latest_id")
-    thread = messages.select(F.col("message_id").alias("in_reply_to"), F.col("id").alias("thread_id"))
+    thread = messages.groupBy(F.col("message_id").alias("in_reply_to")).agg(F.min("id").alias("thread_id"))
     rows = bounces.withColumn("email", F.lower("email")).join(by_mail, "email", "left").join(latest, "email", "left").join(thread, "in_reply_to", "left")
     return rows.withColumn("message", F.coalesce("thread_id", "latest_id")).drop("thread_id", "latest_id")
 

@@ -104,16 +104,3 @@ def enrichment_waterfall(contacts: DataFrame) -> DataFrame:
     best = contacts.groupBy("company_id").agg(F.min("tier").alias("tier"))
     once = Window.partitionBy("company_id", F.lower("email")).orderBy("id")
     return contacts.join(best, ["company_id", "tier"]).withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
-
-
-def stage_messages(candidates: DataFrame, suppressed: DataFrame, contacted: DataFrame) -> DataFrame:
-    """Add ``reject_reason``, null for messages that may be queued: suppression is tested first."""
-    rows = candidates.join(suppressed.select(F.lower("email").alias("key")).distinct().withColumn("suppressed", F.lit(True)), F.lower(candidates["email"]) == F.col("key"), "left").drop("key")
-    rows = rows.join(contacted.select("company_id").distinct().withColumn("contacted", F.lit(True)), "company_id", "left")
-    reason = (
-        F.when(F.col("suppressed"), "suppressed")
-        .when(validate_email_syntax(F.col("email")).isNotNull(), "malformed_syntax")
-        .when(~F.col("email_status").isin("valid", "catch_all", "unverified"), "status")
-        .when(F.col("contacted"), "already_contacted")
-    )
-    return rows.withColumn("reject_reason", reason).drop("suppressed", "contacted")

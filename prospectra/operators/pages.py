@@ -107,20 +107,63 @@ def hiring_signals(html: Column) -> dict[str, Column]:
     return {"boards": F.array_join(F.array_compact(F.array(*(F.when(F.contains(low, F.lit(b)), F.lit(b)) for b in BOARDS))), ","), "career_links": F.regexp_count(low, F.lit(rf'<a\s[^>]*href="[^"]*{CAREERS}')).cast("long")}
 
 
+#: Days before its end at which a certificate counts as ending soon.
+CERTIFICATE_DAYS = 30
+
+
+def _true(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(False))
+
+
+def _ends_soon() -> Column:
+    return F.coalesce(F.col("cert_days") < CERTIFICATE_DAYS, F.lit(False))
+
+
 def health_score(m: DataFrame) -> DataFrame:
-    """Mean of speed, security and search sub-scores with deductions, and its label at 85 and 50."""
-    part = lambda *marks: F.greatest(F.lit(0), 100 - sum((F.when(cond, points).otherwise(0) for cond, points in marks), F.lit(0)))
-    speed = part((F.col("homepage_ms") > 3000, 40), (F.col("ttfb_ms") > 1200, 30))
-    security = part((~F.col("https"), 50), (~F.col("hsts"), 20), (F.coalesce(F.col("cert_days"), F.lit(99)) < 30, 20))
-    search = part((~F.col("has_schema"), 30), (F.col("broken_links") > 0, 20))
-    score = F.round((speed + security + search) / 3, 2)
+    """Mean of speed, security and search, a whole number, and its label at 85 and 50.
+
+    Speed is the lighthouse score, else what the load time leaves of 100 (3 s if it is unknown). Security and search lose
+    points from 100; each part is ten at least. What is unknown counts as absent.
+    """
+    lose = lambda *marks: F.greatest(F.lit(10), 100 - sum((F.when(cond, points).otherwise(0) for cond, points in marks), F.lit(0)))
+    loaded = F.least(F.lit(100), F.greatest(F.lit(10), F.floor(100 - F.coalesce("homepage_ms", F.lit(3000)) / 45)))
+    speed = F.coalesce(F.col("lighthouse_score"), loaded)
+    security = lose((~_true("https"), 40), (_ends_soon(), 30), (_true("exposed_users"), 20))
+    search = lose((~_true("has_schema"), 25), (_true("broken_social"), 20), (_true("deliverability_risk"), 20), (F.coalesce("broken_links", F.lit(0)) > 0, 20))
+    score = F.floor((speed + security + search) / 3).cast("int")
     return m.withColumn("health", score).withColumn("label", F.when(score >= 85, "good").when(score >= 50, "fair").otherwise("poor"))
 
 
 def audit_findings(m: DataFrame) -> DataFrame:
-    """Long table of checks, each passed or not."""
+    """Long table of checks, each passed or not: twelve of every company, two more where there is a lighthouse score."""
+    measured = F.col("lighthouse_score").isNotNull()
     checks = {
-        "https": F.col("https"), "hsts": F.col("hsts"), "load_time": F.col("homepage_ms") <= 3000, "ttfb": F.col("ttfb_ms") <= 1200, "form_length": F.col("max_form_inputs") < 7,
-        "schema": F.col("has_schema"), "links": F.col("broken_links") == 0, "certificate": F.coalesce(F.col("cert_days"), F.lit(99)) >= 30,
-    }
-    return m.select("company_id", F.explode(F.array(*(F.struct(F.lit(k).alias("check"), v.alias("passed")) for k, v in checks.items()))).alias("c")).select("company_id", "c.check", "c.passed")
+        "homepage_load": F.coalesce("homepage_ms", F.lit(9999)) < 2500,
+        "inner_page_latency": ~_true("speed_discrepancy"),
+        "ttfb": F.coalesce("ttfb_ms", F.lit(9999)) < 800,
+        "pagespeed_performance": F.when(measured, F.col("lighthouse_score") >= 70),
+        "largest_contentful_paint": F.when(measured, F.coalesce(F.nullif("lcp_ms", F.lit(0)), F.lit(9999)) < 2500),
+        "one_tap_calling": ~_true("missing_tel_link"),
+        "form_friction": F.coalesce("max_form_inputs", F.lit(0)) < 7,
+        "sticky_action_bar": _true("sticky_cta"),
+        "local_business_schema": _true("has_schema"),
+        "social_cards": ~_true("broken_social"),
+        "mail_authentication": ~_true("deliverability_risk"),
+        "internal_links": F.coalesce("broken_links", F.lit(0)) == 0,
+        "image_formats": F.coalesce("legacy_images", F.lit(0)) <= 2,
+        "certificate": ~_ends_soon() & _true("cert_valid"),
+    }
+    rows = m.select("company_id", F.explode(F.array(*(F.struct(F.lit(k).alias("check"), v.alias("passed")) for k, v in checks.items()))).alias("c"))
+    return rows.select("company_id", "c.check", "c.passed").where("passed is not null")
+
+
+def pillar_summary(m: DataFrame) -> DataFrame:
+    """Number of issues of each company by pillar; speed is one issue or none."""
+    fast = (F.col("lighthouse_score") >= 75) | ((F.coalesce("homepage_ms", F.lit(9999)) < 2200) & ~_true("speed_discrepancy"))
+    issues = {
+        "speed": [~F.coalesce(fast, F.lit(False))],
+        "conversion": [_true("missing_tel_link"), F.coalesce("max_form_inputs", F.lit(0)) >= 7, ~_true("sticky_cta")],
+        "search": [~_true("has_schema"), _true("broken_social"), _true("deliverability_risk")],
+        "security": [~_true("https"), _ends_soon(), _true("exposed_users")],
+    }
+    return m.select("company_id", *(sum((c.cast("int") for c in conds), F.lit(0)).alias(k) for k, conds in issues.items()))

@@ -95,12 +95,6 @@ def certificate_metrics(certificates: DataFrame, as_of: Column, soon: int = 30)
     return certificates.withColumn("days", days).withColumn("expiring", days < soon)
 
 
-def pillar_summary(metrics: DataFrame) -> DataFrame:
-    """Number of issues of each company by pillar."""
-    issues = {"speed": [F.col("homepage_ms") > 3000, F.col("ttfb_ms") > 1200], "security": [~F.col("https"), ~F.col("hsts")], "search": [~F.col("has_schema"), F.col("broken_links") > 0], "conversion": [F.col("max_form_inputs") >= 7]}
-    return metrics.select("company_id", *(sum((F.coalesce(c, F.lit(False)).cast("int") for c in conds), F.lit(0)).alias(k) for k, conds in issues.items()))
-
-
 def ingest_job_postings(companies: DataFrame, postings: DataFrame) -> DataFrame:
     """Hiring signal of each company that is no agency and has a posting by its domain."""
     buyers = companies.where(~is_agency(F.col("name"), F.col("domain"), F.col("industry")))

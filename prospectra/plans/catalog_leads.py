@@ -48,7 +48,7 @@ NAMED = "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'blue-fox' || CA
 BOT = r"(first IS NULL OR contains(first, '@') OR regexp_matches(lower(first), '\.(com|net|org|io|ai|co|agency)') OR lower(first) IN ('team', 'info', 'contact', 'support', 'admin', 'sales', 'hello', 'hi', 'careers', 'office'))"
 projection("greeting_name", NAMED, lambda: {"id": F.col("id"), "greeting": leads.greeting_name(F.col("first"), F.col("company"))}, f"id, CASE WHEN NOT {BOT} THEN first WHEN company <> '' THEN company || ' team' ELSE 'there' END AS greeting")
 projection("display_company_name", NAMED, lambda: {"id": F.col("id"), "shown": leads.display_company_name(F.col("company"))}, "id, CASE WHEN ends_with(company, '.com') THEN 'Blue Fox' || CAST(id AS STRING) ELSE company END AS shown")
-query("copy_segment", f"SELECT company_id, CASE WHEN lower(coalesce(cms, '')) = 'wordpress' THEN 'laravel_modernization' WHEN library IS NOT NULL THEN 'frontend_modernization' WHEN homepage_ms > 2500 THEN 'speed_optimization' WHEN coalesce(cms, '') <> '' THEN 'laravel_modernization' END AS segment FROM {V.sql(C.WITH_STACK)} v")(
+query("copy_segment", f"SELECT company_id, CASE WHEN lower(coalesce(cms, '')) = 'wordpress' THEN 'laravel_modernization' WHEN library IS NOT NULL THEN 'frontend_modernization' WHEN lcp_ms > 2500 THEN 'speed_optimization' WHEN coalesce(cms, '') <> '' THEN 'laravel_modernization' END AS segment FROM {V.sql(C.WITH_STACK)} v")(
     lambda spark, d: leads.copy_segment(V.frame(spark, d, C.WITH_STACK)).select("company_id", "segment")
 )
 COUNTED = f"SELECT v.*, CASE WHEN id % 5 = 0 THEN NULL ELSE id % 5 END AS n_contacts FROM ({V.COMPANIES}) v"
@@ -71,18 +71,13 @@ query("resolution_worklist", f"SELECT id FROM {V.sql(V.COMPANIES)} c WHERE (ends
 )
 query("crawl_backlog", f"SELECT id, domain FROM {V.sql(V.COMPANIES)} c WHERE {C.REASON} IS NULL ORDER BY id LIMIT 100")(lambda spark, d: worklists.crawl_backlog(V.frame(spark, d, V.COMPANIES)).select("id", "domain"))
 LATEST = f"(SELECT * FROM {V.sql(V.SCORES)} v QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY id DESC) = 1)"
-FIRST_CONTACT = f"(SELECT company_id, arg_min(email, id) AS email FROM {V.sql(V.CONTACTS)} v WHERE {C.USABLE} GROUP BY company_id)"
-query(
-    "outreach_eligible",
-    f"SELECT s.company_id, s.opportunity_score, k.email FROM {LATEST} s JOIN {FIRST_CONTACT} k ON k.company_id = s.company_id JOIN {V.sql(V.COMPANIES)} c ON c.id = s.company_id WHERE s.opportunity_score >= 30 AND s.priority_tier <> 'ignore' AND s.company_id NOT IN (SELECT user_id FROM events WHERE event_id % 400 = 0)",
-)(lambda spark, d: leads.outreach_eligible(V.frame(spark, d, V.COMPANIES), V.frame(spark, d, V.SCORES), V.frame(spark, d, V.CONTACTS), spark.read.parquet(f"{d}/events.parquet").where("event_id % 400 = 0").select(F.col("user_id").alias("company_id")), 30.0))
-MESSAGES = "SELECT event_id AS id, 'm' || CAST(event_id AS STRING) AS message_id, 'User' || CAST(user_id % 60 AS STRING) || '@mail' || CAST(user_id % 7 AS STRING) || '.com' AS email FROM {events}"
+MESSAGES = "SELECT event_id AS id, 'm' || CAST(CAST(floor(event_id / 2) AS BIGINT) AS STRING) AS message_id, 'User' || CAST(user_id % 60 AS STRING) || '@mail' || CAST(user_id % 7 AS STRING) || '.com' AS email FROM {events}"
 PEOPLE = "SELECT c_custkey AS id, c_custkey % 30 AS company_id, 'user' || CAST(c_custkey % 45 AS STRING) || '@mail' || CAST(c_custkey % 7 AS STRING) || '.com' AS email FROM {customer}"
 THREADED = V.BOUNCES.replace("ts,", "ts, 'm' || CAST(event_id + 1 AS STRING) AS in_reply_to,")
 query(
     "attach_bounce_context",
     f"SELECT b.id, p.contact_id, p.company_id, coalesce(t.id, l.latest_id) AS message FROM {V.sql(THREADED)} b LEFT JOIN (SELECT lower(email) AS email, min(id) AS contact_id, arg_min(company_id, id) AS company_id FROM {V.sql(PEOPLE)} p GROUP BY 1) p ON p.email = lower(b.email) "
-    f"LEFT JOIN (SELECT lower(email) AS email, max(id) AS latest_id FROM {V.sql(MESSAGES)} m GROUP BY 1) l ON l.email = lower(b.email) LEFT JOIN {V.sql(MESSAGES)} t ON t.message_id = b.in_reply_to",
+    f"LEFT JOIN (SELECT lower(email) AS email, max(id) AS latest_id FROM {V.sql(MESSAGES)} m GROUP BY 1) l ON l.email = lower(b.email) LEFT JOIN (SELECT message_id, min(id) AS id FROM {V.sql(MESSAGES)} m2 GROUP BY message_id) t ON t.message_id = b.in_reply_to",
 )(lambda spark, d: leads.attach_bounce_context(V.frame(spark, d, THREADED).select("id", "email", "in_reply_to"), V.frame(spark, d, PEOPLE), V.frame(spark, d, MESSAGES)).select("id", "contact_id", "company_id", "message"))
 query("apply_suppression", f"SELECT id, CASE WHEN lower(email) IN (SELECT lower(email) FROM {V.sql(PEOPLE)} s WHERE id % 97 = 0) THEN 'bounced' ELSE 'valid' END AS email_status FROM {V.sql(PEOPLE)} p")(
     lambda spark, d: leads.apply_suppression(V.frame(spark, d, PEOPLE).withColumn("email_status", F.lit("valid")), V.frame(spark, d, PEOPLE).where("id % 97 = 0")).select("id", "email_status")

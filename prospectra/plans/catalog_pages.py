@@ -54,15 +54,24 @@ query(
     "version_debt",
     f"SELECT id, {REL} AS release_year, {GAP_} AS major_gap, {AGE_} AS years_outdated, {MAJ} < {pick(pages.END_OF_LIFE_BEFORE)} AS eol, CASE WHEN {MAJ} < {pick(pages.END_OF_LIFE_BEFORE)} OR {AGE_} >= 8 OR {GAP_} >= 2 THEN 'critical' WHEN {GAP_} >= 1 THEN 'high' WHEN {AGE_} >= 4 THEN 'medium' ELSE 'low' END AS risk FROM {V.sql(LIBS)} v WHERE library <> 'leftpad'",
 )(lambda spark, d: V.frame(spark, d, LIBS).select("id", debt().alias("debt")).where("debt is not null").select("id", "debt.*"))
-SPEED = "greatest(0, 100 - CASE WHEN homepage_ms > 3000 THEN 40 ELSE 0 END - CASE WHEN ttfb_ms > 1200 THEN 30 ELSE 0 END)"
-SECURITY = "greatest(0, 100 - CASE WHEN NOT https THEN 50 ELSE 0 END - CASE WHEN NOT hsts THEN 20 ELSE 0 END - CASE WHEN coalesce(cert_days, 99) < 30 THEN 20 ELSE 0 END)"
-SEARCH = "greatest(0, 100 - CASE WHEN NOT has_schema THEN 30 ELSE 0 END - CASE WHEN broken_links > 0 THEN 20 ELSE 0 END)"
-HEALTH = f"round(({SPEED} + {SECURITY} + {SEARCH}) / 3, 2)"
+#: Sub-scores of the report: speed from the measured score, else from the load time, and deductions from 100, ten at least.
+SPEED = "CASE WHEN lighthouse_score IS NOT NULL THEN lighthouse_score ELSE greatest(10, least(100, trunc(100 - coalesce(homepage_ms, 3000) / 45.0))) END"
+SECURITY = "greatest(10, 100 - CASE WHEN https THEN 0 ELSE 40 END - CASE WHEN cert_days < 30 THEN 30 ELSE 0 END - CASE WHEN exposed_users THEN 20 ELSE 0 END)"
+SEARCH = "greatest(10, 100 - CASE WHEN has_schema THEN 0 ELSE 25 END - CASE WHEN broken_social THEN 20 ELSE 0 END - CASE WHEN deliverability_risk THEN 20 ELSE 0 END - CASE WHEN broken_links > 0 THEN 20 ELSE 0 END)"
+HEALTH = f"CAST(trunc(({SPEED} + {SECURITY} + {SEARCH}) / 3.0) AS INT)"
 query("health_score", f"SELECT company_id, {HEALTH} AS health, CASE WHEN {HEALTH} >= 85 THEN 'good' WHEN {HEALTH} >= 50 THEN 'fair' ELSE 'poor' END AS label FROM {V.sql(V.TECH)} v")(
     lambda spark, d: pages.health_score(V.frame(spark, d, V.TECH)).select("company_id", "health", "label")
 )
-CHECKS = {"https": "https", "hsts": "hsts", "load_time": "homepage_ms <= 3000", "ttfb": "ttfb_ms <= 1200", "form_length": "max_form_inputs < 7", "schema": "has_schema", "links": "broken_links = 0", "certificate": "coalesce(cert_days, 99) >= 30"}
-query("audit_findings", " UNION ALL ".join(f"SELECT company_id, '{k}' AS \"check\", {v} AS passed FROM {V.sql(V.TECH)} v" for k, v in CHECKS.items()))(lambda spark, d: pages.audit_findings(V.frame(spark, d, V.TECH)))
+PASSES = {
+    "homepage_load": "coalesce(homepage_ms, 9999) < 2500", "inner_page_latency": "NOT coalesce(speed_discrepancy, false)", "ttfb": "coalesce(ttfb_ms, 9999) < 800", "one_tap_calling": "NOT coalesce(missing_tel_link, false)",
+    "form_friction": "coalesce(max_form_inputs, 0) < 7", "sticky_action_bar": "coalesce(sticky_cta, false)", "local_business_schema": "coalesce(has_schema, false)", "social_cards": "NOT coalesce(broken_social, false)",
+    "mail_authentication": "NOT coalesce(deliverability_risk, false)", "internal_links": "coalesce(broken_links, 0) = 0", "image_formats": "coalesce(legacy_images, 0) <= 2", "certificate": "NOT coalesce(cert_days < 30, false) AND coalesce(cert_valid, false)",
+}
+MEASURED = {"pagespeed_performance": "coalesce(lighthouse_score, 0) >= 70", "largest_contentful_paint": "coalesce(nullif(lcp_ms, 0), 9999) < 2500"}
+query(
+    "audit_findings",
+    " UNION ALL ".join([f"SELECT company_id, '{k}' AS \"check\", {v} AS passed FROM {V.sql(V.TECH)} v" for k, v in PASSES.items()] + [f"SELECT company_id, '{k}', {v} FROM {V.sql(V.TECH)} v WHERE lighthouse_score IS NOT NULL" for k, v in MEASURED.items()]),
+)(lambda spark, d: pages.audit_findings(V.frame(spark, d, V.TECH)))
 
 LOCAL = "lower(regexp_extract(coalesce(email, ''), '^([^@]*)', 1))"
 ROLE = f"list_filter(list_concat([{LOCAL}], regexp_split_to_array({LOCAL}, '[._-]')), lambda t: t IN ({quoted(outreach.ROLES)}))[1]"
@@ -104,8 +113,3 @@ TIERS = "SELECT event_id AS id, user_id AS company_id, CASE WHEN user_id % 3 = 0
 query("enrichment_waterfall", f"SELECT id, company_id, tier, email FROM (SELECT *, min(tier) OVER (PARTITION BY company_id) AS best FROM {V.sql(TIERS)} v) w WHERE tier = best QUALIFY row_number() OVER (PARTITION BY company_id, lower(email) ORDER BY id) = 1")(
     lambda spark, d: outreach.enrichment_waterfall(V.frame(spark, d, TIERS)).select("id", "company_id", "tier", "email")
 )
-STAGED = "SELECT s_suppkey AS id, s_suppkey % 40 AS company_id, CASE WHEN s_suppkey % 11 = 0 THEN 'bad..one' ELSE 'J' || CAST(s_suppkey % 25 AS STRING) END || '@biz.com' AS email, CASE s_suppkey % 4 WHEN 1 THEN 'bounced' ELSE 'valid' END AS email_status FROM {supplier}"
-query(
-    "stage_messages",
-    f"SELECT id, CASE WHEN lower(email) IN ('j3@biz.com', 'j7@biz.com') THEN 'suppressed' WHEN contains(email, '..') THEN 'malformed_syntax' WHEN email_status = 'bounced' THEN 'status' WHEN company_id IN (SELECT o_custkey FROM orders WHERE o_orderkey % 40 = 0) THEN 'already_contacted' END AS reject_reason FROM {V.sql(STAGED)} v",
-)(lambda spark, d: outreach.stage_messages(V.frame(spark, d, STAGED), V.frame(spark, d, STAGED).where("email in ('J3@biz.com', 'J7@biz.com')"), spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("company_id"))).select("id", "reject_reason"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import domains as D
 from prospectra.functions import text as T
-from prospectra.operators import feeds, leads, relational, scoring, worklists
+from prospectra.operators import feeds, leads, pages, relational, scoring, worklists
 from prospectra.plans import catalog as C
 from prospectra.plans import views as V
 from prospectra.plans.catalog import projection, query, sql_contains
@@ -57,9 +57,12 @@ CERTS = "SELECT c_custkey AS id, CAST(CASE WHEN c_custkey % 2 = 0 THEN '2026-02-
 query("certificate_metrics", f"SELECT id, date_diff('day', CAST({C.AS_OF} AS DATE), CAST(expires AS DATE)) AS days, date_diff('day', CAST({C.AS_OF} AS DATE), CAST(expires AS DATE)) < 30 AS expiring FROM {V.sql(CERTS)} v")(
     lambda spark, d: worklists.certificate_metrics(V.frame(spark, d, CERTS), C.as_of()).select("id", "days", "expiring")
 )
-query("pillar_summary", f"SELECT company_id, CAST(homepage_ms > 3000 AS INT) + CAST(ttfb_ms > 1200 AS INT) AS speed, CAST(NOT https AS INT) + CAST(NOT hsts AS INT) AS security, CAST(NOT has_schema AS INT) + CAST(broken_links > 0 AS INT) AS search, CAST(max_form_inputs >= 7 AS INT) AS conversion FROM {V.sql(V.TECH)} v")(
-    lambda spark, d: worklists.pillar_summary(V.frame(spark, d, V.TECH))
-)
+FAST = "(lighthouse_score >= 75 OR (homepage_ms < 2200 AND NOT speed_discrepancy))"
+query(
+    "pillar_summary",
+    f"SELECT company_id, CASE WHEN {FAST} THEN 0 ELSE 1 END AS speed, CAST(missing_tel_link AS INT) + CAST(max_form_inputs >= 7 AS INT) + CAST(NOT sticky_cta AS INT) AS conversion, CAST(NOT has_schema AS INT) + CAST(broken_social AS INT) + CAST(deliverability_risk AS INT) AS search, "
+    f"CAST(NOT https AS INT) + CAST(coalesce(cert_days < 30, false) AS INT) + CAST(exposed_users AS INT) AS security FROM {V.sql(V.TECH)} v",
+)(lambda spark, d: pages.pillar_summary(V.frame(spark, d, V.TECH)))
 projection("fingerprint_transport", "SELECT page_id, url FROM {pages}", lambda: {"page_id": F.col("page_id"), "https": F.col("url").startswith("https://")}, "page_id, starts_with(url, 'https://') AS https")
 query("catchall_ttl", "SELECT user_id, arg_max(event_type, ts) AS verdict FROM events GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-30 12:00:00'")(
     lambda spark, d: worklists.catchall_ttl(spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("key"), F.col("event_type").alias("verdict"), "ts"), F.lit("2024-01-31").cast("timestamp")).select(F.col("key").alias("user_id"), "verdict")

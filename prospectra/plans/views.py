@@ -43,7 +43,8 @@ SELECT c_custkey AS company_id, CASE c_custkey % 5 WHEN 0 THEN 'WordPress' WHEN
   CASE WHEN c_custkey % 8 = 0 THEN c_custkey % 5 ELSE 0 END AS broken_links, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 100 END AS lighthouse_score,
   CASE WHEN c_custkey % 3 = 1 THEN c_custkey % 90 END AS cert_days,
   c_custkey % 12 = 1 AS missing_tel_link, c_custkey % 10 = 2 AS broken_social, c_custkey % 9 = 3 AS deliverability_risk, c_custkey % 31 = 4 AS exposed_users,
-  CASE WHEN c_custkey % 14 = 5 THEN 'laravel' END AS skill, c_custkey % 2 = 1 AS cert_checked, c_custkey % 4 = 1 AS cert_valid, c_custkey % 13 = 6 AS image_issues
+  CASE WHEN c_custkey % 14 = 5 THEN 'laravel' END AS skill, c_custkey % 2 = 1 AS cert_checked, c_custkey % 4 = 1 AS cert_valid, c_custkey % 13 = 6 AS image_issues,
+  c_custkey % 15 < 7 AS sticky_cta, c_custkey % 6 AS legacy_images, CASE WHEN c_custkey % 3 <> 2 THEN (c_custkey * 71) % 5000 END AS lcp_ms
 FROM {customer}
 """
 SCORES = """
