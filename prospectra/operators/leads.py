@@ -199,14 +199,6 @@ def mail_dns_metrics(records: DataFrame) -> DataFrame:
     return out.withColumn("risk", F.col("has_mx") & ~(F.col("has_spf") & F.col("has_dmarc")))
 
 
-def link_health(links: DataFrame, status: DataFrame, n: int = 10) -> DataFrame:
-    """Broken ones among the first ``n`` distinct same-host links of each page; no status counts as fine."""
-    own = links.where("same_host").groupBy("page_id", "target").agg(F.min("position").alias("position"))
-    first = top_per_key(own, "page_id", [F.col("position")], n).join(status, "target", "left")
-    broken = (F.col("status") >= 400) | (F.col("status") == 0)
-    return first.groupBy("page_id").agg(F.count("*").alias("n_checked"), F.count_if(broken).alias("n_broken"))
-
-
 def page_contacts(pages: DataFrame, domain: Column, emails: Column, n: int | None = 3) -> DataFrame:
     """First ``n`` addresses of each page, or all for None: own domain first, then inboxes, then as they stand."""
     rows = pages.select("page_id", domain.alias("domain"), F.posexplode(emails).alias("position", "email"))

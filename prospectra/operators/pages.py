@@ -35,16 +35,6 @@ def _has(html: Column, pattern: str) -> Column:
     return F.lower(html).rlike(pattern)
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """All anchors in order: ``position``, ``href``, ``target`` (absolute for rooted paths) and ``same_host``."""
-    hrefs = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
-    host = normalize_domain(F.col("url"))
-    href = F.col("href")
-    target = F.when(href.rlike("^https?://"), href).when(href.startswith("/"), F.concat(F.regexp_extract("url", r"^(https?://[^/]*)", 1), href)).otherwise(href)
-    links = pages.select("page_id", "url", F.posexplode(hrefs).alias("position", "href"))
-    return links.select("page_id", "position", "href", target.alias("target"), (normalize_domain(target) == host).alias("same_host"))
-
-
 def key_subpages(links: DataFrame, n: int = 4) -> DataFrame:
     """First ``n`` distinct same-host links of a page on the paths of pages that sell."""
     from .relational import top_per_key

@@ -102,9 +102,6 @@ RECORDS = "SELECT 'd' || CAST(c_custkey % 300 AS STRING) || '.com' AS domain, CA
 HAS = lambda c: f"coalesce(bool_or({c}), false)"
 MXQ = f"SELECT domain, {HAS("kind = 'MX'")} AS has_mx, {HAS("kind = 'TXT' AND starts_with(lower(value), 'v=spf1')")} AS has_spf, {HAS("kind = 'TXT' AND starts_with(lower(value), 'v=dmarc1')")} AS has_dmarc FROM {V.sql(RECORDS)} v GROUP BY domain"
 query("mail_dns_metrics", f"SELECT *, has_mx AND NOT (has_spf AND has_dmarc) AS risk FROM ({MXQ}) x")(lambda spark, d: leads.mail_dns_metrics(V.frame(spark, d, RECORDS)))
-query("link_health", f"SELECT page_id, count(*) AS n_checked, count(*) FILTER (length(href) % 4 = 0) AS n_broken FROM (SELECT page_id, href, min(position) AS position FROM {LINKS} l WHERE starts_with(href, '/') GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY min(position)) <= 10) x GROUP BY page_id")(
-    lambda spark, d: leads.link_health(own := pages.page_links(V.frame(spark, d, RICH)), own.where("same_host").select("target", F.when(F.length("href") % 4 == 0, 404).otherwise(200).alias("status")).distinct())
-)
 RESOLVED = "SELECT c_custkey AS id, 'co' || CAST(c_custkey AS STRING) AS slug, CASE WHEN c_custkey % 5 = 0 THEN 'b.com' END AS bureau_domain, CASE WHEN c_custkey % 3 = 0 THEN 'r.com' END AS registry_domain, CASE WHEN c_custkey % 7 = 0 THEN 's.com' END AS social_domain, CASE WHEN c_custkey % 2 = 0 THEN 'f.com' END AS footprint_domain FROM {customer}"
 FOUND = "coalesce(bureau_domain, registry_domain, social_domain, footprint_domain)"
 query("lead_resolution", f"SELECT id, coalesce({FOUND}, slug || '.local') AS resolved_domain, CASE WHEN {FOUND} IS NULL THEN 'no_website_verified' ELSE 'resolved_real_domain' END AS outcome, CAST(CASE WHEN {FOUND} IS NULL THEN 100.0 END AS DOUBLE) AS score FROM {V.sql(RESOLVED)} v")(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prospectra.functions import domains as D
-from prospectra.operators import outreach, pages
+from prospectra.operators import outreach, page_parts, pages
 from prospectra.plans import views as V
 from prospectra.plans.catalog import EXCLUDED, projection, query, quoted, sql_case, sql_contains  # noqa: F401
 
@@ -19,9 +19,8 @@ SELECT page_id, url, html
 FROM {pages}
 """
 LINKS = "(SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]*)\"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]*)\"', 1), 1) - 1 AS position FROM " + V.sql(RICH) + " v)"
-query("page_links", f"SELECT page_id, position, href FROM {LINKS} l")(lambda spark, d: pages.page_links(V.frame(spark, d, RICH)).select("page_id", F.col("position").cast("long").alias("position"), "href"))
 query("key_subpages", f"SELECT page_id, href FROM {LINKS} l WHERE starts_with(href, '/') AND regexp_matches(lower(href), '{pages.KEY_PATHS}') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY position) <= 4")(
-    lambda spark, d: pages.key_subpages(pages.page_links(V.frame(spark, d, RICH))).select("page_id", F.regexp_extract("target", "^https?://[^/]*(.*)$", 1).alias("href"))
+    lambda spark, d: pages.key_subpages(page_parts.page_links(V.frame(spark, d, RICH))).select("page_id", F.regexp_extract("target", "^https?://[^/]*(.*)$", 1).alias("href"))
 )
 fp = lambda: pages.fingerprint(F.col("html"))
 WPV = "regexp_extract(html, '(?i)<meta[^>]*name=\"generator\"[^>]*content=\"WordPress\\s*([0-9.]*)', 1)"

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from prospectra.plans import catalog, catalog_flow, catalog_leads, catalog_pages, catalog_rest, catalog_site, catalog_sources, catalog_staging, catalog_streams  # noqa: F401
+from prospectra.plans import catalog, catalog_flow, catalog_leads, catalog_pages, catalog_parts, catalog_rest, catalog_site, catalog_sources, catalog_staging, catalog_streams  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
