@@ -77,13 +77,13 @@ def normalize_confidence(raw: Column) -> Column:
 
 
 def normalize_phone(raw: Column) -> Column:
-    """Struct (e164, national, dashed, digits) of a ten-digit North American number, null for anything else."""
+    """Struct (e164, national, dashed, digits, dotted, compact, area_code) of a ten-digit North American number, null for anything else."""
     digits = F.regexp_replace(_text(raw), "[^0-9]", "")
     ten = F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).when(F.length(digits) == 10, digits)
     a, b, c = F.substring(ten, 1, 3), F.substring(ten, 4, 3), F.substring(ten, 7, 4)
     return F.when(
         ten.isNotNull(),
-        F.struct(F.concat(F.lit("+1"), ten).alias("e164"), F.concat(F.lit("("), a, F.lit(") "), b, F.lit("-"), c).alias("national"), F.concat_ws("-", a, b, c).alias("dashed"), ten.alias("digits")),
+        F.struct(F.concat(F.lit("+1"), ten).alias("e164"), F.concat(F.lit("("), a, F.lit(") "), b, F.lit("-"), c).alias("national"), F.concat_ws("-", a, b, c).alias("dashed"), ten.alias("digits"), F.concat_ws(".", a, b, c).alias("dotted"), F.concat_ws(" ", a, b, c).alias("compact"), a.alias("area_code")),
     )
 
 

@@ -75,6 +75,8 @@ class _Tokens(HTMLParser):
                 self.anchor = [values["href"], []]
         elif tag == "script" and (values.get("type") or "").strip().lower() == "application/ld+json":
             self.script = []
+        if tag in ("script", "iframe") and values.get("src"):
+            self._add("embed", values["src"])
         if tag in UNSEEN and tag != "path":
             self.hidden += 1
 
@@ -107,7 +109,7 @@ class _Tokens(HTMLParser):
 
 
 def page_parts(html: str | None) -> list[tuple[str, int, str, str]]:
-    """Rows ``kind, position, value, text``: anchors (href, text), structured data, masked addresses, and the visible text.
+    """Rows ``kind, position, value, text``: anchors (href, text), sources of scripts and frames, structured data, masked addresses, and the visible text.
 
     Quotes of any kind or none, entities, and anchors over several lines are read; an anchor ends at its end tag, at the
     next anchor or with the page. What is no HTML is text; a null page has no parts.
@@ -146,6 +148,15 @@ class PageAnchors:
                 position += 1
 
 
+class PageSources:
+    """Table function: anchors, scripts and frames of a page in order, with what they lead to."""
+
+    def eval(self, html: str):
+        for kind, position, source, text in page_parts(html):
+            if kind in ("anchor", "embed"):
+                yield position, kind, source, text
+
+
 class PageAddresses:
     """Table function: candidates for addresses in a page, in the order of trust: masked, mail links, structured data, text, text written out."""
 
@@ -170,6 +181,7 @@ class PageAddresses:
 
 
 anchors_of = F.udtf(PageAnchors, returnType="position int, href string, text string, target string, same_host boolean", useArrow=True)
+sources_of = F.udtf(PageSources, returnType="position int, kind string, source string, text string", useArrow=True)
 addresses_of = F.udtf(PageAddresses, returnType="position int, kind string, address string, label string", useArrow=True)
 
 

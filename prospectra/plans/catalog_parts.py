@@ -80,3 +80,55 @@ query(
     f"SELECT domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY page, points DESC, nth, email) AS INT) AS rank, email, kind, label FROM (SELECT * FROM (SELECT {OWN} AS domain, page_id % 3 AS page, {POINTS} AS points, nth, email, kind, label FROM {GIVEN} g WHERE NOT regexp_matches(email, '@([^@]*[.])?(example|email|company|domain)[.]com$') AND split_part(email, '@', 1) NOT IN ('user', 'name', 'email', 'example', 'username', 'yourname') AND NOT ends_with(email, '.png')) x "
     "QUALIFY row_number() OVER (PARTITION BY domain, email ORDER BY page, points DESC, nth) = 1) y",
 )(lambda spark, d: page_parts.site_contacts(V.frame(spark, d, PEOPLED), None))
+
+# ---- hiring signals
+HIRES = """
+SELECT page_id, url, html || CASE page_id % 6 WHEN 0 THEN '<p>We seek a Laravel or PHP Developer, laravel first; DevOps on AWS</p>' WHEN 1 THEN '<p>Full-stack software engineer (React)</p><script>var angular = 1;</script>' WHEN 2 THEN '<p>wordpressed</p>' ELSE '' END
+  || CASE page_id % 5 WHEN 0 THEN '<iframe src="https://boards.Greenhouse.io/x"></iframe><a href="https://jobs.lever.co/x">Open roles</a>' WHEN 1 THEN '<a href="/Careers">A</a><a href="/b">See our JOBS</a><a href="/join-us">C</a><a href="/openings">D</a>'
+    WHEN 2 THEN '<script src="https://apply.workable.com/e.js"></script>' ELSE '' END AS html
+FROM {pages}
+"""
+MATCHES = {
+    "laravel": "(laravel|php developer|backend engineer|php engineer)", "angular": "(angular|angularjs|frontend engineer|frontend developer)", "react": "(react|reactjs|next\\.js|frontend engineer)",
+    "wordpress": "(wordpress|wp developer|theme developer|plugin developer)", "devops": "(devops|aws|cloud engineer|site reliability|kubernetes|docker)", "fullstack": "(full[\\s-]?stack|software engineer|lead developer)",
+}
+HIT = lambda p: f"regexp_extract_all({C.TEXT}, '(?i)\\b{p}\\b', 1)"
+SKILL_TEXT = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN len({HIT(p)}) > 0 THEN '{n}:' || len({HIT(p)}) || ':' || {HIT(p)}[1] END" for n, p in MATCHES.items()) + "], lambda x: x IS NOT NULL), ' ')"
+query(
+    "hiring_signal_rows",
+    "SELECT page_id, 'hiring_ats_detected' AS type, CAST(0.95 AS DOUBLE) AS confidence, CASE page_id % 5 WHEN 0 THEN 'greenhouse lever' ELSE 'workable' END AS detail FROM pages WHERE page_id % 5 IN (0, 2) "
+    "UNION ALL SELECT page_id, 'career_page_detected', 0.9, CASE page_id % 5 WHEN 0 THEN 'Open roles>https://jobs.lever.co/x' ELSE 'A>/Careers See our JOBS>/b C>/join-us' END FROM pages WHERE page_id % 5 IN (0, 1) "
+    f"UNION ALL SELECT page_id, 'hiring_skill_match', 0.85, s FROM (SELECT page_id, {SKILL_TEXT} AS s FROM {V.sql(HIRES)} h) x WHERE s <> ''",
+)(lambda spark, d: signal_rows(spark, d))
+
+
+def signal_rows(spark, d):
+    from prospectra.operators import hiring
+
+    links = F.transform("detail.career_links", lambda x: F.concat_ws(">", x["text"], x["href"]))
+    skills = F.transform("detail.matched_skills", lambda m: F.concat_ws(":", m["skill"], m["count"], m["sample"]))
+    return hiring.hiring_signals(V.frame(spark, d, HIRES)).select("page_id", "type", "confidence", F.array_join(F.coalesce("detail.ats_platforms", links, skills), " ").alias("detail"))
+
+
+# ---- lookup tables
+AREAS = "SELECT CAST(200 + s_suppkey % 700 AS STRING) AS area_code, 'S' || CAST(s_suppkey % 50 AS STRING) AS state, 'City ' || CAST(s_suppkey % 90 AS STRING) AS city FROM {supplier}"
+CALLED = "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN '12' WHEN 1 THEN NULL WHEN 2 THEN '+1 ' ELSE '' END || CASE WHEN c_custkey % 5 > 1 THEN '(' || CAST(200 + c_custkey % 800 AS STRING) || ') 555-0' || CAST(100 + c_custkey % 900 AS STRING) ELSE '' END AS phone FROM {customer}"
+DIGITS = "right(regexp_replace(phone, '[^0-9]', '', 'g'), 10)"
+query(
+    "locate_phones",
+    f"SELECT id, substr(digits, 1, 3) || '.' || substr(digits, 4, 3) || '.' || substr(digits, 7) AS dotted, substr(digits, 1, 3) || ' ' || substr(digits, 4, 3) || ' ' || substr(digits, 7) AS compact, CASE WHEN digits IS NOT NULL THEN coalesce(state, '') END AS state, CASE WHEN digits IS NOT NULL THEN coalesce(city, '') END AS city "
+    f"FROM (SELECT id, CASE WHEN length({DIGITS}) = 10 THEN {DIGITS} END AS digits FROM {V.sql(CALLED)} c) p LEFT JOIN (SELECT area_code, min(struct_pack(state, city)).state AS state, min(struct_pack(state, city)).city AS city FROM {V.sql(AREAS)} a GROUP BY area_code) a ON a.area_code = substr(digits, 1, 3)",
+)(lambda spark, d: located(spark, d))
+
+
+def located(spark, d):
+    """The area codes go through a versioned lookup table."""
+    from prospectra.operators.lineage import shared_folder
+    from prospectra.sources import lookups
+
+    folder = f"{shared_folder(spark)}/lookups"
+    areas = V.frame(spark, d, AREAS)
+    lookups.write_lookup(areas.withColumn("state", F.lit("old")), folder, "area_codes", 1)
+    lookups.write_lookup(areas, folder, "area_codes", 2)
+    table = lookups.read_lookup_table(spark, folder, "area_codes", "area_code")
+    return lookups.locate_phones(V.frame(spark, d, CALLED), table).select("id", "phone_forms.dotted", "phone_forms.compact", "state", "city")
