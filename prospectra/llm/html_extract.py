@@ -39,42 +39,96 @@ _SPACE = re.compile(r"\s+")
 
 TAG_DIM, HINT_DIM, WORD_DIM, SHAPE_DIM, HIDDEN_DIM = 32, 64, 32, 8, 24
 PATH_DIM = TAG_DIM + HINT_DIM
+#: What a mark counts one element further from the leaf.
+NEAR = 0.8
 INPUT_DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
 SEED = 11
 #: Bytes of html that a task takes at a time, and blocks of pages that are labelled together.
 SLICE_BYTES, BATCH_BLOCKS = 4 << 20, 20_000
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int, int]]:
-    """Leaf blocks of a page in order: (tag path with class words, text, link characters, list items passed)."""
+class _Open:
+    """Open elements of a page with what a block needs of their path, kept up to date as they come and go.
+
+    The path is read as one vector: every mark (tag or class word) that is on it counts half once, and marks near the leaf
+    count more, by NEAR for each element between. Pushing and popping cost the same at any depth.
+    """
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.marks: list[tuple[str, ...]] = []
+        self.near: list[np.ndarray] = [np.zeros(PATH_DIM, dtype=np.float32)]
+        self.once = np.zeros(PATH_DIM, dtype=np.float32)
+        self.count: Counter = Counter()
+        self.at: dict[str, list[int]] = {}  # places of each open tag
+        self.block_at: list[int] = []  # places of elements that aren't inline
+        self.n_marks = self.hidden = 0
+
+    def last(self, tag: str) -> int | None:
+        places = self.at.get(tag)
+        return places[-1] if places else None
+
+    def push(self, tag: str, hints: list[str]) -> None:
+        marks = (tag, *(f".{h}" for h in hints))
+        near = self.near[-1] * NEAR
+        for mark in marks:
+            at, sign = _place(mark)
+            near[at] += sign
+            self.count[mark] += 1
+            if self.count[mark] == 1:
+                self.once[at] += 0.5 * sign
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.block_at.append(len(self.tags))
+        self.tags.append(tag)
+        self.marks.append(marks)
+        self.near.append(near)
+        self.n_marks += len(marks)
+        self.hidden += tag in HIDDEN
+
+    def pop(self, to: int) -> None:
+        while len(self.tags) > to:
+            tag, marks = self.tags.pop(), self.marks.pop()
+            self.near.pop()
+            self.at[tag].pop()
+            if self.block_at and self.block_at[-1] == len(self.tags):
+                self.block_at.pop()
+            for mark in marks:
+                self.count[mark] -= 1
+                if not self.count[mark]:
+                    at, sign = _place(mark)
+                    self.once[at] -= 0.5 * sign
+            self.n_marks -= len(marks)
+            self.hidden -= tag in HIDDEN
+
+    def path(self) -> tuple[np.ndarray, int, bool]:
+        """Vector of the path, its number of marks, and whether it has a main heading."""
+        return self.once + 0.5 * self.near[-1], self.n_marks, bool(self.count["h1"] or self.count["h2"])
+
+
+def blocks(page: str | None) -> list[tuple[tuple[np.ndarray, int, bool], str, int]]:
+    """Leaf blocks of a page in order: (path, text, link characters). Time and memory grow with the page, not with its depth."""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open()
     text: list[str] = []
-    links = hidden = anchors = 0
+    links = 0
     page = page or ""
 
     def flush() -> None:
         nonlocal text, links
         joined = _SPACE.sub(" ", "".join(text)).strip()
         if joined:
-            out.append((tuple(x for _, marks in stack for x in marks), joined, links))
+            out.append((open_.path(), joined, links))
         text, links = [], 0
 
     def say(raw: str) -> None:
         nonlocal links
-        if not hidden and raw:
+        if not open_.hidden and raw:
             raw = html_lib.unescape(raw) if "&" in raw else raw
             text.append(raw)
-            if anchors:
+            if open_.at.get("a"):
                 links += len(raw.strip())
 
-    def pop(to: int) -> None:
-        nonlocal hidden, anchors
-        while len(stack) > to:
-            tag = stack.pop()[0]
-            hidden -= tag in HIDDEN
-            anchors -= tag == "a"
-
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -87,48 +141,40 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int, int]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in ("br", "p") and not any(t == tag for t, _ in stack):
-                if tag not in INLINE:
-                    flush()
-                continue
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            where = open_.last(tag)
             if where is None:
+                if tag in ("br", "p"):
+                    flush()
                 continue
             if tag not in INLINE:
                 flush()
-            elif any(t not in INLINE for t, _ in stack[where + 1 :]):
+            elif open_.block_at and open_.block_at[-1] > where:
                 continue  # an inline end tag doesn't close blocks
-            pop(where)
+            open_.pop(where)
             continue
         if tag not in INLINE:
             flush()
-        if tag in CLOSES_P:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if where is not None:
-                pop(where)
+        if tag in CLOSES_P and open_.last("p") is not None:
+            open_.pop(open_.last("p"))
         if tag in SAME_CLOSES:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SAME_CLOSES[tag]:
-                    pop(i)
-                    break
-                if stack[i][0] in SECTIONING and stack[i][0] != "tr":
-                    break
-        if tag == "body":
-            pop(next((i for i, (t, _) in enumerate(stack) if t == "head"), len(stack)))
+            same = max((w for t in SAME_CLOSES[tag] if (w := open_.last(t)) is not None), default=None)
+            bound = max((w for t in SECTIONING if (w := open_.last(t)) is not None), default=-1)
+            if same is not None and same > bound:
+                open_.pop(same)
+        if tag == "body" and open_.last("head") is not None:
+            open_.pop(open_.at["head"][0])
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         hints = [w.lower() for h in _HINT.findall(m[3]) for w in _WORD.findall("".join(h))] if m[3] else []
-        stack.append((tag, (tag, *(f".{h}" for h in hints))))
-        hidden += tag in HIDDEN
-        anchors += tag == "a"
+        open_.push(tag, hints)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if tag == "title" or tag not in HIDDEN:
                 say(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
-            flush() if not hidden else None
-            text.clear() if hidden else None
-            pop(len(stack) - 1)
+            flush() if not open_.hidden else None
+            text.clear() if open_.hidden else None
+            open_.pop(len(open_.tags) - 1)
     flush()
     return out
 
@@ -139,41 +185,32 @@ def _bucket(word: str, size: int) -> tuple[int, float]:
     return h % size, 1.0 if h & 0x10000 else -1.0
 
 
-def _path_values(path: tuple[str, ...]) -> list[float]:
-    """The whole tag path: every mark counts once, at its place nearest to the leaf, and never for less than half."""
-    values = [0.0] * PATH_DIM
-    seen: set[str] = set()
-    for up, mark in enumerate(reversed(path)):
-        if mark not in seen:
-            seen.add(mark)
-            first, size = (TAG_DIM, HINT_DIM) if mark[0] == "." else (0, TAG_DIM)
-            at, sign = _bucket(mark, size)
-            values[first + at] += sign * (0.5 + 0.5 / (1 + 0.25 * up))
-    return values
+def _place(mark: str) -> tuple[int, float]:
+    """Dimension and sign of a mark in the path's vector."""
+    first, size = (TAG_DIM, HINT_DIM) if mark[0] == "." else (0, TAG_DIM)
+    at, sign = _bucket(mark, size)
+    return first + at, sign
 
 
 def vectors(found: list) -> np.ndarray:
     """Input vectors of the blocks of a page, from the whole path and all words of each."""
     x = np.zeros((len(found), INPUT_DIM), dtype=np.float32)
-    paths: dict[tuple[str, ...], list[float]] = {}
-    for row, (path, text, links) in zip(x, found, strict=True):
-        if path not in paths:
-            paths[path] = _path_values(path)
+    for row, ((path, n_marks, heading), text, links) in zip(x, found, strict=True):
         counts = Counter(text.lower().split(" "))
         unit = counts.total() ** -0.5
         values = [0.0] * WORD_DIM
         for w, n in counts.items():
             at, sign = _bucket(w, WORD_DIM)
             values[at] += sign * n * unit
-        row[:PATH_DIM], row[PATH_DIM : PATH_DIM + WORD_DIM] = paths[path], values
+        row[:PATH_DIM], row[PATH_DIM : PATH_DIM + WORD_DIM] = path, values
         row[-SHAPE_DIM:] = (
             min(len(text), 600) / 300,
             min(counts.total(), 100) / 50,
             links / (len(text) + 1),
             text[-1] in ".!?:;\"»”",
-            "©" in text or "\xa9" in text,
-            np.log1p(len(path)) / 3,
-            "h1" in path or "h2" in path,
+            "©" in text,
+            np.log1p(n_marks) / 3,
+            heading,
             1,
         )
     return x
