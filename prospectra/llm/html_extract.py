@@ -337,16 +337,51 @@ class Grammar:
         "share": "share social sharing tags meta byline-share related-links pager pagination",
     }
     ARTICLE = "article content main post entry story article-body post-content entry-content main-content text body"
+    # fixed values: what pages say around their articles, by kind of region
+    SAYS = {
+        "nav": ["Home", "News", "World", "About", "About us", "Contact", "Archive", "Blog", "Products", "Services", "Help", "Sport", "Business", "Local", "Money", "Back to index", "Next", "Previous", "May", "June"],
+        "footer": ["All rights reserved", "Terms of use", "Privacy policy", "Contact us", "Imprint", "Copyright", "Powered by", "Sitemap"],
+        "aside": ["Most read", "Popular", "Related", "Recent posts", "Archives", "Read also", "More stories", "Trending", "Categories", "Latest"],
+        "ad": ["Buy now", "for half the price", "Special offer", "Order today", "Advertisement", "Sponsored", "Save money", "our new book", "free shipping"],
+        "notice": ["We use cookies", "to make this site better", "Subscribe now", "Sign up for our newsletter", "Your privacy", "Accept all", "Never miss a story"],
+        "comments": ["I was there", "believe me", "I think", "Thanks for this", "great post", "I agree", "not true at all", "says", "replied", "Reply"],
+        "header": ["The Paper", "Daily news", "My blog", "The magazine", "since 1950", "Welcome"],
+        "share": ["Share", "Tweet", "Print", "E-mail this", "Tags", "Posted by"],
+        "form": ["Name", "Email", "Search", "Send", "Your message"],
+    }
+    #: Common words, which say nothing about where they stand.
+    COMMON = (
+        "the of and to in a is that for it was on with as be by this at from not are or an have had they were which one all there can more her their has what so up out if about who get than them time only "
+        "story first second last year week day town people work home world new best great true save next read buy short part says said told made after before over under most many much some any"
+    )
+    #: Names that comment widgets and other things set beside an article have as ids.
+    WIDGETS = "disqus_thread fb-comments respond isso-thread reader-voices talk feedback"
 
     def __init__(self, rng: np.random.Generator):
         self.rng = rng
+        #: Share of common words in the page at hand.
+        self.common = 0.0
 
     def pick(self, words: str | list) -> str:
         words = words.split() if isinstance(words, str) else words
         return words[self.rng.integers(len(words))]
 
     def word(self) -> str:
-        return "".join(self.pick("th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ie ch ein ue ión") for _ in range(self.rng.integers(1, 5)))
+        """A word of one to four syllables, each of up to two consonants, a vowel and maybe a consonant."""
+        if self.rng.random() < self.common:
+            return self.pick(self.COMMON)
+        consonants, vowels = "bcdfghjklmnpqrstvwxyz", "aeiouy" if self.rng.random() < 0.8 else "aeioäöüéèçñ"
+        letter = lambda of: of[self.rng.integers(len(of))]
+        syllable = lambda: "".join(letter(consonants) for _ in range(self.rng.integers(0, 3))) + letter(vowels) + (letter(consonants) if self.rng.random() < 0.4 else "")
+        return "".join(syllable() for _ in range(self.rng.integers(1, 5)))
+
+    def says(self, kind: str, low: int, high: int) -> str:
+        """A phrase of a region: often what such regions say, else any words."""
+        r = self.rng.random()
+        if r < 0.35:
+            return self.sentence(low, high)
+        said = self.pick(self.SAYS[kind])
+        return said if r < 0.65 and low < 5 else f"{said} {self.sentence(max(1, low - 2), max(2, high - 2)).lower()}"
 
     def sentence(self, low: int, high: int) -> str:
         words = [self.word() for _ in range(self.rng.integers(low, high))]
@@ -355,6 +390,9 @@ class Grammar:
         return " ".join(words).capitalize() + self.pick([".", ".", ".", "!", "?", ""])
 
     def paragraph(self) -> str:
+        if self.rng.random() < 0.03:  # junk: a phrase over and over, or a run of words between bars
+            phrase = self.sentence(1, 4)
+            return self.pick([" ", " ", " | "]).join([phrase] * int(self.rng.integers(5, 80))) if self.rng.random() < 0.6 else " | ".join(self.word() for _ in range(self.rng.integers(5, 60)))
         return " ".join(self.sentence(3, 18) for _ in range(self.rng.integers(1, 7)))
 
     def article(self) -> tuple[str, list[str]]:
@@ -378,8 +416,20 @@ class Grammar:
                 parts.append("</ul>")
             elif kind < 0.22:
                 add("blockquote", self.paragraph())
-            elif kind < 0.26:
+            elif kind < 0.25:
                 add("div", self.paragraph())
+            elif kind < 0.28:
+                parts.append("<figure><img src='/i.jpg'>")
+                add("figcaption", self.sentence(2, 14))
+                parts.append("</figure>")
+            elif kind < 0.3:
+                parts.append("<table>")
+                for _ in range(self.rng.integers(2, 5)):
+                    parts.append("<tr>")
+                    for _ in range(2):
+                        add("td", self.sentence(1, 6))
+                    parts.append("</tr>")
+                parts.append("</table>")
             elif kind < 0.36:
                 add("p", self.sentence(1, 4))
             else:
@@ -394,35 +444,103 @@ class Grammar:
         return markup
 
     def region(self, kind: str) -> str:
-        """Markup of something that stands around an article."""
+        """Markup of something that stands around an article, in an element whose name or class says what it is."""
         hint = self.pick(self.AROUND[kind])
         named = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
         tag = named if named and self.rng.random() < 0.6 else self.pick("div section div ul" if kind == "nav" else "div section div")
         attr = "" if tag == named and self.rng.random() < 0.6 else f' {self.pick("class id class")}="{hint}"'
+        return self.nest(f"<{tag}{attr}>{self.nest(self.inside(kind))}</{tag}>")
+
+    def inside(self, kind: str) -> str:
+        """Markup inside a region of this kind."""
         r, e = self.rng, html_lib.escape
+        link = lambda text: f"<a href='/{self.word()}'>{e(text)}</a>"
         if kind == "nav":
-            item = lambda: f'<li><a href="/{self.word()}">{e(self.sentence(1, 3))}</a></li>'
-            body = "<ul>" + "".join(item() for _ in range(r.integers(3, 9))) + "</ul>"
-        elif kind == "header":
-            body = f"<{self.pick('div p h1 span')}><a href='/'>{e(self.sentence(1, 4))}</a></div><p>{e(self.sentence(2, 8))}</p>"
-        elif kind == "footer":
-            mark = self.pick(["&copy; ", "© ", "Copyright ", ""])
-            body = f"{mark}{self.word()}.example.com &middot; {e(self.sentence(2, 20))}" + ("<p><a href='/p'>Privacy</a> <a href='/t'>Terms</a></p>" if r.random() < 0.4 else "")
-        elif kind == "aside":
-            body = f"<h3>{e(self.sentence(1, 4))}</h3>" + "".join(f"<{t}>{e(self.sentence(3, 25))}</{t}>" for t in [self.pick("p p li")] * int(r.integers(1, 5)))
-        elif kind == "ad":
-            body = e(self.sentence(2, 22)) if r.random() < 0.7 else f"<p>{e(self.sentence(2, 14))}</p><a href='/buy'>{e(self.sentence(1, 4))}</a>"
-        elif kind == "notice":
-            body = f"<p>{e(self.sentence(5, 25))}</p><button>{self.pick('OK Accept Close Agree')}</button>"
-        elif kind == "form":
-            body = f"<label>{self.pick('Name Email Search Password')}</label><input type='text'><button>{self.pick('Send Search Go Join')}</button>"
-        elif kind == "comments":
-            body = f"<h3>{self.pick('Comments Responses Discussion')}</h3>" + "".join(f"<{self.pick('div li')} class='comment'>{self.nest(f"<b>{self.word()}</b><p>{e(self.paragraph())}</p>")}</div>" for _ in range(r.integers(1, 6)))
-        else:
-            body = "".join(f"<a href='/{self.word()}'>{e(self.sentence(1, 3))}</a> " for _ in range(r.integers(2, 6)))
-        return self.nest(f"<{tag}{attr}>{self.nest(body)}</{tag}>")
+            items = [link(self.says("nav", 1, 3)) for _ in range(r.integers(2, 9))]
+            form = r.random()
+            return "<ul><li>" + "</li><li>".join(items) + "</li></ul>" if form < 0.6 else self.pick([" | ", " ", "<br>", ""]).join(items)
+        if kind == "header":
+            logo = self.pick("div p h1 span h1")
+            return f"<{logo}>{link(self.says('header', 1, 4))}</{logo}>" + (f"<p>{e(self.says('header', 2, 8))}</p>" if r.random() < 0.6 else "")
+        if kind == "footer":
+            form = r.random()
+            if form < 0.4:
+                return " ".join(link(self.says("footer", 1, 3)) for _ in range(r.integers(2, 5)))
+            mark = self.pick(["&copy; ", "© ", "Copyright ", "", "&copy; 2020 "])
+            said = f"{mark}{e(self.says('footer', 2, 20))}" + self.pick(["", f" {self.word()}.{self.pick('com org net')}"])
+            return (f"<p>{said}</p>" if r.random() < 0.5 else said) + (f"<p>{link('Privacy')} {link('Terms')}</p>" if r.random() < 0.4 else "")
+        if kind == "aside":
+            tag, linked = self.pick("p p li li"), r.random() < 0.5
+            items = [self.says("aside", 3, 25) for _ in range(r.integers(1, 6))]
+            body = "".join(f"<{tag}>{link(x) if linked else e(x)}</{tag}>" for x in items)
+            head = self.pick("h3 h3 h4 b li")
+            return (f"<{head}>{e(self.says('aside', 1, 4))}</{head}>" if r.random() < 0.8 else "") + (f"<ul>{body}</ul>" if tag == "li" else body)
+        if kind == "ad":
+            return e(self.says("ad", 2, 22)) if r.random() < 0.5 else f"<p>{e(self.says('ad', 2, 14))}</p>" + (link(self.says("ad", 1, 4)) if r.random() < 0.6 else "")
+        if kind == "notice":
+            return f"<p>{e(self.says('notice', 5, 25))}</p>" + (f"<button>{self.pick('OK Accept Close Agree')}</button>" if r.random() < 0.7 else "")
+        if kind == "form":
+            return f"<label>{e(self.pick(self.SAYS['form']))}</label><input type='text'><button>{self.pick('Send Search Go Join')}</button>"
+        if kind == "comments":
+            note = lambda: f"<b>{self.word()}</b><p>{e(self.says('comments', 5, 12) if r.random() < 0.5 else self.paragraph())}</p>"
+            named = r.random() < 0.6
+            each = lambda: f"<{(t := self.pick('div li'))}{' class=comment' if named else ''}>{self.nest(note() if r.random() < 0.7 else f'<p>{e(self.says("comments", 5, 25))}</p>')}</{t}>"
+            return (f"<h3>{self.pick('Comments Responses Discussion')}</h3>" if r.random() < 0.7 else "") + "".join(each() for _ in range(r.integers(1, 6)))
+        return "".join(f"{link(self.says('share', 1, 3))} " for _ in range(r.integers(2, 6)))
+
+    def unnamed(self) -> str:
+        """The body of a page whose classes say little or nothing: tables, columns by width, made-up class names, bare elements, old blogs.
+
+        The article is between marks.
+        """
+        r = self.rng
+        style = self.pick("table columns hashed bare bare semantic widget blog")
+        body, _ = self.article()
+        body = f"\x01{body}\x02"
+        code = lambda: f"{self.pick('css sc jss x')}-{self.word()[:3]}{r.integers(1, 99)}"
+
+        def box(inner: str, kind: str) -> str:
+            if style == "table":
+                return f"<td{self.pick(['', ' width=150', ' valign=top'])}>{inner}</td>"
+            if style == "hashed":
+                return f'<div class="{code()}">{inner}</div>'
+            if style == "columns" and kind in ("main", "aside"):
+                wide = f"{self.pick('col-md col-lg w column-')}-{self.pick('8 9 7') if kind == 'main' else self.pick('4 3 5')}"
+                return f'<div class="{wide}">{inner}</div>'
+            if style == "semantic":
+                tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "main": self.pick("article main")}.get(kind, "div")
+                return f"<{tag}>{inner}</{tag}>"
+            if style == "widget" and kind == "comments":
+                return f'<div id="{self.pick(self.WIDGETS)}"><div>{inner}</div></div>'
+            if style == "widget" and kind == "main":
+                return f"<{(t := self.pick('main article div'))}>{inner}</{t}>"
+            if style == "blog":
+                name = {"nav": "menu", "header": "logo", "footer": "bottom", "aside": "sidebar", "main": self.pick("post hentry entry"), "comments": "comments", "ad": "promo", "notice": "topbar", "share": "postmeta", "form": "searchform"}[kind]
+                return f'<div {self.pick("id class")}="{name}">{inner}</div>'
+            return f"<div>{inner}</div>" if r.random() < 0.9 else f"<{(t := self.pick('p center section'))}>{inner}</{t}>"
+
+        regions = lambda *odds: [box(self.inside(k), k) for k, p in odds if r.random() < p]
+        top = regions(("notice", 0.25), ("header", 0.5), ("nav", 0.8), ("form", 0.1), ("ad", 0.15))
+        side = regions(("aside", 0.55), ("ad", 0.25), ("nav", 0.2))
+        middle = [box(body, "main")]
+        middle = [*side, *middle] if r.random() < 0.35 else [*middle, *side]
+        last = regions(("share", 0.25), ("comments", 0.6 if style == "widget" else 0.3), ("ad", 0.15), ("notice", 0.15), ("nav", 0.2), ("footer", 0.8))
+        if style == "table":
+            rows = [*([[x] for x in top]), middle, *([[x] for x in last])]
+            return "<table>" + "".join("<tr>" + "".join(row) + "</tr>" for row in rows) + "</table>"
+        centre = "".join(middle)
+        if r.random() < 0.5:
+            centre = f"<div class=row>{centre}</div>" if style == "columns" else box(centre, "ad" if style in ("hashed", "bare") else "main") if style in ("hashed", "bare") else f"<div>{centre}</div>"
+        out = "".join(top) + centre + self.pick(["", "", "<hr>"]) + "".join(last)
+        return self.nest(out) if r.random() < 0.3 else out
 
     def page(self) -> tuple[list, np.ndarray]:
+        """Blocks of a made-up page and their labels."""
+        self.common = float(self.rng.choice([0.0, 0.0, 0.3, 0.6, 0.8]))
+        return self.labelled(self.unnamed() if self.rng.random() < 0.4 else self.named())
+
+    def named(self) -> str:
+        """The body of a page whose elements and classes say what they hold, the article between marks."""
         r = self.rng
         before = [k for k, p in (("header", 0.4), ("nav", 0.8), ("notice", 0.2), ("form", 0.15), ("ad", 0.4)) if r.random() < p]
         after = [k for k, p in (("share", 0.3), ("comments", 0.35), ("aside", 0.4), ("ad", 0.25), ("form", 0.25), ("nav", 0.15), ("notice", 0.3), ("footer", 0.85)) if r.random() < p]
@@ -447,7 +565,9 @@ class Grammar:
             middle = self.pick(["<main>{}</main>", '<div id="main">{}</div>', '<div class="content">{}</div>', "<article>{}</article>"]).format(self.nest(middle) + inside)
         if r.random() < 0.3:
             middle = f'<div class="{self.pick("wrapper container page row layout")}">{middle}{self.region("aside") if r.random() < 0.4 else ""}</div>'
-        body = "".join(map(self.region, before)) + self.nest(middle) + "".join(map(self.region, after))
+        return "".join(map(self.region, before)) + self.nest(middle) + "".join(map(self.region, after))
+
+    def labelled(self, body: str) -> tuple[list, np.ndarray]:
         page = f"<html><head><title>x</title></head><body>{self.nest(body)}</body></html>"
         found, labels, inside = [], [], False
         for path, text, links in blocks(page):
@@ -465,7 +585,7 @@ class Grammar:
         return found, np.array(labels, dtype=np.float32)
 
 
-def train(pages: int = 2400, epochs: int = 4, seed: int = SEED, batch: int = 25) -> Labeller:
+def train(pages: int = 4000, epochs: int = 6, seed: int = SEED, batch: int = 25) -> Labeller:
     """A labeller trained on ``pages`` made-up pages; the same seed gives the same weights."""
     rng = np.random.default_rng(seed)
     grammar, model = Grammar(rng), Labeller.fresh(rng)
@@ -476,7 +596,7 @@ def train(pages: int = 2400, epochs: int = 4, seed: int = SEED, batch: int = 25)
         groups = [order[k : k + batch] for k in range(0, len(order), batch)]
         rng.shuffle(groups)
         for group in groups:
-            model.step([made[k][0] for k in group], [made[k][1] for k in group], state, 0.01 / (1 + epoch))
+            model.step([made[k][0] for k in group], [made[k][1] for k in group], state, 0.01 * (1 - epoch / epochs))
     return model
 
 
