@@ -585,8 +585,9 @@ class Grammar:
         return found, np.array(labels, dtype=np.float32)
 
 
+@lru_cache(maxsize=1)
 def train(pages: int = 4000, epochs: int = 6, seed: int = SEED, batch: int = 25) -> Labeller:
-    """A labeller trained on ``pages`` made-up pages; the same seed gives the same weights."""
+    """A labeller trained on ``pages`` made-up pages, once a process; the same seed gives the same weights."""
     rng = np.random.default_rng(seed)
     grammar, model = Grammar(rng), Labeller.fresh(rng)
     made = [(vectors(f), y) for f, y in (grammar.page() for _ in range(pages)) if len(f)]
