@@ -40,6 +40,8 @@ INTENTS = [
     ("neutral_question", 0.75, [r"\b(who\s+is\s+this|where\s+did\s+you\s+get|how\s+did\s+you\s+find)\b", r"\b(are\s+you\s+an\s+agency|what\s+services\s+do\s+you\s+provide)\b"]),
 ]
 SHORT_YES = r"\b(yep|ok|okay)\b"
+#: What a lone word of assent is said to match.
+SHORT_MATCH = "short_affirmative_word"
 MAX_RETRIES, BACKOFF_MINUTES = 4, 30
 #: Stages in which no item at all is normal.
 QUIET_STAGES = ["bounce_check", "clean_duplicate_outreach", "clean_duplicates", "fetch_imap_replies"]
@@ -69,18 +71,21 @@ def classify_bounce(dsn: Column, body: Column, subject: Column, sender: Column)
 
 
 def classify_reply(subject: Column, body: Column) -> Column:
-    """Struct (intent, confidence, snippet)."""
+    """Struct (intent, confidence, snippet, matched): ``matched`` is the text of the first pattern that fits, in lower case."""
     text = F.lower(F.concat(F.coalesce(subject, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit(""))))
-    intent, sure = None, None
+    intent, sure, matched = None, None, None
     for name, confidence, patterns in INTENTS:
+        first = F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in patterns))
         hit = text.rlike("|".join(patterns))
         intent = F.when(hit, name) if intent is None else intent.when(hit, name)
         sure = F.when(hit, confidence) if sure is None else sure.when(hit, confidence)
+        matched = F.when(hit, first) if matched is None else matched.when(hit, first)
     short = text.rlike(SHORT_YES)
     return F.struct(
         intent.when(short, "positive_interest").otherwise("unknown").alias("intent"),
         sure.when(short, 0.80).otherwise(0.50).alias("confidence"),
         F.substring(F.trim(F.coalesce(body, F.lit(""))), 1, 400).alias("snippet"),
+        matched.when(short, F.lit(SHORT_MATCH)).alias("matched"),
     )
 
 

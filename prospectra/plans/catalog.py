@@ -322,8 +322,10 @@ def sql_spaced(rows: str, keys: str, ts: str, seconds: int) -> str:
 query("bounce_dedup", sql_spaced(f"(SELECT id, email, {BTYPE} AS bounce_type, ts FROM {V.sql(V.BOUNCES)} v WHERE {NOTICE})", "email, bounce_type", "ts", 86400))(lambda spark, d: feeds.bounce_dedup(bounces(spark, d).select("id", "email", "bounce_type", "ts")))
 RTEXT = "lower(coalesce(subject, '') || chr(10) || coalesce(body, ''))"
 INTENT = lambda i: [(f"regexp_matches({RTEXT}, '{'|'.join(p).replace(chr(39), chr(39) * 2)}')", f"'{n}'" if i == 0 else str(c)) for n, c, p in feeds.INTENTS] + [(f"regexp_matches({RTEXT}, '{feeds.SHORT_YES}')", "'positive_interest'" if i == 0 else "0.8")]
-query("classify_reply", f"SELECT id, {sql_case(INTENT(0), "'unknown'")} AS intent, CAST({sql_case(INTENT(1), '0.5')} AS DOUBLE) AS confidence FROM {V.sql(V.REPLIES)} v")(
-    lambda spark, d: V.frame(spark, d, V.REPLIES).select("id", feeds.classify_reply(F.col("subject"), F.col("body")).alias("r")).select("id", "r.intent", F.col("r.confidence").cast("double").alias("confidence"))
+SINGLE = lambda p: p.replace("'", "''")
+MATCHED = [(f"regexp_matches({RTEXT}, '{SINGLE(p)}')", f"regexp_extract({RTEXT}, '{SINGLE(p)}', 0)") for _, _, ps in feeds.INTENTS for p in ps] + [(f"regexp_matches({RTEXT}, '{feeds.SHORT_YES}')", "'short_affirmative_word'")]
+query("classify_reply", f"SELECT id, {sql_case(INTENT(0), "'unknown'")} AS intent, CAST({sql_case(INTENT(1), '0.5')} AS DOUBLE) AS confidence, {sql_case(MATCHED, 'NULL')} AS matched FROM {V.sql(V.REPLIES)} v")(
+    lambda spark, d: V.frame(spark, d, V.REPLIES).select("id", feeds.classify_reply(F.col("subject"), F.col("body")).alias("r")).select("id", "r.intent", F.col("r.confidence").cast("double").alias("confidence"), "r.matched")
 )
 RETRY = f"SELECT company_id, domain, CAST(retry_count + 1 AS INT) AS attempt, retry_count + 1 > 4 AS dead_letter, CASE WHEN retry_count + 1 <= 4 THEN ts + to_minutes(CAST(pow(2, retry_count + 1) * 30 AS BIGINT)) END AS next_retry_at FROM {V.sql(V.FAILURES)} v WHERE ({EXCLUDED}) = '' AND {RETRYABLE}"
 query("retry_schedule", RETRY)(lambda spark, d: feeds.retry_schedule(V.frame(spark, d, V.FAILURES)))

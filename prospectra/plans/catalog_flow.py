@@ -140,8 +140,18 @@ query(
 )(lambda spark, d: intake.upsert_opportunities(V.frame(spark, d, DEALS).where("id % 2 = 0"), V.frame(spark, d, DEALS).where("id % 2 = 1")))
 query(
     "append_history",
-    f"SELECT c.id, greatest(c.last_crawled_at, e.seen) AS last_crawled_at FROM {V.sql(V.COMPANIES)} c LEFT JOIN (SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id) e ON e.user_id = c.id",
-)(lambda spark, d: intake.append_history(V.frame(spark, d, V.SIGNALS).where("id < 0"), V.frame(spark, d, V.SIGNALS), V.frame(spark, d, V.COMPANIES), "ts")[1].select("id", "last_crawled_at"))
+    f"SELECT c.id, greatest(c.last_crawled_at, e.seen) AS last_crawled_at, coalesce(n_rows, 0) AS n_rows, confidence FROM {V.sql(V.COMPANIES)} c LEFT JOIN (SELECT company_id, max(CASE WHEN id % 2 = 1 THEN ts END) AS seen, count(*) AS n_rows, sum(confidence) AS confidence FROM {V.sql(V.SIGNALS)} s GROUP BY company_id) e ON e.company_id = c.id",
+)(lambda spark, d: appended(spark, d))
+
+
+def appended(spark, d):
+    """Both results: the longer history, counted by company, beside the companies' times."""
+    signals = V.frame(spark, d, V.SIGNALS)
+    history, touched = intake.append_history(signals.where("id % 2 = 0"), signals.where("id % 2 = 1"), V.frame(spark, d, V.COMPANIES), "ts")
+    rows = history.groupBy("company_id").agg(F.count("*").alias("n_rows"), F.sum("confidence").alias("confidence"))
+    return touched.join(rows, F.col("id") == F.col("company_id"), "left").select("id", "last_crawled_at", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "confidence")
+
+
 BARE = "(website_url IS NULL OR ends_with(domain, '.local'))"
 query(
     "upgrade_no_website",

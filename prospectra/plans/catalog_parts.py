@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prospectra.operators import page_parts
+from prospectra.operators import feeds, page_parts, websites
 from prospectra.plans import catalog as C
 from prospectra.plans import views as V
 from prospectra.plans.catalog import query
@@ -132,3 +132,41 @@ def located(spark, d):
     lookups.write_lookup(areas, folder, "area_codes", 2)
     table = lookups.read_lookup_table(spark, folder, "area_codes", "area_code")
     return lookups.locate_phones(V.frame(spark, d, CALLED), table).select("id", "phone_forms.dotted", "phone_forms.compact", "state", "city")
+
+# ---- websites and worklists
+OFFERED = """
+SELECT l_orderkey AS company_id, CASE l_orderkey % 4 WHEN 0 THEN 'Harbor Oak Plumbing LLC' WHEN 1 THEN 'The Roofing Co' WHEN 2 THEN 'A1' ELSE 'Zenith Dental' END AS name, l_linenumber AS position,
+  CASE l_suppkey % 9 WHEN 0 THEN 'https://www.harboroak.com/x' WHEN 1 THEN 'http://harbor.net' WHEN 2 THEN 'https://m.facebook.com/harboroak' WHEN 3 THEN 'ftp://zenithdental.org/a?b' WHEN 4 THEN 'https://apple.de' WHEN 5 THEN 'mailto:a@harbor.com' WHEN 6 THEN 'https://roofing.io'
+    WHEN 7 THEN '//oak.harbor' ELSE 'https://yelp.com/biz' END AS link
+FROM {lineitem}
+"""
+GOOD = "(VALUES (0, 'harbor oak', 'https://harboroak.com', 2), (0, 'harbor oak', 'http://harbor.net', 1), (0, 'harbor oak', 'https://oak.harbor', 1), (1, 'roofing', 'https://roofing.io', 1), (3, 'zenith dental', 'https://zenithdental.org', 2)) g(part, words, site, n)"
+SITES = "(VALUES (0, 'https://harboroak.com'), (1, 'http://harbor.net'), (3, 'https://zenithdental.org'), (6, 'https://roofing.io'), (7, 'https://oak.harbor')) s(kind, site)"
+query(
+    "best_website",
+    f"SELECT company_id, arg_min(site, rank) AS website FROM (SELECT l_orderkey AS company_id, s.site, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_orderkey % 4 = 2 THEN 1 ELSE g.n END DESC, l_linenumber, s.site) AS rank FROM lineitem JOIN {SITES} ON s.kind = l_suppkey % 9 "
+    f"LEFT JOIN {GOOD} ON g.part = l_orderkey % 4 AND g.site = s.site WHERE g.n IS NOT NULL OR l_orderkey % 4 = 2) x GROUP BY company_id",
+)(lambda spark, d: websites.best_website(V.frame(spark, d, OFFERED)))
+query(
+    "retries_first",
+    f"SELECT 0 AS place, company_id, domain, 'https://' || domain AS website_url, attempt AS retry_count FROM (SELECT * FROM ({C.RETRY}) r WHERE NOT dead_letter AND next_retry_at <= TIMESTAMP '2024-01-15 00:00:00' ORDER BY next_retry_at, company_id LIMIT 10) d "
+    f"UNION ALL SELECT 1, id, domain, website_url, 0 FROM {V.sql(V.COMPANIES)} c WHERE website_url IS NOT NULL",
+)(lambda spark, d: websites.retries_first(feeds.due_retries(feeds.retry_schedule(V.frame(spark, d, V.FAILURES)), F.lit("2024-01-15").cast("timestamp"), 10), V.frame(spark, d, V.COMPANIES).where("website_url is not null")))
+LANDED = "SELECT CASE WHEN page_id % 3 = 0 THEN 'site' || CAST(page_id AS STRING) || '.com' END AS domain, url AS source_url, CASE page_id % 5 WHEN 0 THEN NULL ELSE 200 + page_id % 300 END AS http_status, html AS raw_html, page_id % 900 AS ttfb_ms, CASE WHEN page_id % 7 = 0 THEN 'timeout' END AS error, 'nginx' AS server FROM {pages}"
+FAILED = "(http_status IS NULL OR error IS NOT NULL)"
+query(
+    "read_pages",
+    f"SELECT coalesce(domain, {C.HOST.format('source_url')}) AS domain, source_url, CASE WHEN {FAILED} THEN 0 ELSE http_status END AS http_status, CASE WHEN {FAILED} THEN NULL ELSE server END AS server, CASE WHEN {FAILED} THEN 0 ELSE length(raw_html) END AS n_chars, CASE WHEN NOT {FAILED} THEN ttfb_ms END AS ttfb_ms FROM {V.sql(LANDED)} l",
+)(lambda spark, d: landed_pages(spark, d))
+
+
+def landed_pages(spark, d):
+    """The pages go through files of JSON records."""
+    import uuid
+
+    from prospectra.operators.lineage import shared_folder
+    from prospectra.sources import tables
+
+    path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    V.frame(spark, d, LANDED).withColumn("headers", F.create_map(F.lit("server"), F.col("server"))).drop("server").write.json(path)
+    return tables.read_pages(spark, path).select("domain", "source_url", "http_status", F.col("headers")["server"].alias("server"), F.char_length("raw_html").alias("n_chars"), "ttfb_ms")

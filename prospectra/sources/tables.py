@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospectra.functions.extract import infer_employer_domain
-from prospectra.functions.text import split_job_title, visible_text
+from prospectra.functions.text import normalize_domain, split_job_title, visible_text
 from prospectra.operators.leads import role_class
 from prospectra.operators.relational import first_by, latest_by
 
@@ -53,6 +53,28 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
 
 
+PAGE = "domain string, source_url string, http_status int, headers map<string,string>, raw_html string, ttfb_ms int, error string"
+
+
+def read_pages(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
+    """Landed pages of a crawl: ``domain, source_url, http_status, headers, raw_html, ttfb_ms``.
+
+    A fetch that failed, one with an ``error`` or without a status, is a row with status 0, no headers, no time and an empty
+    text. A missing domain is that of the address; a line that is no record is left out.
+    """
+    rows = spark.read.schema(PAGE).format(kind).load(path).where("source_url is not null or domain is not null")
+    failed = F.coalesce(F.col("error") != "", F.lit(False)) | F.col("http_status").isNull()
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return rows.select(
+        F.coalesce(F.nullif("domain", F.lit("")), normalize_domain(F.col("source_url"))).alias("domain"),
+        "source_url",
+        F.when(failed, 0).otherwise(F.col("http_status")).alias("http_status"),
+        F.when(failed, none).otherwise(F.coalesce("headers", none)).alias("headers"),
+        F.when(failed, "").otherwise(F.coalesce("raw_html", F.lit(""))).alias("raw_html"),
+        F.when(~failed, F.col("ttfb_ms")).alias("ttfb_ms"),
+    )
+
+
 def _items(payload: Column, items: str, fields: list[str]) -> Column:
     """The array of a JSON payload, or the payload itself for "", as structs of text fields; null where it is no such JSON."""
     row = "array<struct<" + ",".join(f"`{f}`:string" for f in fields) + ">>"

@@ -211,3 +211,16 @@ def test_golden_versions_and_fields(spark):
     none = empty.select(extract.infer_employer_domain(c, c), extract.extract_name_title(c), extract.dsn_code(c, c), extract.bounce_recipient(c, c, c, c)).collect()
     assert all(v is None for r in none for v in r)
     assert [len(r[0]) for r in empty.select(extract.parse_stack(c)).collect()] == [0, 0]
+
+
+def test_probe_verdicts_do_not_depend_on_the_order_of_answers(spark):
+    """Several answers of one host for one address are a tie that the other columns break."""
+    from prospectra.operators import outreach
+
+    rows = [("a@m.com", 0, 550, "user unknown", False, "zoho"), ("a@m.com", 0, 250, "ok", True, "custom_smtp"), ("b@m.com", 0, 450, "later", False, "zoho"), ("b@m.com", 0, 0, "no", False, "zoho"), ("b@m.com", 1, 0, "no", False, "zoho")]
+    seen = set()
+    for seed in range(6):
+        random.Random(seed).shuffle(rows)
+        frame = spark.createDataFrame(rows, "email string, mx_idx int, code int, message string, catch_all boolean, provider string").coalesce(1)
+        seen.add(str(sorted(map(tuple, outreach.classify_probe(frame).collect()))))
+    assert seen == {"[('a@m.com', 'catch_all', 40.0), ('b@m.com', 'connection_failed', 0.0)]"}

@@ -55,3 +55,18 @@ def test_report_is_written_in_order(spark, tmp_path):
     lines = [r.value.split(",") for r in spark.read.text(path).where("value not like 'Company ID%'").collect()]
     assert [(x[0], x[3], x[4], x[5], x[8]) for x in lines] == [("3", "IMMEDIATE", "100.0", "B", "VALID"), ("2", "UNSCORED", "10.0", '""', '""'), ("1", "LOW", "10.0", '""', '""'), ("4", "UNSCORED", "N/A", '""', '""')]
     assert {r["Company ID"] for r in tables.lead_report(companies, none, scores, people, 10.0).collect()} == {1, 3}
+
+
+def test_landed_pages(spark, tmp_path):
+    rows = [
+        {"domain": "a.com", "source_url": "https://a.com/", "http_status": 200, "headers": {"Server": "x"}, "raw_html": "<p>hi</p>", "ttfb_ms": 12},
+        {"source_url": "https://www.B.com/path", "http_status": 404},
+        {"domain": "c.com", "source_url": "https://c.com/", "http_status": 200, "raw_html": "partial", "ttfb_ms": 3, "error": "reset"},
+        {"domain": "d.com", "source_url": "https://d.com/", "error": "timeout"},
+    ]
+    (tmp_path / "pages.json").write_text("\n".join(map(json.dumps, rows)) + "\nno record\n{}\n")
+    got = {r.domain: r for r in tables.read_pages(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.com", "b.com", "c.com", "d.com"}
+    assert (got["a.com"].http_status, got["a.com"].headers, got["a.com"].raw_html, got["a.com"].ttfb_ms) == (200, {"Server": "x"}, "<p>hi</p>", 12)
+    assert (got["b.com"].http_status, got["b.com"].headers, got["b.com"].raw_html) == (404, {}, "")
+    assert all((got[d].http_status, got[d].headers, got[d].raw_html, got[d].ttfb_ms) == (0, {}, "", None) for d in ("c.com", "d.com"))
