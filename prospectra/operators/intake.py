@@ -16,6 +16,8 @@ from .textjoin import contained
 DIRECTORY_INDUSTRY = {"clutch": "Software & Web Development", "goodfirms": "Software & Web Development", "yelp": "Commercial Business & Services"}
 LOCAL_INDUSTRY = "Local Business & Services"
 PRIVACY_WORDS = ["privacy", "proxy", "whoisguard", "redacted", "withheld", "domainsbyproxy", "superprivacy", "contactprivacy", "identityprotect", "anonymouse", "cloudflareregistrar", "abuse@"]
+# fixed values: industry and confidence of a posting whose feed gives none
+POSTING_INDUSTRY, POSTING_CONFIDENCE = "Commercial Web & Software Applications", 60.0
 NEW_WEBSITE = ("new_website_creation", "Turnkey High-Converting Web & Online Booking Portal", 2500, 5000, 1.0)
 
 
@@ -107,6 +109,26 @@ def ingest_listings(listings: DataFrame, companies: DataFrame) -> dict[str, Data
     }
 
 
+def ingest_postings(postings: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New companies from job postings, and one hiring signal for each.
+
+    A posting (``id``, ``company_name``, ``domain``, ``job_title``, ``summary``, ``source``, ``job_url``, ``confidence``,
+    ``default_industry``) is classified by its company, title and text and goes through ``ingest_candidates``; later postings of a
+    company that was just taken, and those of known companies and agencies, give nothing.
+    """
+    filled = lambda c: F.coalesce(F.col(c), F.lit(""))
+    text = F.concat_ws(" ", filled("company_name"), filled("job_title"), filled("summary"))
+    industry = F.coalesce(classify_industry(text, default=None), F.coalesce("default_industry", F.lit(POSTING_INDUSTRY)))
+    project = F.concat(F.lit("Hiring: "), filled("job_title"), F.lit(" - "), F.substring(filled("summary"), 1, 150))
+    candidates = postings.select(
+        "id", F.col("company_name").alias("name"), "domain", F.concat(F.lit("https://"), "domain").alias("website_url"), industry.alias("industry"), "source", project.alias("summary"), "job_title", F.col("summary").alias("snippet"),
+        F.coalesce(F.nullif("job_url", F.lit("")), F.concat(F.lit("https://"), "domain")).alias("job_url"), F.coalesce("confidence", F.lit(POSTING_CONFIDENCE)).alias("confidence"),
+    )
+    taken, _ = ingest_candidates(candidates, companies)
+    signal = taken.select("domain", F.lit("active_hiring_intent").alias("type"), "confidence", "job_title", F.substring(F.coalesce("snippet", F.lit("")), 1, 250).alias("snippet"), "job_url", F.lit("engineering_capacity_shortage").alias("intent_type"))
+    return taken.drop("job_title", "snippet", "job_url", "confidence"), signal
+
+
 def ingest_freelance_posts(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Posts (``id``, ``title``, ``company``, ``description``, ``keyword``) as companies, one a domain with the latest project, and a signal for each post."""
     budget, spend = extract_budget(F.col("description")), extract_client_spend(F.col("description"))

@@ -138,6 +138,32 @@ def buying_signal(signals: DataFrame) -> DataFrame:
     return sums.select("company_id", F.round(clamp(25.0 + F.col("t") + F.least(F.lit(40.0), "k")), 2).alias("buying_signal"))
 
 
+def buying_attribution(signals: DataFrame) -> DataFrame:
+    """What ``buying_signal`` is made of: rows ``company_id, reason, points, confidence, skills``.
+
+    Every company with signals has a row for its baseline, one for each signal that counts, and one for its skills, which
+    are named with their points and together count 40 at most. Points are rounded to two places.
+    """
+    conf, kind = normalize_confidence(F.col("confidence")), F.col("type")
+    spent = lookup(kind, PAST_SPEND) * F.greatest(F.lit(0.6), conf)
+    reason = (
+        F.when(spent.isNotNull(), F.concat(F.lit("past_spend_"), kind))
+        .when(kind == "hiring_ats_detected", "ats_detected")
+        .when(kind == "career_page_detected", "career_page")
+        .when(kind.isin("funding_round", "company_growth_award", "client_scale_expansion"), F.concat(F.lit("growth_"), kind))
+        .otherwise(kind)
+    )
+    points = F.coalesce(spent, lookup(kind, SIGNALS) * conf)
+    none = F.array().cast("array<string>")
+    counted = signals.select("company_id", reason.alias("reason"), F.round(points, 2).alias("points"), conf.alias("confidence"), none.alias("skills")).where("points is not null")
+    base = signals.select("company_id").distinct().select("company_id", F.lit("baseline_signals_present").alias("reason"), F.lit(25.0).alias("points"), F.lit(1.0).alias("confidence"), none.alias("skills"))
+    weight = F.coalesce(*(F.when(F.lower("skill") == k, F.lit(v)) for k, v in SKILLS.items()), F.lit(15.0))
+    named = signals.where(kind == "hiring_skill_match").select("company_id", "id", F.posexplode("skills").alias("at", "skill"), conf.alias("conf")).withColumn("p", weight * F.col("conf"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("id", "at", F.format_string("%s (+%.1f)", F.lower("skill"), F.col("p")).alias("text")))), lambda x: x["text"])
+    skills = named.groupBy("company_id").agg(F.lit("hiring_skills_capped").alias("reason"), F.round(F.least(F.lit(40.0), F.round(F.sum("p"), 6)), 2).alias("points"), F.lit(None).cast("double").alias("confidence"), told.alias("skills"))
+    return base.unionByName(counted).unionByName(skills.where("points > 0"))
+
+
 def contact_quality() -> Column:
     base = 50.0 + F.when(F.coalesce("website_url", F.lit("")) != "", 25.0).otherwise(0.0) + F.when(F.contains(F.coalesce("domain", F.lit("")), F.lit(".")), 25.0).otherwise(0.0)
     return F.least(F.lit(100.0), base + F.coalesce("n_contacts", F.lit(0)) * 10.0)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prospectra.functions import domains as D
 from prospectra.operators import feeds, page_parts, websites
 from prospectra.plans import catalog as C
+from prospectra.plans import catalog_flow as FLOW
 from prospectra.plans import views as V
 from prospectra.plans.catalog import query
 
@@ -170,3 +172,45 @@ def landed_pages(spark, d):
     path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
     V.frame(spark, d, LANDED).withColumn("headers", F.create_map(F.lit("server"), F.col("server"))).drop("server").write.json(path)
     return tables.read_pages(spark, path).select("domain", "source_url", "http_status", F.col("headers")["server"].alias("server"), F.char_length("raw_html").alias("n_chars"), "ttfb_ms")
+
+# ---- job postings and the parts of the buying score
+JOBS = """
+SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Acme Web Agency' WHEN 1 THEN 'Firm ' || CAST(p_partkey % 300 AS STRING) || ' LLC' WHEN 2 THEN 'Plain Works ' || CAST(p_partkey % 40 AS STRING) ELSE 'Dental ' || CAST(p_partkey % 500 AS STRING) END AS company_name,
+  CASE p_partkey % 7 WHEN 0 THEN 'nodot' WHEN 1 THEN 'biz' || CAST(p_partkey % 60 AS STRING) || '.com' ELSE 'hire' || CAST(p_partkey % 700 AS STRING) || '.com' END AS domain, 'Engineer ' || CAST(p_partkey % 9 AS STRING) AS job_title,
+  CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'freight and shipping tools' ELSE 'a plain text of the post' END AS summary, 'rss' AS source, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'https://jobs/' || CAST(p_partkey AS STRING) END AS job_url,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(70 AS DOUBLE) END AS confidence, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE 'Custom Apps' END AS default_industry
+FROM {part}
+"""
+KIND_OF = lambda text: C.sql_case([(C.sql_contains(f"lower({text})", words), f"'{label}'") for label, words in D.INDUSTRIES.items()], "NULL")
+SEEN = f"SELECT *, coalesce({KIND_OF("company_name || ' ' || job_title || ' ' || coalesce(summary, '')")}, default_industry, 'Commercial Web & Software Applications') AS industry, company_name AS name, 'Hiring: ' || job_title || ' - ' || substr(coalesce(summary, ''), 1, 150) AS project FROM {V.sql(JOBS)} j"
+ASKED = f"(SELECT id, name, industry, project, job_title, summary, job_url, confidence, {C.HOST.format('domain')} AS domain, coalesce(nullif({C.NAME}, ''), 'id:' || CAST(id AS VARCHAR)) AS slug FROM ({SEEN}) s)"
+OPEN_JOBS = f"(SELECT * FROM {ASKED} p WHERE contains(domain, '.') AND NOT {C.sql_contains(C.ALL_TEXT, D.AGENCY_WORDS)} AND domain NOT IN (SELECT {C.HOST.format('domain')} FROM {V.sql(V.COMPANIES)} k) AND slug NOT IN (SELECT {C.NAME} FROM {V.sql(V.COMPANIES)} k))"
+query(
+    "ingest_postings",
+    f"SELECT domain, coalesce({KIND_OF("name || ' ' || industry || ' ' || project")}, industry) AS industry, job_title, coalesce(summary, '') AS snippet, coalesce(nullif(job_url, ''), 'https://' || domain) AS job_url, coalesce(confidence, 60.0) AS confidence FROM ({FLOW.sql_greedy(OPEN_JOBS)}) g",
+)(lambda spark, d: posted(spark, d))
+
+
+def posted(spark, d):
+    from prospectra.operators import intake
+
+    taken, signals = intake.ingest_postings(V.frame(spark, d, JOBS), V.frame(spark, d, V.COMPANIES))
+    return taken.select("domain", "industry").join(signals, "domain").select("domain", "industry", "job_title", "snippet", "job_url", "confidence")
+
+
+SKILLED = V.SIGNALS.replace("event_id AS id,", "event_id AS id, CASE event_id % 3 WHEN 0 THEN 'Laravel' WHEN 1 THEN 'devops' ELSE 'cobol' END AS skill,").replace("WHEN 7 THEN 'missing_phone'", "WHEN 7 THEN 'hiring_skill_match'")
+POINTS_OF = f"CASE type WHEN 'client_past_spend_verified' THEN 45.0 * greatest(0.6, {C.CONF}) WHEN 'directory_client_review' THEN 40.0 * greatest(0.6, {C.CONF}) WHEN 'active_hiring_intent' THEN 25.0 * {C.CONF} WHEN 'hiring_ats_detected' THEN 15.0 * {C.CONF} WHEN 'career_page_detected' THEN 10.0 * {C.CONF} WHEN 'funding_round' THEN 20.0 * {C.CONF} END"
+NAMED_AS = "CASE type WHEN 'client_past_spend_verified' THEN 'past_spend_client_past_spend_verified' WHEN 'directory_client_review' THEN 'past_spend_directory_client_review' WHEN 'hiring_ats_detected' THEN 'ats_detected' WHEN 'career_page_detected' THEN 'career_page' WHEN 'funding_round' THEN 'growth_funding_round' ELSE type END"
+SKILL_POINTS = f"CASE skill WHEN 'Laravel' THEN 30.0 ELSE 15.0 END * {C.CONF}"
+query(
+    "buying_attribution",
+    f"SELECT DISTINCT company_id, 'baseline_signals_present' AS reason, CAST(25.0 AS DOUBLE) AS points, CAST(1.0 AS DOUBLE) AS confidence, 0 AS n_skills FROM {V.sql(SKILLED)} a UNION ALL SELECT company_id, {NAMED_AS}, CAST(round({POINTS_OF}, 2) AS DOUBLE), CAST({C.CONF} AS DOUBLE), 0 FROM {V.sql(SKILLED)} b WHERE {POINTS_OF} IS NOT NULL "
+    f"UNION ALL SELECT company_id, 'hiring_skills_capped', CAST(round(least(40.0, round(sum({SKILL_POINTS}), 6)), 2) AS DOUBLE) AS p, NULL, count(*) FROM {V.sql(SKILLED)} c WHERE type = 'hiring_skill_match' GROUP BY company_id HAVING sum({SKILL_POINTS}) > 0",
+)(lambda spark, d: attributed(spark, d))
+
+
+def attributed(spark, d):
+    from prospectra.operators import scoring
+
+    signals = V.frame(spark, d, SKILLED).withColumn("skills", F.array("skill"))
+    return scoring.buying_attribution(signals).withColumn("n_skills", F.size("skills")).drop("skills")

@@ -224,3 +224,33 @@ def test_probe_verdicts_do_not_depend_on_the_order_of_answers(spark):
         frame = spark.createDataFrame(rows, "email string, mx_idx int, code int, message string, catch_all boolean, provider string").coalesce(1)
         seen.add(str(sorted(map(tuple, outreach.classify_probe(frame).collect()))))
     assert seen == {"[('a@m.com', 'catch_all', 40.0), ('b@m.com', 'connection_failed', 0.0)]"}
+
+
+def test_buying_score_is_the_sum_of_its_parts(spark):
+    from prospectra.operators import scoring
+
+    rows = [(1, 1, "client_past_spend_verified", 30, None), (2, 1, "hiring_skill_match", 90, ["Laravel", "cobol"]), (3, 1, "hiring_skill_match", None, ["React"]), (4, 1, "unknown", 100, None), (5, 2, "career_page_detected", 50, None), (6, 3, "other", None, None), (7, 4, "funding_round", 0, [])]
+    frame = spark.createDataFrame(rows, "id int, company_id int, type string, confidence int, skills array<string>")
+    parts = {}
+    for r in scoring.buying_attribution(frame).collect():
+        parts.setdefault(r.company_id, {})[r.reason] = (r.points, list(r.skills))
+    assert parts[1] == {"baseline_signals_present": (25.0, []), "past_spend_client_past_spend_verified": (27.0, []), "hiring_skills_capped": (40.0, ["laravel (+27.0)", "cobol (+13.5)", "react (+25.0)"])}
+    assert parts[2] == {"baseline_signals_present": (25.0, []), "career_page": (5.0, [])} and parts[3] == {"baseline_signals_present": (25.0, [])}
+    assert parts[4] == {"baseline_signals_present": (25.0, []), "growth_funding_round": (0.0, [])}
+    scores = {r.company_id: r.buying_signal for r in scoring.buying_signal(frame).collect()}
+    assert scores == {c: min(100.0, sum(p for p, _ in x.values())) for c, x in parts.items()}
+
+
+def test_postings_give_one_signal_a_company(spark):
+    from prospectra.operators import intake
+
+    schema = "id int, company_name string, domain string, job_title string, summary string, source string, job_url string, confidence double, default_industry string"
+    rows = [
+        (1, "Bright Dental", "bright.com", "PHP developer", "x" * 400, "rss", "", None, None), (2, "Bright Dental LLC", "else.com", "Other", None, "rss", "u", 70.0, "Apps"), (3, "Acme Software Development", "acme.com", "Dev", "", "rss", "u", 70.0, "Apps"),
+        (4, "Old", "old.com", "Dev", "", "rss", "u", 70.0, "Apps"), (5, "Quiet", "quiet.org", None, None, "rss", None, 75.0, "Apps"), (6, "None", None, "Dev", "", "rss", "u", 70.0, "Apps"),
+    ]
+    taken, signals = intake.ingest_postings(spark.createDataFrame(rows, schema), spark.createDataFrame([(1, "Gone", "old.com")], "id int, name string, domain string"))
+    assert sorted((r.domain, r.industry) for r in taken.collect()) == [("bright.com", "Healthcare & Life Sciences"), ("quiet.org", "Apps")]
+    got = {r.domain: r for r in signals.collect()}
+    assert (got["bright.com"].confidence, got["bright.com"].job_url, len(got["bright.com"].snippet), got["bright.com"].job_title) == (60.0, "https://bright.com", 250, "PHP developer")
+    assert (got["quiet.org"].confidence, got["quiet.org"].job_url, got["quiet.org"].snippet) == (75.0, "https://quiet.org", "")
