@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from .text import contains_any, first_keyword
 
 # fixed values: directory, social, job, search and media sites
-AGGREGATORS = """
-localsearch.com localsearch.com.au yellowpages.com yellowpages.com.au whitepages.com whitepages.com.au yelp.com yelp.com.au
-truelocal.com.au hotfrog.com.au hotfrog.com womo.com.au dnb.com zoominfo.com bloomberg.com crunchbase.com bbb.org
-tripadvisor.com tripadvisor.com.au clutch.co bark.com checkatrade.com angi.com thumbtack.com facebook.com instagram.com
-linkedin.com twitter.com x.com youtube.com tiktok.com pinterest.com reddit.com upwork.com fiverr.com freelancer.com
-indeed.com seek.com.au google.com google.com.au bing.com yahoo.com wikipedia.org dailymail.com dailymail.co.uk
-mailonsunday.co.uk outfit7.com talkingtomandfriends.com privo.com nytimes.com bbc.com cnn.com forbes.com reuters.com
-theguardian.com foxnews.com usatoday.com wsj.com washingtonpost.com
-""".split()
+AGGREGATORS = [
+    "localsearch.com", "localsearch.com.au", "yellowpages.com", "yellowpages.com.au", "whitepages.com", "whitepages.com.au", "yelp.com", "yelp.com.au", "truelocal.com.au", "hotfrog.com.au",
+    "hotfrog.com", "womo.com.au", "dnb.com", "zoominfo.com", "bloomberg.com", "crunchbase.com", "bbb.org", "tripadvisor.com", "tripadvisor.com.au", "clutch.co", "bark.com", "checkatrade.com",
+    "angi.com", "thumbtack.com", "facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com", "youtube.com", "tiktok.com", "pinterest.com", "reddit.com", "upwork.com", "fiverr.com",
+    "freelancer.com", "indeed.com", "seek.com.au", "google.com", "google.com.au", "bing.com", "yahoo.com", "wikipedia.org", "dailymail.com", "dailymail.co.uk", "mailonsunday.co.uk",
+    "outfit7.com", "talkingtomandfriends.com", "privo.com", "nytimes.com", "bbc.com", "cnn.com", "forbes.com", "reuters.com", "theguardian.com", "foxnews.com", "usatoday.com", "wsj.com",
+    "washingtonpost.com",
+]
 # fixed values: failures that a later attempt cannot mend
 PERMANENT_STATUS = [400, 401, 403, 404, 405, 410, 451]
 PERMANENT_ERRORS = ["nodename nor servname", "name or service not known", "nxdomain", "could not resolve host", "dns_probe_finished_nxdomain", "err_name_not_resolved"]

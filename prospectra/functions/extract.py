@@ -76,6 +76,7 @@ def parse_json_detail(raw: Column) -> Column:
 
 def extract_name_title(snippet: Column) -> Column:
     """Struct (full_name, first_name, last_name, title) of an executive named in a text; null for none."""
+    # fixed values: the pattern of an executive's name and title
     name = _found(snippet, r"(?i)([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})\s*[-–—:|]\s*(?:Co-Founder|Founder|CEO|Owner|President|Managing Director|CTO|Principal)")
     parts = F.split(F.trim(name), r"\s+")
     title = F.coalesce(*(F.when(snippet.rlike(rf"(?i)\b{t}\b"), F.lit(t)) for t in TITLES), F.lit("Founder / Executive"))
@@ -86,6 +87,7 @@ def bounce_recipient(report: Column, body: Column, to: Column, own: Column) -> C
     """Address that bounced: of the delivery report, else of the body, else of the To header; never one's own."""
     bare = lambda c: F.regexp_replace(F.lower(c), r"^[<>.,;]+|[<>.,;]+$", "")
     other = lambda c: F.when(bare(c) != F.lower(_text(own)), bare(c))
+    # fixed values: patterns of delivery notices
     named = _found(report, r"(?i)(?:Final-Recipient|Original-Recipient):\s*(?:rfc822;?)?\s*(\S+@\S+)")
     patterns = [r"(?i)(?:delivery to|message to|sent to|recipient)[:\s]*<?(\S+@\S+\.[A-Za-z0-9_]+)>?", r"<(\S+@\S+\.[A-Za-z0-9_]+)>", r"(?i)(\S+@\S+\.[A-Za-z0-9_]+)\s+(?:failed|rejected|undeliverable)"]
     header = F.coalesce(_found(to, r"<([^<>\s]+@[^<>\s]+)>"), _found(to, r"([^<>\s]+@[^<>\s]+)"))

@@ -43,6 +43,7 @@ def evidence_gate(rows: DataFrame) -> DataFrame:
     stack = F.array_join("frontend", ", ")
     has_stack = F.coalesce(F.size("frontend") > 0, F.lit(False))
     seconds = lambda ms: F.format_string("%.1f", F.col(ms) / 1000)
+    # fixed values: phrases of evidence
     libraries = F.when(has_stack, F.concat(F.lit("legacy frontend libraries ("), stack, F.lit(")")))
     speed = F.coalesce(
         F.when(F.col("lcp_ms") > 0, F.concat(F.lit("Core Web Vitals Largest Contentful Paint of "), seconds("lcp_ms"), F.lit("s"))),

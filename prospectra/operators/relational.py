@@ -34,11 +34,17 @@ def top_per_key(df: DataFrame, key: str, order: list[Column], n: int | None) ->
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: str, exempt: Column | None = None) -> DataFrame:
-    """Rows that come first for their keys; exempt rows all stay."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    marked = df.withColumn("__rank", rank)
-    keep = F.col("__rank") == 1
-    return marked.where(keep if exempt is None else keep | exempt).drop("__rank")
+    """Rows that come first for their keys, by a partial aggregation before the shuffle; exempt rows all stay and go to no group.
+
+    Rows of one order go by their columns.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    place = F.struct(F.col(order), row)
+    spared = F.lit(False) if exempt is None else F.coalesce(exempt, F.lit(False))
+    names = [f"__key{i}" for i in range(len(keys))]
+    grouped = df.where(~spared).select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), row.alias("row"), place.alias("place"))
+    first = grouped.groupBy(*names).agg(F.min_by("row", "place").alias("row")).select("row.*")
+    return first if exempt is None else first.unionByName(df.where(spared))
 
 
 def merge_snapshot(old: DataFrame, new: DataFrame, key: str, keep_old: list[str], new_wins: list[str]) -> DataFrame:
