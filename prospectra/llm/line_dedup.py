@@ -101,10 +101,23 @@ def _keyed_lines(lines: DataFrame, levels: list[tuple[int, int, int | None]]) ->
     long_from = p["parts"] - length % p["parts"]
     start = (length / p["parts"]).cast("int") * p["i"] + F.greatest(p["i"] - long_from, F.lit(0)) + p["s"]
     size = (length / p["parts"]).cast("int") + F.when(p["i"] >= long_from, 1).otherwise(0)
-    rows = lines.select("line").distinct().select("line", F.xxhash64("line").alias("lid"), F.char_length("line").alias("n"))
-    rows = rows.select("lid", "line", "n", F.explode(probes).alias("p")).select("lid", "line", "n", "p", start.alias("start"), size.alias("size"), length.alias("length"))
+    # where each character is a byte, segments are cut from the bytes, without counting characters from the start each time
+    ascii_ = F.when(F.octet_length("line") == F.char_length("line"), F.col("line").cast("binary"))
+    rows = lines.select("line").distinct().select("line", ascii_.alias("ascii"), F.xxhash64("line").alias("lid"), F.char_length("line").alias("n"))
+    rows = rows.select("lid", "line", "ascii", "n", F.explode(probes).alias("p")).select("lid", "line", "ascii", "n", "p", start.alias("start"), size.alias("size"), length.alias("length"))
     rows = rows.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= n))
-    return rows.select("lid", F.xxhash64(p["level"], "length", p["i"], F.substring(F.col("line"), F.col("start") + 1, F.col("size"))).alias("key"), p["own"].alias("own"))
+    cut = lambda c: F.substring(F.col(c), F.col("start") + 1, F.col("size")).cast("binary")
+    return rows.select("lid", F.xxhash64(p["level"], "length", p["i"], F.coalesce(cut("ascii"), cut("line"))).alias("key"), p["own"].alias("own"))
+
+
+def _met_keys(lines: DataFrame, levels: list[tuple[int, int, int | None]]) -> DataFrame:
+    """The rows of ``_keyed_lines`` whose key one line has as its own segment and another line has too, with ``n``, the rows of the key.
+
+    The sizes of the keys need the same columns in the same places as the join, so that one exchange serves both.
+    """
+    keys = _keyed_lines(lines, levels).repartition("key")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("met"), F.min("lid").alias("low"), F.max("lid").alias("high"))
+    return keys.join(sizes.where("met and low < high").select("key", "n").hint("shuffle_hash"), "key")
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
@@ -176,11 +189,8 @@ def similar_lines(lines: DataFrame, levels: list[tuple[int, int, int | None]], c
     must agree in their letters before they make a pair; the lines of a key of more than ``cell`` are dealt over parts.
     """
     spark = lines.sparkSession
-    keys = scratch(_keyed_lines(lines, levels), "line-keys")
+    held = scratch(_met_keys(lines, levels), "line-keys-met")
     release_shuffles(spark)
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("met")).where("n > 1 and met").select("key", "n")
-    held = scratch(keys.join(sizes, "key"), "line-keys-met")
-    forget(keys)
     ids = held.select("lid").distinct()
     # a table of the first PREFIX_BITS bits of the held ids, never above 2 ** PREFIX_BITS rows, keeps other lines out of the shuffle
     near = lines.select("line", F.xxhash64("line").alias("lid")).withColumn("prefix", F.shiftrightunsigned("lid", 64 - PREFIX_BITS))
@@ -217,11 +227,16 @@ def repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS,
     roots = connected_components(edges).select(F.col("node").alias("lid"), F.col("component").alias("root"))
     release_shuffles(docs.sparkSession)
     lines = lines_of(docs, min_chars, short_lines).select("doc_id", "h1", "h2", "pos", _line_id(F.col("line")).alias("lid"))
-    places = lines.join(roots, "lid", "left").withColumn("class", F.coalesce("root", "lid"))
+    places = scratch(lines.join(roots, "lid", "left").select("doc_id", "h1", "h2", "pos", F.coalesce("root", "lid").alias("class")), "line-places")
+    release_shuffles(docs.sparkSession)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "pos")
-    first = places.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
+    # written, so that the join reads tables on both sides and a class of very many places can be split
+    first = scratch(places.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first"), "line-firsts")
     dropped = places.join(first, "class").where(~((F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2")) & (F.col("pos") == F.col("first.pos"))))
-    return dropped.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    drops = scratch(dropped.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("pos")).alias("drop")), "line-drops")
+    forget(places)
+    forget(first)
+    return drops
 
 
 def _without(text: Column, drop: Column) -> Column:
@@ -246,11 +261,11 @@ def remove_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     h1, h2 = two_hashes(F.col("doc_id"), F.col("text"))
-    drops = scratch(repeated_lines(docs, tau, min_chars, short_lines), "line-drops")
+    drops = repeated_lines(docs, tau, min_chars, short_lines)
     release_shuffles(docs.sparkSession)
     rows = docs.select(F.struct(*keep).alias("row"), h1.alias("h1"), h2.alias("h2")).join(drops, ["h1", "h2"], "left")
     text = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(_without(F.col("row.text"), F.col("drop")))
-    n_lines = F.size(F.split("row.text", "\n", -1))
+    n_lines = F.octet_length("row.text") - F.octet_length(F.replace(F.col("row.text"), F.lit("\n"), F.lit(""))) + 1
     return rows.select(
         *(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in keep),
         F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"),

@@ -208,6 +208,31 @@ def test_line_dedup_matches_brute_force(spark):
     assert sum(n for _, _, n in expected) > 50 and len(want) > 50
 
 
+def test_line_dedup_writes_few_rows_for_unlike_lines(spark, monkeypatch):
+    rng, wrote, write = random.Random(8), Counter(), line_dedup.scratch
+
+    def counted(df, name):
+        out = write(df, name)
+        wrote[name] += out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "scratch", counted)
+    lines = ["".join(rng.choice("abcdefghij klmnopé") for _ in range(60)).strip() for _ in range(200)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(50)], "doc_id long, text string")
+    assert line_dedup.remove_repeated_lines(docs, short_lines=True).agg(F.sum("n_removed")).first()[0] == 0
+    assert sum(wrote.values()) <= 2 * len(lines), wrote  # some eleven keys a line are made
+
+
+def test_line_dedup_across_one_byte_and_longer_characters(spark):
+    base = "the menu of the cafe on the corner of the long street"
+    other = base.replace("cafe", "café")
+    short = "cafe on the corner"
+    docs = spark.createDataFrame([(1, f"{base}\n{short}"), (2, f"{other}\n{other[:-1]}\ncafé on the corner\né{base}"), (3, base.replace("cafe", "カフエ").replace("e", "é"))], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(docs, short_lines=True).collect()}
+    assert [(got[i].n_lines, got[i].n_removed, got[i].text) for i in (1, 2)] == [(2, 0, f"{base}\n{short}"), (4, 4, "")]
+    assert got[3].n_removed == 0 and got[3].n_lines == 1
+
+
 def test_edit_distance_band(spark):
     pairs = [("kitten sitting", "kitten sittin"), ("abcdef", "abdcef"), ("abcdef", "bcdefg"), ("aaaaaa", "aaaa"), ("abcdef", "uvwxyz"), ("a b c d", "a b c  d"), ("x y z", "x z")]
     df = spark.createDataFrame(pairs, "a string, b string")
