@@ -167,7 +167,8 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     spark = distinct.sparkSession  # a small file of fingerprints has few partitions, each of which grows 64-fold
     spread = distinct.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "fp").mapInArrow(keys, "key long, fp long")
     sizes = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    held = spread.join(sizes, "key")
+    # Spark takes the keys, 64 a fingerprint, for no more than their input and would broadcast them
+    held = spread.join(sizes.hint("merge"), "key")
     small = (
         held.where(F.col("n") <= CELL)
         .groupBy("key")
