@@ -6,10 +6,12 @@ feed sees it. Each feed gives the rows of its batch form. The queries need the R
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from decimal import ROUND_HALF_UP, Decimal
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from prospectra.operators import feeds
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+#: Rows that one value of a list state holds.
+BLOCK, BLOCKS = 10_000, "rows binary"
 
 
 def state_store(spark: SparkSession) -> None:
@@ -30,10 +34,25 @@ def micros(t: datetime) -> int:
     return (t.astimezone(timezone.utc) - EPOCH) // timedelta(microseconds=1)
 
 
+def add_rows(state, rows: Iterable[tuple]) -> int | None:
+    """Append rows to a list state, thousands in a value, as every value is a call to the state store; the smallest first column."""
+    rows, least = iter(rows), None
+    while block := list(islice(rows, BLOCK)):
+        state.appendValue((pickle.dumps(block),))
+        here = min(r[0] for r in block)
+        least = here if least is None else min(least, here)
+    return least
+
+
+def rows_of(state) -> list[tuple]:
+    return [r for (block,) in state.get() for r in pickle.loads(block)] if state.exists() else []
+
+
 class InOrder(StatefulProcessor):
     """Holds rows until the watermark has passed their time; ``handle`` sees each key's rows in order of time and ``tie``.
 
-    ``keep_ms`` after a key's last row its state is cleared by a timer.
+    It gets them as tuples, the time in microseconds before the columns. ``keep_ms`` after a key's last row its state is
+    cleared by a timer.
     """
 
     def __init__(self, schema: str, ts: str, tie: str, keep_ms: int):
@@ -41,7 +60,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle_ = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = handle.getListState("waiting", BLOCKS)
         self.timer = handle.getValueState("timer", "at long")
         self.open_state(handle)
 
@@ -51,7 +70,7 @@ class InOrder(StatefulProcessor):
     def clear_state(self) -> None:
         """Forget a key that has been silent."""
 
-    def handle(self, key, rows: list[Row]) -> Iterator[Row]:
+    def handle(self, key, rows: list[tuple]) -> Iterator[Row]:
         raise NotImplementedError
 
     def _wake(self, at_ms: int) -> None:
@@ -65,12 +84,10 @@ class InOrder(StatefulProcessor):
         self.timer.update((at_ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        earliest = None
-        for r in rows:
-            self.waiting.appendValue(tuple(r))
-            at = micros(r[self.ts]) // 1000 + 1
-            earliest = at if earliest is None else min(earliest, at)
-        if earliest is not None:
+        ts = self._names().index(self.ts)
+        first = add_rows(self.waiting, ((micros(r[ts]), *r) for r in rows))
+        if first is not None:
+            earliest = first // 1000 + 1
             known = self.timer.get()[0] if self.timer.exists() else None
             if known is None or earliest < known:
                 self._wake(earliest)
@@ -78,17 +95,17 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        rows = [Row(*self._names())(*r) for r in rows]
-        ready = sorted((r for r in rows if micros(r[self.ts]) < passed), key=lambda r: (r[self.ts], r[self.tie]))
-        left = [r for r in rows if micros(r[self.ts]) >= passed]
+        rows = rows_of(self.waiting)
+        tie = 1 + self._names().index(self.tie)
+        ready = sorted((r for r in rows if r[0] < passed), key=lambda r: (r[0], r[tie]))
+        left = [r for r in rows if r[0] >= passed]
+        del rows
         self.timer.clear()
         self.waiting.clear()
         if left:
-            self.waiting.put([tuple(r) for r in left])
-            self._wake(min(micros(r[self.ts]) for r in left) // 1000 + 1)
+            self._wake(add_rows(self.waiting, left) // 1000 + 1)
         elif ready:
-            self._wake(micros(ready[-1][self.ts]) // 1000 + 1 + self.keep_ms)
+            self._wake(ready[-1][0] // 1000 + 1 + self.keep_ms)
         else:
             self.clear_state()
         yield from self.handle(key, ready)
@@ -119,40 +136,41 @@ class StageRuns(InOrder):
         super().__init__(RUN_IN, "started_at", "id", feeds.BASELINE_DAYS * 86_400_000)
 
     def open_state(self, handle: StatefulProcessorHandle) -> None:
-        self.seconds = handle.getListState("seconds", "second long, n long, items long, n_items long, duration long, n_duration long")
+        self.seconds = handle.getListState("seconds", BLOCKS)
         self.told = handle.getValueState("told", "at long")
 
     def clear_state(self) -> None:
         self.seconds.clear()
         self.told.clear()
 
-    def handle(self, key, rows: list[Row]) -> Iterator[Row]:
+    def handle(self, key, rows: list[tuple]) -> Iterator[Row]:
         if not rows:
             return
-        history = deque(list(s) for s in self.seconds.get()) if self.seconds.exists() else deque()
+        history = deque(rows_of(self.seconds))  # second, runs, items and their number, duration and its number
         told = self.told.get()[0] if self.told.exists() else None
         sums = [sum(s[i] for s in history) for i in range(1, 6)]
-        for r in rows:
-            at = micros(r.started_at)
+        run = Row(*(c.split()[0] for c in RUN_OUT.split(", ")))
+        for at, id_, stage, started, made, took in rows:
             second = at // 1_000_000
             while history and history[0][0] < second - feeds.BASELINE_DAYS * 86_400:
                 sums = [a - b for a, b in zip(sums, history.popleft()[1:], strict=True)]
-            same = history[-1][1:] if history and history[-1][0] == second else [0] * 5
+            same = history[-1][1:] if history and history[-1][0] == second else (0,) * 5
             n, items, n_items, duration, n_duration = (a - b for a, b in zip(sums, same, strict=True))
             baseline = rounded(items, n_items)
-            short = n >= feeds.LEAST_RUNS and baseline is not None and baseline > feeds.LEAST_BASELINE and r.items_processed is not None
-            anomaly = bool(short and r.items_processed < baseline * feeds.SHORT_OF_BASELINE and r.stage_name not in feeds.QUIET_STAGES)
+            short = n >= feeds.LEAST_RUNS and baseline is not None and baseline > feeds.LEAST_BASELINE and made is not None
+            anomaly = bool(short and made < baseline * feeds.SHORT_OF_BASELINE and stage not in feeds.QUIET_STAGES)
             tell = anomaly and (told is None or at - told >= feeds.COOLDOWN_HOURS * 3_600_000_000)
             if tell:
                 told = at
-            add = [1, r.items_processed or 0, int(r.items_processed is not None), r.duration_seconds or 0, int(r.duration_seconds is not None)]
-            if same is not None and history and history[-1][0] == second:
-                history[-1][1:] = [a + b for a, b in zip(history[-1][1:], add, strict=True)]
+            add = (1, made or 0, int(made is not None), took or 0, int(took is not None))
+            if history and history[-1][0] == second:
+                history[-1] = (second, *(a + b for a, b in zip(same, add, strict=True)))
             else:
-                history.append([second, *add])
+                history.append((second, *add))
             sums = [a + b for a, b in zip(sums, add, strict=True)]
-            yield Row(id=r.id, stage_name=r.stage_name, started_at=r.started_at, baseline=baseline, avg_duration=rounded(duration, n_duration), n_before=n, anomaly=anomaly, told=tell)
-        self.seconds.put([tuple(s) for s in history])
+            yield run(id_, stage, started, baseline, rounded(duration, n_duration), n, anomaly, tell)
+        self.seconds.clear()
+        add_rows(self.seconds, history)
         if told is not None:
             self.told.update((told,))
 
@@ -185,13 +203,13 @@ class SpacedBounces(InOrder):
     def clear_state(self) -> None:
         self.kept.clear()
 
-    def handle(self, key, rows: list[Row]) -> Iterator[Row]:
+    def handle(self, key, rows: list[tuple]) -> Iterator[Row]:
         last = self.kept.get()[0] if self.kept.exists() else None
-        for r in rows:
-            at = micros(r.ts)
+        bounce = Row(*self._names())
+        for at, *r in rows:
             if last is None or at - last >= feeds.BOUNCE_SPACING * 1_000_000:
                 last = at
-                yield r
+                yield bounce(*r)
         if last is not None:
             self.kept.update((last,))
 
