@@ -69,6 +69,7 @@ START = datetime(2024, 5, 1, tzinfo=timezone.utc)
 
 @pytest.mark.parametrize("processor, row", [
     (state.StageRuns, lambda i: (i, "audit", START + timedelta(seconds=i * 7919 % 25_000), 3, None)),
+    (state.SpacedBounces, lambda i: (i, "a@b.com", "soft_bounce", START + timedelta(seconds=i * 7919 % 25_000 * 86_400))),
 ])
 def test_many_rows_of_a_key(processor, row):
     feed, handle, n = processor(), Handle(), 25_000
